@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from itemloom.llm import quality_rules
+from itemloom.llm import byte_bpe, pii, quality_rules, reply_trees, url_filters
 
-QUERIES = {"op4_quality_rules": quality_rules.op4_quality_rules}
-ORACLE_SQL = {"op4_quality_rules": quality_rules.OP4_SQL}
+QUERIES = {
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_reply_trees": reply_trees.op6_reply_trees,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_url_filters": url_filters.op8_url_filters,
+    "op10_pii": pii.op10_pii,
+}
+ORACLE_SQL = {"op6_reply_trees": reply_trees.OP6_SQL, "op4_quality_rules": quality_rules.OP4_SQL, "op8_url_filters": url_filters.OP8_SQL}
