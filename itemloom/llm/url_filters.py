@@ -67,7 +67,7 @@ class Cascade:
 
     def _passes(self, key: Column, level: int) -> Column:
         words, bits, hashes = self.levels[level]
-        held = F.lit(words)
+        held = F.lit(words).cast("array<bigint>")  # small words alone would make an array of int
         at = lambda p: F.element_at(held, (F.floor(p / 64) + 1).cast("int"))
         tests = [F.getbit(at(p), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in self._positions(key, level, bits, hashes)]
         return reduce(lambda a, b: a & b, tests)
