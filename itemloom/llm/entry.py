@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from itemloom.llm import byte_bpe, pii, quality_rules, reply_trees, simhash, url_filters
+from itemloom.llm import byte_bpe, packing, pii, quality_rules, reply_trees, simhash, stable_ann, url_filters
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_stable_ann": stable_ann.op2_stable_ann,
+    "op3_packing": packing.op3_packing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_reply_trees": reply_trees.op6_reply_trees,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
