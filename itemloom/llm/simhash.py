@@ -1,19 +1,22 @@
 """SimHash near-duplicates, linked exactly through vantage-point trees.
 
-Fingerprints: 64-bit SimHash over word shingles (XXH64, seed 42). Two texts are linked if their fingerprints differ in at most
-``max_distance`` bits; groups are the connected components of these links.
+Fingerprints: SimHash over word shingles (XXH64, seed 42); 64 bits, or more words of 64 bits from the same hashes mixed with other
+constants. Two texts are linked if their fingerprints differ in at most ``max_distance`` bits; groups are the connected components.
 
-Trees. The 64 bits are cut into ``parts`` blocks. Fingerprints at distance d differ by at most ``d // parts`` bits in one block
-at least, so a vantage-point tree over each block, asked with that radius, finds every link (``parts=1``: one tree over all bits).
+Trees. The bits are cut into blocks. With ``parts`` blocks, fingerprints at distance d differ by at most ``d // parts`` bits in one
+block at least, so a vantage-point tree over each block, asked with that radius, finds every link (``parts=1``: one tree over all bits).
 Each inner node has a vantage point and a radius mu; a fingerprint goes inside if its distance to the vantage point is at most mu.
 By the triangle inequality a query of radius r needs the inside only if its distance minus r is at most mu, and the
 outside only if its distance plus r is above mu: one that is near the boundary is sent to both sides, everything else is pruned.
 With 5 blocks and distance 4 the radius is 0, so boundaries have no width, a fingerprint goes to 5 shards and no more,
 and the candidates fall with the number of shards; with fewer blocks more shards overlap. Every setting gives the same links.
 
-The trees are built from a bounded sample of fingerprints (``sample_rows``), which only decides the balance; they are broadcast
-(under ``max_leaves`` nodes a tree). Each shard is compared exactly, in blocks; a shard over ``shard_rows`` is cut into
-blocks by hash and each pair of blocks is a task of its own, so no task gets an unbounded shard. A task returns a spanning forest
+``similar`` is for a similarity (Jaccard) of shingle sets instead of a distance in bits: wider fingerprints, a distance fitted to
+the similarity, and as many blocks (of more bits for more rows) as find a pair at the threshold with ``recall``.
+
+The trees are built from a bounded sample of fingerprints (``SAMPLE_ROWS``), which only decides the balance, and are broadcast
+(under ``MAX_LEAVES`` nodes each). Each shard is compared exactly, in numpy blocks; a shard over ``task_rows`` is cut into
+parts by hash and each pair of parts is compared on its own, so no task gets an unbounded shard. A shard gives a spanning forest
 of its links, never all pairs. Components come from minimum labels and pointer jumping over these edges.
 
 Defined results: a text without words (null or empty too) has fingerprint zero and is linked like any other; repeated rows each
@@ -23,8 +26,10 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +40,9 @@ from itemloom.sources import table
 
 MAX_DISTANCE = 4
 PARTS = 5
-SAMPLE_ROWS = 60_000
-SHARD_ROWS = 2_000
-MAX_LEAVES = 4_096
+SAMPLE_ROWS = 40_000
+SHARD_ROWS = 1_000
+MAX_LEAVES = 2_048
 TASK_ROWS = 20_000
 U = np.uint64
 
@@ -45,105 +50,123 @@ U = np.uint64
 # --- fingerprints ---------------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The SimHash of a whole text; see the module's docstring."""
-    w = (text or "").encode("utf-8").translate(None).lower().split()  # bytes: A-Z only, and the six blanks of the contract
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of a whole text, A-Z lower-cased; of all its words, if there are fewer; nothing without words."""
+    w = (text or "").encode("utf-8").lower().split()  # bytes: only A-Z change, only the contract's six blanks split
     if not w:
-        return 0
+        return np.zeros(0, U)
     joined = b" ".join(w)
     if len(w) <= words:
-        h = np.array([xxhash.xxh64_intdigest(joined, 42)], U)
-    else:
-        ends = np.cumsum([len(x) + 1 for x in w]) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest, n = xxhash.xxh64_intdigest, len(w) - words + 1
-        h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), U, n)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
-
-
-def with_fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], U)
+    ends = np.cumsum([len(x) + 1 for x in w]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest, n = xxhash.xxh64_intdigest, len(w) - words + 1
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), U, n)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits of each hash (splitmix64 of the hash and k); k = 0: the hash itself."""
+    if not k:
+        return h
+    x = h + U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def fingerprint(text: str | None, words: int = 4, wide: int = 1) -> np.ndarray:
+    """The SimHash of a whole text as *wide* numbers of 64 bits."""
+    h = shingle_hashes(text, words)
+    out = np.zeros(wide, U)
+    for k in range(wide if len(h) else 0):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(_mixed(h[i : i + (1 << 16)], k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[k] = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return out
+
+
+def with_fingerprints(docs: DataFrame, words: int = 4, wide: int = 1) -> DataFrame:
+    """doc_id, bits (the fingerprint, big-endian)."""
 
     def run(batches):
         for b in batches:
-            f = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.int64())], ["doc_id", "fp"])
+            bits = [fingerprint(t, words, wide).astype(">u8").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["doc_id", "bits"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, bits binary")
 
 
-# --- vantage-point trees --------------------------------------------------------------------------------------------------
+def to_words(bits: list[bytes], wide: int) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), ">u8").astype(U).reshape(-1, wide)
 
 
-def block_masks(parts: int) -> list[np.uint64]:
-    cuts = [round(64 * k / parts) for k in range(parts + 1)]
-    return [U(((1 << (b - a)) - 1) << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def block_of(fps: np.ndarray, first: int, size: int) -> np.ndarray:
+    """Bits first to first + size (at most 64) of each fingerprint, as numbers."""
+    word, shift = divmod(first, 64)
+    out = fps[:, word] << U(shift) if shift else fps[:, word].copy()
+    if shift + size > 64:
+        out |= fps[:, word + 1] >> U(64 - shift)
+    return out >> U(64 - size)
+
+
+# --- vantage-point trees --------------------------------------------------------------------------------------------------
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def build_tree(sample: np.ndarray, mask: np.uint64, leaves: int, rng: np.random.Generator):
-    """Nodes [vantage, mu, inside, outside]; a child below 0 is the leaf -1 - child. Each node splits the largest shard at hand."""
-    nodes: list[list] = []
-    heap = [(sample & mask, None, None)]
-    slots: list[tuple] = []  # (sample, parent node, side) of the leaves
+def build_tree(sample: np.ndarray, leaves: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vantage points, radii, children (inside, outside)) of the nodes; a child below 0 is the leaf -1 - child.
+
+    The largest part of the sample is split next, at the vantage point and radius, of a few tried, that halve it best."""
+    vantage, radius, children, heap, slots = [], [], [], [(-len(sample), 0, sample, None, 0)], []
     while heap:
-        part, parent, side = heap.pop(int(np.argmax([len(x[0]) for x in heap])))
-        done = len(slots) + len(heap) + 1 >= leaves or len(part) < 4
-        if not done:
-            values = np.unique(part)
-            best = None
-            for v in rng.choice(values, min(6, len(values)), replace=False):
+        _, at, part, parent, side = heapq.heappop(heap)
+        best = None
+        if len(slots) + len(heap) + 1 < leaves and len(part) >= 4:
+            tried = part[rng.integers(0, len(part), 4)]
+            for v in np.unique(tried):
                 d = distance(part, v)
                 for mu in {int(np.median(d)), max(0, int(np.median(d)) - 1)}:
-                    inside = int((d <= mu).sum())
+                    inside = int(np.count_nonzero(d <= mu))
                     if 0 < inside < len(part) and (best is None or abs(2 * inside - len(part)) < best[0]):
                         best = (abs(2 * inside - len(part)), v, mu, d <= mu)
-            done = best is None
-        if done:
-            slots.append((part, parent, side))
+        if best is None:
+            slots.append((parent, side))
             continue
-        me = len(nodes)
-        nodes.append([best[1], best[2], None, None])
+        me = len(vantage)
+        vantage.append(best[1])
+        radius.append(best[2])
+        children.append([0, 0])
         if parent is not None:
-            nodes[parent][side] = me
-        heap += [(part[best[3]], me, 2), (part[~best[3]], me, 3)]
-    for k, (_, parent, side) in enumerate(slots):
+            children[parent][side] = me
+        for side, own in ((0, part[best[3]]), (1, part[~best[3]])):
+            heapq.heappush(heap, (-len(own), 2 * me + side + 1, own, me, side))
+    for k, (parent, side) in enumerate(slots):
         if parent is not None:
-            nodes[parent][side] = -1 - k
-    return nodes
-
-
-def route(fps: np.ndarray, mask: np.uint64, nodes, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, home?) for every leaf that the ball of *radius* around each fingerprint meets; home is where it lies itself."""
-    rows, leaf, home = [], [], []
-    if not nodes:
-        n = len(fps)
-        return np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
-    todo = [(0, np.arange(len(fps)), np.ones(len(fps), bool))]
-    masked = fps & mask
-    while todo:
-        at, idx, own = todo.pop()
-        if not len(idx):
-            continue
-        if at < 0:
-            rows.append(idx)
-            leaf.append(np.full(len(idx), -1 - at, np.int64))
-            home.append(own)
+            children[parent][side] = -1 - k
+    return np.array(vantage, U), np.array(radius, np.int64), np.array(children, np.int64).reshape(-1, 2)
+
+
+def route(values: np.ndarray, tree, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home?) for every leaf that the ball of *radius* around each value meets; home is where it lies itself."""
+    vantage, mu, children = tree
+    row, node, own = np.arange(len(values)), np.full(len(values), 0 if len(vantage) else -1), np.ones(len(values), bool)
+    done = []
+    while len(row):
+        leaf = node < 0
+        if leaf.any():
+            done.append((row[leaf], -1 - node[leaf], own[leaf]))
+            row, node, own = row[~leaf], node[~leaf], own[~leaf]
             continue
-        v, mu, inside, outside = nodes[at]
-        d = distance(masked[idx], v).astype(np.int64)
-        m = d - radius <= mu
-        todo.append((inside, idx[m], own[m] & (d[m] <= mu)))
-        m = d + radius > mu
-        todo.append((outside, idx[m], own[m] & (d[m] > mu)))
-    return np.concatenate(rows), np.concatenate(leaf), np.concatenate(home)
+        d = distance(values[row], vantage[node]).astype(np.int64)
+        m = mu[node]
+        parts = [(keep, side, own & mine) for side, keep, mine in ((0, d - radius <= m, d <= m), (1, d + radius > m, d > m))]
+        row, node, own = (np.concatenate(x) for x in ([row[k] for k, _, _ in parts], [children[node[k], s] for k, s, _ in parts], [o[k] for k, _, o in parts]))
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (row, node, own)
 
 
 # --- exact links in a shard -----------------------------------------------------------------------------------------------
@@ -165,65 +188,94 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def spanning_forest(fps: np.ndarray, query: np.ndarray, indexed: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (index, index) that connect what links query rows with indexed rows at *max_distance* or less."""
+    """Edges (index, index) that connect what links query rows with indexed rows at *max_distance* bits or less."""
     parent = np.arange(len(fps))
     q, x = np.flatnonzero(query), np.flatnonzero(indexed)
-    step = max(1, 4_000_000 // max(1, len(x)))
+    step = max(1, 2_000_000 // max(1, len(x)))
     for k in range(0, len(q), step):
         some = q[k : k + step]
-        r, c = np.nonzero(distance(fps[some][:, None], fps[x][None, :]) <= max_distance)
+        near = np.zeros((len(some), len(x)), np.uint16)
+        for w in range(fps.shape[1]):
+            near += distance(fps[some, w][:, None], fps[x, w][None, :])
+        r, c = np.nonzero(near <= max_distance)
         _union(parent, some[r], x[c])
-    _union(parent, np.zeros(0, np.int64), np.zeros(0, np.int64))
     while not np.array_equal(parent[parent], parent):
         parent = parent[parent]
     child = np.flatnonzero(parent != np.arange(len(fps)))
     return child, parent[child]
 
 
-def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, parts: int = PARTS, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS, max_leaves: int = MAX_LEAVES, task_rows: int = TASK_ROWS) -> DataFrame:
-    """a, b (fingerprints): edges whose components are those of all links between the distinct ``fp`` of *nodes*."""
+def links(nodes: DataFrame, wide: int, blocks: list[tuple[int, int]], radius: int, max_distance: int, shard_rows: int = SHARD_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """a, b (nodes): edges whose components are those of all links that the *blocks* (first bit, size) find at *radius*.
+
+    *nodes*: node (long) and bits (wide * 8 bytes), one row a node."""
     spark = nodes.sparkSession
     total = nodes.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    picked = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample_rows)
-    sample = np.array([r[0] for r in picked.select("fp").collect()], np.int64).view(U)
-    masks, radius = block_masks(parts), max_distance // parts
-    leaves = int(min(max_leaves, max(1, 2 * total // shard_rows)))
-    rng = np.random.default_rng(20)
-    trees = spark.sparkContext.broadcast([build_tree(np.sort(sample), m, leaves, rng) for m in masks])
+    share = min(1.0, SAMPLE_ROWS / max(total, 1))
+    picked = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE_ROWS)
+    sample = to_words([bytes(r[0]) for r in picked.select("bits").collect()], wide)
+    leaves, rng = int(min(MAX_LEAVES, max(1, 2 * total // shard_rows))), np.random.default_rng(20)
+    trees = spark.sparkContext.broadcast([build_tree(block_of(sample, *b), leaves, rng) for b in blocks])
+    n = len(blocks)
 
     def shards(batches):
         for b in batches:
-            fps = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64).view(U)
-            for part, (mask, tree) in enumerate(zip(masks, trees.value, strict=True)):
-                row, leaf, home = route(fps, mask, tree, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf * parts + part), pa.array(fps[row].view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
-
-    sent = nodes.select("fp").mapInArrow(shards, "shard long, fp long, home boolean")
-    if radius == 0 and total <= task_rows:
-        tasks = sent.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "home", F.lit(0).alias("block"))
-    else:  # a shard of n rows is cut into ceil(n / task_rows) blocks; each pair of blocks is one task
-        sent = written(sent, "simhash-shards")
-        cut = sent.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("blocks"))
-        big = sent.join(F.broadcast(cut.filter(F.col("blocks") > 1).limit(parts * max_leaves)), "shard", "left")
-        n = F.coalesce("blocks", F.lit(1))
-        big = big.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), n).cast("int"))
-        tasks = big.select("shard", "fp", "home", "block", F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-        tasks = tasks.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "home", "block")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps, home = pdf["fp"].to_numpy(np.int64).view(U), pdf["home"].to_numpy(bool)
-        i, j, block = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["block"].to_numpy()
-        order = np.argsort(fps, kind="stable")
-        fps, home, block = fps[order], home[order], block[order]
-        # every row asks, rows that live here answer; both of two blocks ask the other
-        child, root = spanning_forest(fps, block == i, home & (block == j), max_distance)
+            bits = b.column(1)
+            fps = to_words(bits.to_pylist(), wide)
+            for k, (block, tree) in enumerate(zip(blocks, trees.value, strict=True)):
+                row, leaf, home = route(block_of(fps, *block), tree, radius)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf * n + k, pa.int64()), b.column(0).take(at), bits.take(at), pa.array(home)], ["shard", "node", "bits", "home"])
+
+    sent = nodes.select("node", "bits").mapInArrow(shards, "shard long, node long, bits binary, home boolean")
+    if total > task_rows:  # a shard of m rows is cut into ceil(m / task_rows) parts, and each pair of parts is compared
+        sizes = sent.select("shard").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("cuts")).filter("cuts > 1")
+        big = {r["shard"]: r["cuts"] for r in sizes.collect()}  # at most a row for each leaf of each tree
+    else:
+        big = {}
+    if big:
+        cuts = F.coalesce(F.create_map(*[F.lit(x) for kv in big.items() for x in kv])[F.col("shard")], F.lit(1))
+        sent = sent.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+        sent = sent.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "bits", "home", "part")
+    else:
+        sent = sent.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "bits", "home", F.lit(0).alias("part"))
+    key = ["shard", "i", "j"]
+
+    def one(rows: pa.Table):
+        fps, home = to_words(rows.column("bits").to_pylist(), wide), rows.column("home").to_numpy(zero_copy_only=False)
+        node, part, i, j = rows.column("node").to_numpy(), rows.column("part").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        order = np.argsort(node, kind="stable")
+        fps, home, node, part = fps[order], home[order], node[order], part[order]
+        child, root = spanning_forest(fps, part == i, home & (part == j), max_distance)  # all rows ask, rows at home answer
         if i != j:
-            more = spanning_forest(fps, block == j, home & (block == i), max_distance)
+            more = spanning_forest(fps, part == j, home & (part == i), max_distance)
             child, root = np.concatenate((child, more[0])), np.concatenate((root, more[1]))
-        return pd.DataFrame({"a": fps[child].view(np.int64), "b": fps[root].view(np.int64)})
+        return node[child], node[root]
 
-    return tasks.groupBy("shard", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def compare(batches):
+        """Groups of equal key follow each other; a group may go on in the next batch."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = np.stack([b.column(k).to_numpy() for k in range(3)])
+            edges = [0, *(np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            if held and [c[0].as_py() for c in b.columns[:3]] != [c[0].as_py() for c in held[0].columns[:3]]:
+                yield from pack([held])
+                held = []
+            groups = [[b.slice(x, y - x)] for x, y in zip(edges, edges[1:], strict=False)]
+            groups[0] = held + groups[0]
+            held = groups.pop()
+            yield from pack(groups)
+        yield from pack([held] if held else [])
+
+    def pack(groups):
+        found = [one(pa.Table.from_batches(g)) for g in groups if sum(x.num_rows for x in g) > 1]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    dealt = sent.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key)
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 # --- components -----------------------------------------------------------------------------------------------------------
@@ -249,26 +301,51 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return label.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, **how) -> DataFrame:
-    """doc_id, fp, component_id for every row of *docs*."""
-    fps = written(with_fingerprints(docs, words), "simhash-fps")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    groups = components(links(nodes, **how))
-    grouped = nodes.join(groups.withColumnRenamed("node", "fp"), "fp")
+def _grouped(fps: DataFrame, node, how) -> DataFrame:
+    """doc_id, bits, component_id; *fps* is doc_id, bits and *how* gives links for (node, bits)."""
+    nodes = written(fps.groupBy("bits").agg(F.min("doc_id").alias("first")).withColumn("node", node), "simhash-nodes")
+    groups = components(how(nodes.select("node", "bits")))
+    grouped = nodes.join(groups, "node")
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
-    of_fp = grouped.join(least, "root").select("fp", "least")
-    per_fp = nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return fps.join(per_fp, "fp").select("doc_id", "fp", "component_id")
+    of_node = grouped.join(least, "root").select("node", "least")
+    per_bits = nodes.join(of_node, "node", "left").select("bits", F.coalesce("least", "first").alias("component_id"))
+    return fps.join(per_bits, "bits").select("doc_id", "bits", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = MAX_DISTANCE, parts: int = PARTS, **how) -> DataFrame:
+    """doc_id, bits, component_id for every row of *docs*: 64-bit fingerprints, all links at *max_distance* or less."""
+    fps = written(with_fingerprints(docs, words), "simhash-fps")
+    at = [round(64 * k / parts) for k in range(parts + 1)]
+    blocks = [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
+    return _grouped(fps, F.conv(F.hex("bits"), 16, -10).cast("long"), lambda nodes: links(nodes, 1, blocks, max_distance // parts, max_distance, **how))
+
+
+def plan_similar(rows: int, similarity: float, recall: float, least_words: int = 8) -> tuple[int, list[tuple[int, int]], int]:
+    """(words of 64 bits, blocks, distance in bits) for a Jaccard similarity among *rows* texts.
+
+    Shingle sets of similarity s have cosine 2s / (1 + s); a bit then differs with probability p = arccos / pi."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    size = min(24, max(12, math.ceil(math.log2(max(rows, 1) / 200 + 1))))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** size))
+    wide = max(least_words, math.ceil(count * size / 64))
+    return wide, [(k * size, size) for k in range(count)], math.floor(64 * wide * p + 1.5 * math.sqrt(64 * wide * p * (1 - p)))
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, **how) -> DataFrame:
+    """doc_id, bits, component_id for every row: texts whose estimated similarity is *similarity* or more are linked."""
+    wide, blocks, most = plan_similar(docs.count(), similarity, recall)
+    fps = written(with_fingerprints(docs, words, wide), "simhash-fps")
+    return _grouped(fps, F.xxhash64("bits"), lambda nodes: links(nodes, wide, blocks, 0, most, **how))
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """The documents of *docs* whose doc_id is the smallest of its component (rows without an id stay); repeated rows of it, once."""
-    found = near_duplicates(docs, **how)
+    """Of each group of similar documents the one with the smallest doc_id, once; rows without an id stay; all columns are kept."""
+    found = similar(docs, **how)
     keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("bits")).alias("fingerprint"), "component_id")

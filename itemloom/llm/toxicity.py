@@ -304,9 +304,9 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([T.StructField("_in", kind), T.StructField("_score", T.DoubleType())]))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+def reject_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """The rows of *docs* that score under *cut*, with all their columns."""
-    kept = with_scores(docs, fit_from_tables(docs, labels)).filter(F.col("_score") < cut)
+    kept = with_scores(docs, model).filter(F.col("_score") < cut)
     return kept.select(*[F.col(f"_in.`{c}`").alias(c) for c in docs.columns])
 
 
