@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,21 +37,30 @@ from itemloom.sources import table
 END = b"\n"  # no word holds a line break
 SHARD_ROWS = 2_000_000
 RANGE_BITS = 20
+SCORED_CHARS = 8_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Places(dict):
+    """Word -> its place in the order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of each token in the distinct ones, tokens of each text, hashes of the distinct ones as signed longs)."""
-    seen: dict[bytes, int] = {END: 0}
-    put, ids, sizes = seen.setdefault, [], np.empty(len(texts), np.int64)
+    seen = _Places({END: 0})
+    place, ids, sizes = seen.__getitem__, array("i"), np.empty(len(texts), np.int64)
     for k, t in enumerate(texts):
         w = t.encode("utf-8").lower().split() if t else []
-        ids += [put(x, len(seen)) for x in w]
+        ids.extend(map(place, w))
         ids.append(0)
         sizes[k] = len(w) + 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(w) for w in seen), np.uint64, len(seen)).view(np.int64)
-    return np.array(ids, np.int64), sizes, hashes
+    return np.frombuffer(ids, np.int32).astype(np.int64), sizes, hashes
 
 
 def local_path(path: str) -> str:
@@ -315,11 +326,18 @@ def train(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> Model:
     return model
 
 
+def parts_of(batch: pa.RecordBatch, chars: int = SCORED_CHARS):
+    """A batch in slices of about *chars* characters, at least a row each, which bounds a worker's arrays."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // chars
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in parts_of(whole)):
             n, known, base, score = model.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
