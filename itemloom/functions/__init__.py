@@ -1 +1,63 @@
-"""Package."""
+"""Scalar building blocks as Column functions."""
+
+from __future__ import annotations
+
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(c: Column) -> Column:
+    return F.translate(c, UPPER, LOWER)
+
+
+def contains_literal(c: Column, needle: str) -> Column:
+    """Substring search without wildcards; A-Z match a-z, other letters only themselves."""
+    return F.contains(ascii_lower(c), F.lit(needle.translate(str.maketrans(UPPER, LOWER))))
+
+
+def strip(c: Column) -> Column:
+    """Trim Unicode white space on both sides."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def is_sha256(c: Column) -> Column:
+    return c.rlike("^[0-9a-f]{64}$")
+
+
+def is_question_number(c: Column) -> Column:
+    """1 to 999 in ASCII digits without leading zeros."""
+    return c.rlike("^[1-9][0-9]{0,2}$")
+
+
+def item_code(prefix: str, sha: Column, number: Column) -> Column:
+    """Prefix, the first 16 digits of a digest, and the number in three digits."""
+    return F.concat(F.lit(prefix), F.substring(sha, 1, 16), F.lit("-"), F.lpad(number.cast("string"), 3, "0"))
+
+
+def fresh(stamp: Column, now: str, minutes: int) -> Column:
+    """Whether a text time with a zone lies within *minutes* before *now*; a time without zone, or none, is not fresh."""
+    zoned = stamp.rlike(r"(Z|[+-]\d{2}:\d{2})$")
+    return F.coalesce(zoned & (F.try_to_timestamp(stamp) > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {minutes} MINUTES")), F.lit(False))
+
+
+def all_of(conditions: list[Column]) -> Column:
+    return reduce(and_, conditions, F.lit(True))
+
+
+def reason_list(rules: dict[str, Column]) -> Column:
+    """The names of the rules that hold, in order, as an array."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+
+
+def pixel_box(box: Column, width: int, height: int) -> Column:
+    """A normalised box [l, t, r, b] as pixels: left and top rounded down, right and bottom up, inside the page."""
+    at = lambda i: F.get(box, i)
+    return F.struct(
+        F.greatest(F.floor(at(0) * width), F.lit(0)).alias("l"), F.greatest(F.floor(at(1) * height), F.lit(0)).alias("t"),
+        F.least(F.ceil(at(2) * width), F.lit(width)).alias("r"), F.least(F.ceil(at(3) * height), F.lit(height)).alias("b"),
+    )
