@@ -152,7 +152,8 @@ def quality_report(docs: DataFrame, **rules) -> DataFrame:
 
 def clean_documents(docs: DataFrame, **rules) -> DataFrame:
     """The kept documents with all their columns; text holds the lines that passed, n_chars (if there) their length."""
-    q = with_verdicts(docs, **rules).filter(F.col("_q.kept"))
+    q = with_verdicts(docs, **rules)  # a filter on _q would be pushed below it and judge every text twice; a generator is not
+    q = q.withColumn("_q", F.explode(F.filter(F.array("_q"), lambda x: x["kept"])))
     out = {"text": F.col("_q.clean_text")} | ({"n_chars": F.char_length("_q.clean_text").cast("long")} if "n_chars" in docs.columns else {})
     return q.withColumns(out).select(*docs.columns)
 
