@@ -255,7 +255,8 @@ def train_model(texts: list[str], y: np.ndarray, window: int = WINDOW, **net) ->
     y = np.asarray(y, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(None, None, None, window)
-    words = [_WORDS.findall(t.lower()) for t in texts]
+    one: dict[str, str] = {}  # one string a word: millions of equal ones would fill the driver
+    words = [[one.setdefault(w, w) for w in _WORDS.findall(t.lower())] for t in texts]
     lexicon = Lexicon(words, y)
     rng, xs, ys, all_x, all_at = np.random.default_rng(1), [], [], [], []
     for w, label in zip(words, y, strict=True):
