@@ -119,7 +119,7 @@ def line_fails(line: Column, min_line_words: int = MIN_LINE_WORDS, max_symbol_sh
 
 
 def with_verdicts(docs: DataFrame, min_words: int = MIN_WORDS, max_lost_share: float = MAX_LOST_SHARE, **rules) -> DataFrame:
-    """*docs* with one struct column ``_q``: the counts, base_failed, kept and clean_text (the lines that passed, or null if none)."""
+    """A struct ``_in`` of all columns of *docs* and a struct ``_q``: the counts, base_failed, kept and clean_text (the lines that passed, or null if none)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     good = lambda ls: F.filter(ls, lambda x: ~line_fails(x, **rules))
@@ -141,21 +141,21 @@ def with_verdicts(docs: DataFrame, min_words: int = MIN_WORDS, max_lost_share: f
             ),
         ),
     )
-    return docs.withColumn("_q", got)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), got.alias("_q"))
 
 
 def quality_report(docs: DataFrame, **rules) -> DataFrame:
     """One row per document: the counts, base_failed and kept."""
     q = with_verdicts(docs.select("doc_id", "text"), **rules)
-    return q.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+    return q.select(F.col("_in.doc_id").alias("doc_id"), *[F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 def clean_documents(docs: DataFrame, **rules) -> DataFrame:
     """The kept documents with all their columns; text holds the lines that passed, n_chars (if there) their length."""
     q = with_verdicts(docs, **rules)  # a filter on _q would be pushed below it and judge every text twice; a generator is not
     q = q.withColumn("_q", F.explode(F.filter(F.array("_q"), lambda x: x["kept"])))
-    out = {"text": F.col("_q.clean_text")} | ({"n_chars": F.char_length("_q.clean_text").cast("long")} if "n_chars" in docs.columns else {})
-    return q.withColumns(out).select(*docs.columns)
+    new = {"text": F.col("_q.clean_text"), "n_chars": F.char_length("_q.clean_text").cast("long")}
+    return q.select(*[new.get(c, F.col(f"_in.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
