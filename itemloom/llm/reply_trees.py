@@ -63,7 +63,8 @@ def ancestor_steps(nodes: DataFrame, max_levels: int = 40) -> tuple[list[DataFra
             break
         steps.append(open_.select("tree", "node", "up"))
         above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"))
-        step = written(step.join(above, ["tree", "up"], "left").select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "reply-steps")
+        further = open_.join(above, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        step = written(step.filter(F.col("up").isNull()).unionByName(further), "reply-steps")  # nodes that have their root rest
     return steps, step.filter(F.col("up").isNull()).select("tree", "node", "total")
 
 
