@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from itemloom.plans import checks, ordering, search, workflow
+from itemloom.plans import checks, layouts, lifecycle, ordering, search, workflow
 
-_MODULES = (search, ordering, workflow, checks)
+_MODULES = (search, ordering, workflow, checks, layouts, lifecycle)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
