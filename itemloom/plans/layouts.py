@@ -119,7 +119,7 @@ SELECT conv_id, anchor_no, CAST(no AS VARCHAR) AS question_no, row_number() OVER
   CASE WHEN pno IS NULL OR no > pno + 1 THEN 'medium' WHEN seen OR no <= pno THEN 'low' ELSE 'medium' END AS confidence FROM z WHERE b > t""",
     "main_anchors": """
 WITH p AS (SELECT p_partkey % 20 AS page, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_partkey % 120 AS n FROM part WHERE p_size % 2 = 0 AND p_partkey % 120 > 0)
-SELECT page, CASE WHEN x <= 80 THEN 0 ELSE 1 END AS column_index, CASE WHEN x BETWEEN 495 AND 500 THEN 500 ELSE x END AS x, greatest(y, 20) AS y, CAST(n AS VARCHAR) AS question_no FROM p WHERE (x <= 80 OR x BETWEEN 495 AND 580) AND y < 950""",
+SELECT page, CAST(CASE WHEN x <= 80 THEN 0 ELSE 1 END AS BIGINT) AS column_index, CASE WHEN x BETWEEN 495 AND 500 THEN 500 ELSE x END AS x, greatest(y, 20) AS y, CAST(n AS VARCHAR) AS question_no FROM p WHERE (x <= 80 OR x BETWEEN 495 AND 580) AND y < 950""",
     "crop_plan_sizes": """
 SELECT l_orderkey, count(*) AS n_regions, max(10 + l_suppkey % 90) AS width, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) + 12 * (count(*) - 1) AS height,
   max(10 + l_suppkey % 90) * (CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) + 12 * (count(*) - 1)) AS pixels FROM lineitem GROUP BY l_orderkey""",
