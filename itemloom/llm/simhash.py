@@ -14,7 +14,7 @@ and the candidates fall with the number of shards; with fewer blocks more shards
 ``similar`` is for a similarity (Jaccard) of shingle sets instead of a distance in bits: wider fingerprints, a distance fitted to
 the similarity, and as many blocks (of more bits for more rows) as find a pair at the threshold with ``recall``.
 
-The trees are built from a bounded sample of fingerprints (``SAMPLE_ROWS``), which only decides the balance, and are broadcast
+The trees are built from a bounded sample of fingerprints (``SAMPLE_ROWS``, and ``MAX_SHARE`` of a small table), which only decides the balance, and are broadcast
 (under ``MAX_LEAVES`` nodes each). Each shard is compared exactly, in numpy blocks; a shard over ``task_rows`` is cut into
 parts by hash and each pair of parts is compared on its own, so no task gets an unbounded shard. A shard gives a spanning forest
 of its links, never all pairs. Components come from minimum labels and pointer jumping over these edges.
@@ -41,6 +41,7 @@ from itemloom.sources import table
 MAX_DISTANCE = 4
 PARTS = 5
 SAMPLE_ROWS = 40_000
+MAX_SHARE = 0.25
 SHARD_ROWS = 1_000
 MAX_LEAVES = 2_048
 TASK_ROWS = 20_000
@@ -211,7 +212,7 @@ def links(nodes: DataFrame, wide: int, blocks: list[tuple[int, int]], radius: in
     *nodes*: node (long) and bits (wide * 8 bytes), one row a node."""
     spark = nodes.sparkSession
     total = nodes.count()
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
+    share = min(MAX_SHARE, SAMPLE_ROWS / max(total, 1))
     picked = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE_ROWS)
     sample = to_words([bytes(r[0]) for r in picked.select("bits").collect()], wide)
     leaves, rng = int(min(MAX_LEAVES, max(1, 2 * total // shard_rows))), np.random.default_rng(20)
