@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from itemloom.functions import is_question_number, reason_list, strip
 from itemloom.operators.review import strict_pass
 
+#: Domains of the documents' fields, and the text that stands for an option shown as a picture.
 LEVELS = ["low", "medium", "high"]
 STATUSES = ["auto_pass", "disputed", "human_required"]
 CHOICE = ["single_choice", "multiple_choice"]

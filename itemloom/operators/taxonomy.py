@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Heading and bullet patterns, and the number of modules.
 MODULE = r"^## ([0-9]{2})\s+(.+?)\s*$"
 TOPIC = r"^### ([0-9]{2}\.[0-9]{2})\s+(.+?)\s*$"
 BULLET = r"^-\s+(.+?)\s*$"
