@@ -11,8 +11,10 @@ outside only if its distance plus r is above mu: one that is near the boundary i
 With 5 blocks and distance 4 the radius is 0, so boundaries have no width, a fingerprint goes to 5 shards and no more,
 and the candidates fall with the number of shards; with fewer blocks more shards overlap. Every setting gives the same links.
 
-``similar`` is for a similarity (Jaccard) of shingle sets instead of a distance in bits: wider fingerprints, a distance fitted to
-the similarity, and as many blocks (of more bits for more rows) as find a pair at the threshold with ``recall``.
+``similar`` is for a similarity (Jaccard) of shingle sets instead of a distance in bits. Blocks (of more bits for more rows, as many
+as find a pair at the threshold with ``recall``) and a loose distance find candidates only. The shingle sets of the texts that have a
+candidate are written to the shared folder, which every executor must see as a path; the workers map them and link two texts if and
+only if the Jaccard similarity of their two whole sets is at least ``similarity``. A pair that is joined already is not compared.
 
 The trees are built from a bounded sample of fingerprints (``SAMPLE_ROWS``, and ``MAX_SHARE`` of a small table), which only decides the balance, and are broadcast
 (under ``MAX_LEAVES`` nodes each). Each shard is compared exactly, in numpy blocks; a shard over ``task_rows`` is cut into
@@ -21,21 +23,24 @@ of its links, never all pairs. Components come from minimum labels and pointer j
 
 Defined results: a text without words (null or empty too) has fingerprint zero and is linked like any other; repeated rows each
 give their row; a null doc_id takes part and its row's component is the smallest id reachable (null if there is none); extra
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows. In ``similar`` texts without words are alike, and like no others.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm.common import written
+from itemloom.llm.common import work_path, written
+from itemloom.llm.kneser_ney import local_path
 from itemloom.sources import table
 
 MAX_DISTANCE = 4
@@ -45,6 +50,7 @@ MAX_SHARE = 0.25
 SHARD_ROWS = 1_000
 MAX_LEAVES = 2_048
 TASK_ROWS = 20_000
+COMPARED = 64
 U = np.uint64
 
 
@@ -77,7 +83,10 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 4, wide: int = 1) -> np.ndarray:
     """The SimHash of a whole text as *wide* numbers of 64 bits."""
-    h = shingle_hashes(text, words)
+    return _simhash(shingle_hashes(text, words), wide)
+
+
+def _simhash(h: np.ndarray, wide: int) -> np.ndarray:
     out = np.zeros(wide, U)
     for k in range(wide if len(h) else 0):
         ones = np.zeros(64, np.int64)
@@ -188,28 +197,78 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, hi, lo)
 
 
-def spanning_forest(fps: np.ndarray, query: np.ndarray, indexed: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (index, index) that connect what links query rows with indexed rows at *max_distance* bits or less."""
+class ShingleSets:
+    """The written shingle sets, mapped when first used; the place of a set is (file, first, size)."""
+
+    def __init__(self, folder: str, similarity: float):
+        self.folder, self.similarity, self.open = folder, similarity, {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "similarity": self.similarity, "open": {}}
+
+    def __call__(self, file: int, first: int, size: int) -> np.ndarray:
+        if file not in self.open:
+            self.open[file] = np.memmap(f"{self.folder}/{file}.u64", U, "r")
+        return self.open[file][first : first + size]
+
+    def alike(self, one: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Whether the set at place *one* has the similarity with each set at places *others*."""
+        a, size = int(one[2]), others[:, 2].astype(np.int64)
+        out = np.minimum(size, a) >= self.similarity * np.maximum(size, a) - 1e-6  # the sizes alone may rule it out
+        some = np.flatnonzero(out & (size > 0))
+        if not a or not len(some):
+            return out & (size == a)
+        mine, sets = self(*one.tolist()), [self(*p) for p in others[some].tolist()]
+        joined = np.concatenate(sets)
+        hit = mine[np.minimum(np.searchsorted(mine, joined), a - 1)] == joined
+        both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(size[some])[:-1])))
+        out[some] = both / (a + size[some] - both) >= self.similarity
+        return out
+
+
+def _join_alike(root: np.ndarray, i: int, others: np.ndarray, places: np.ndarray, sets: ShingleSets) -> None:
+    """Join row *i* with those *others* that are alike; those of its own component need no look."""
+    step = 1
+    while len(others := others[root[others] != root[i]]):
+        some, others, step = others[:step], others[step:], min(4 * step, COMPARED)
+        for j in some[sets.alike(places[i], places[some])]:
+            lo, hi = sorted((root[i], root[j]))
+            if lo != hi:
+                root[root == hi] = lo
+
+
+def spanning_forest(fps: np.ndarray, query: np.ndarray, indexed: np.ndarray, max_distance: int, near_words: int | None = None, sets: ShingleSets | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (index, index) that connect what links query rows with indexed rows at *max_distance* bits or less.
+
+    The distance is that of the first *near_words* words; with *sets*, rows end in their set's place and the sets must be alike too."""
     parent = np.arange(len(fps))
     q, x = np.flatnonzero(query), np.flatnonzero(indexed)
     step = max(1, 2_000_000 // max(1, len(x)))
     for k in range(0, len(q), step):
         some = q[k : k + step]
         near = np.zeros((len(some), len(x)), np.uint16)
-        for w in range(fps.shape[1]):
+        for w in range(fps.shape[1] if near_words is None else near_words):
             near += distance(fps[some, w][:, None], fps[x, w][None, :])
         r, c = np.nonzero(near <= max_distance)
-        _union(parent, some[r], x[c])
+        if sets is None:
+            _union(parent, some[r], x[c])
+            continue
+        ends = np.searchsorted(r, np.arange(len(some) + 1))
+        for n, i in enumerate(some.tolist()):
+            others = x[c[ends[n] : ends[n + 1]]]
+            if indexed[i]:
+                others = others[(others > i) | ~query[others]]  # the rest asked before
+            _join_alike(parent, i, others, fps[:, -3:], sets)
     while not np.array_equal(parent[parent], parent):
         parent = parent[parent]
     child = np.flatnonzero(parent != np.arange(len(fps)))
     return child, parent[child]
 
 
-def links(nodes: DataFrame, wide: int, blocks: list[tuple[int, int]], radius: int, max_distance: int, shard_rows: int = SHARD_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+def links(nodes: DataFrame, wide: int, blocks: list[tuple[int, int]], radius: int, max_distance: int, shard_rows: int = SHARD_ROWS, task_rows: int = TASK_ROWS, **how) -> DataFrame:
     """a, b (nodes): edges whose components are those of all links that the *blocks* (first bit, size) find at *radius*.
 
-    *nodes*: node (long) and bits (wide * 8 bytes), one row a node."""
+    *nodes*: node (long) and bits (wide * 8 bytes), one row a node. *how* goes to ``spanning_forest``."""
     spark = nodes.sparkSession
     total = nodes.count()
     share = min(MAX_SHARE, SAMPLE_ROWS / max(total, 1))
@@ -247,9 +306,9 @@ def links(nodes: DataFrame, wide: int, blocks: list[tuple[int, int]], radius: in
         node, part, i, j = rows.column("node").to_numpy(), rows.column("part").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         order = np.argsort(node, kind="stable")
         fps, home, node, part = fps[order], home[order], node[order], part[order]
-        child, root = spanning_forest(fps, part == i, home & (part == j), max_distance)  # all rows ask, rows at home answer
+        child, root = spanning_forest(fps, part == i, home & (part == j), max_distance, **how)  # all rows ask, rows at home answer
         if i != j:
-            more = spanning_forest(fps, part == j, home & (part == i), max_distance)
+            more = spanning_forest(fps, part == j, home & (part == i), max_distance, **how)
             child, root = np.concatenate((child, more[0])), np.concatenate((root, more[1]))
         return node[child], node[root]
 
@@ -324,19 +383,77 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = MAX_DIS
 def plan_similar(rows: int, similarity: float, recall: float, least_words: int = 8) -> tuple[int, list[tuple[int, int]], int]:
     """(words of 64 bits, blocks, distance in bits) for a Jaccard similarity among *rows* texts.
 
-    Shingle sets of similarity s have cosine 2s / (1 + s); a bit then differs with probability p = arccos / pi."""
+    Shingle sets of similarity s have cosine 2s / (1 + s) or more; a bit then differs with probability p = arccos / pi. The distance
+    leaves room for 5 standard deviations, as it only finds candidates."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     size = min(24, max(12, math.ceil(math.log2(max(rows, 1) / 200 + 1))))
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** size))
     wide = max(least_words, math.ceil(count * size / 64))
-    return wide, [(k * size, size) for k in range(count)], math.floor(64 * wide * p + 1.5 * math.sqrt(64 * wide * p * (1 - p)))
+    return wide, [(k * size, size) for k in range(count)], math.floor(64 * wide * p + 5 * math.sqrt(64 * wide * p * (1 - p)))
+
+
+def _with_sets(rows: DataFrame, words: int, wide: int) -> DataFrame:
+    """_rid, doc_id, bits, node (a hash of the shingle set) of *rows* (_rid, _in)."""
+
+    def run(batches):
+        for b in batches:
+            found = [shingle_hashes(t, words) for t in b.column(2).to_pylist()]
+            bits = [_simhash(h, wide).astype(">u8").tobytes() for h in found]
+            node = np.array([xxhash.xxh3_64_intdigest(np.unique(h).tobytes()) for h in found], U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary()), pa.array(node)], ["_rid", "doc_id", "bits", "node"])
+
+    own = rows.select("_rid", F.col("_in.doc_id").alias("doc_id"), F.col("_in.text").alias("text"))
+    return own.mapInArrow(run, f"_rid long, doc_id {dict(own.dtypes)['doc_id']}, bits binary, node long")
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, **how) -> DataFrame:
-    """doc_id, bits, component_id for every row: texts whose estimated similarity is *similarity* or more are linked."""
-    wide, blocks, most = plan_similar(docs.count(), similarity, recall)
-    fps = written(with_fingerprints(docs, words, wide), "simhash-fps")
-    return _grouped(fps, F.xxhash64("bits"), lambda nodes: links(nodes, wide, blocks, 0, most, **how))
+def _with_places(rows: DataFrame, words: int, folder: str) -> DataFrame:
+    """node and bits, the place of the row's shingle set in *folder* added to the bits; *rows* is node, bits, text."""
+
+    def run(batches):
+        file, at, out = TaskContext.get().taskAttemptId(), 0, None  # a task that runs again writes a file of its own
+        try:
+            for b in batches:
+                bits = []
+                for known, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    h = np.unique(shingle_hashes(text, words))
+                    if out is None:
+                        out = open(f"{folder}/{file}.u64", "wb")
+                    out.write(h.tobytes())
+                    bits.append(known + np.array([file, at, len(h)], ">u8").tobytes())
+                    at += len(h)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["node", "bits"])
+        finally:
+            if out is not None:
+                out.close()
+
+    return written(rows.mapInArrow(run, "node long, bits binary"), "simhash-places")
+
+
+def _similar(rows: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, **how) -> tuple[DataFrame, DataFrame]:
+    """(_rid, doc_id, bits, node of each of *rows* (_rid, _in); node, root of the nodes that are linked)."""
+    wide, blocks, most = plan_similar(rows.count(), similarity, recall)
+    fps = written(_with_sets(rows, words, wide), "simhash-fps")
+    nodes = written(fps.groupBy("node").agg(F.min("bits").alias("bits"), F.min("_rid").alias("_rid")), "simhash-nodes")
+    near = links(nodes, wide, blocks, 0, most, **how)
+    near = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-near")
+    folder = local_path(work_path(rows.sparkSession, "simhash-sets"))
+    os.makedirs(folder, exist_ok=True)
+    asked = written(nodes.join(near, "node"), "simhash-asked")
+    placed = _with_places(rows.select("_rid", F.col("_in.text").alias("text")).join(asked, "_rid").select("node", "bits", "text"), words, folder)
+    found = links(placed, wide + 3, blocks, 0, most, near_words=wide, sets=ShingleSets(folder, similarity), **how)
+    return fps, components(found)
+
+
+def _numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return written(docs.select(F.struct(*[F.col(c) for c in columns]).alias("_in"), F.monotonically_increasing_id().alias("_rid")), "simhash-rows")
+
+
+def similar(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, bits, component_id for every row: texts whose shingle sets have Jaccard *similarity* or more are linked."""
+    fps, groups = _similar(_numbered(docs, ["doc_id", "text"]), **how)
+    own = fps.groupBy("node").agg(F.min("doc_id").alias("first")).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = own.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.join(own.join(least, "root").select("node", "component_id"), "node").select("doc_id", "bits", "component_id")
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:

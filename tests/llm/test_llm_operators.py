@@ -119,6 +119,21 @@ def test_similar_texts_are_found(spark):
     assert kept == {2 * k for k in range(40)} | {2 * k + 1 for k in range(30, 40)}
 
 
+def test_only_whole_sets_decide_links(spark):
+    rng = np.random.default_rng(1)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 50_000, n)]
+    rows = []
+    for k in range(60):  # 5 or 8 changed words of 204: 175 of 225 shingles shared (0.78), or 160 of 240; 4: 180 of 220 (0.82)
+        w = words(204)
+        rows.append((2 * k, " ".join(w)))
+        for at in range(20, 20 + 20 * (5, 8, 4)[k % 3], 20):
+            w[at] += "x"
+        rows.append((2 * k + 1, " ".join(w)))
+    for task_rows in (20_000, 40):
+        got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), task_rows=task_rows, recall=0.9999).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - 1 if i % 2 and i // 2 % 3 == 2 else i for i in range(120)}
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
