@@ -397,9 +397,9 @@ def _with_sets(rows: DataFrame, words: int, wide: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [shingle_hashes(t, words) for t in b.column(2).to_pylist()]
+            found = [np.unique(shingle_hashes(t, words)) for t in b.column(2).to_pylist()]  # each shingle votes once
             bits = [_simhash(h, wide).astype(">u8").tobytes() for h in found]
-            node = np.array([xxhash.xxh3_64_intdigest(np.unique(h).tobytes()) for h in found], U).view(np.int64)
+            node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in found], U).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary()), pa.array(node)], ["_rid", "doc_id", "bits", "node"])
 
     own = rows.select("_rid", F.col("_in.doc_id").alias("doc_id"), F.col("_in.text").alias("text"))

@@ -134,6 +134,19 @@ def test_only_whole_sets_decide_links(spark):
         assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - 1 if i % 2 and i // 2 % 3 == 2 else i for i in range(120)}
 
 
+def test_a_repeated_line_votes_once(spark):
+    rng = np.random.default_rng(2)
+    line = "please read the terms of use before you print this"
+    rows = [(k, "\n".join([" ".join(f"w{x}" for x in rng.integers(0, 50_000, 110)), *[line] * 10])) for k in range(60)]
+    rows += [(100, rows[0][1] + "\n" + "\n".join([line] * 30))]  # the same set, other repeats
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in simhash.similar(df).collect()}
+    assert {k: r["component_id"] for k, r in got.items()} == {k: k % 100 for k in got} and got[0]["bits"] == got[100]["bits"]
+    fps = simhash.to_words([got[k]["bits"] for k in range(60)], len(got[0]["bits"]) // 8)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(axis=2)[np.triu_indices(60, 1)]
+    assert apart.min() > simhash.plan_similar(61, 0.8, 0.99)[2]  # such pairs are not even candidates
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
