@@ -5,7 +5,8 @@
    and its own key (``staff-no:`` in ``staff-no:48213``). Patterns and values travel as 64-bit hashes, never as text.
 3. Spark scores the pattern-instance graph for ``rounds`` rounds: a pattern's confidence is its instances' mean score, smoothed by
    one; an instance's score is the noisy-or of its confident patterns; seeds stay at 1. Patterns need ``min_support``
-   distinct instances, which prunes the chance contexts before any join.
+   distinct instances, seeds or not, which prunes the chance contexts first: a pattern without a seed can be accepted from the
+   instances that earlier rounds found.
 4. Values beside a pattern of ``min_confidence`` become spans of kind ``id``, unless they touch a base span.
 
 Everything per document is one row; the graph is aggregated with partial sums, and nothing of it is gathered on the driver.
@@ -147,7 +148,7 @@ def scan_documents(docs: DataFrame, keep: list[str]) -> DataFrame:
 def confident_patterns(found: DataFrame, rounds: int = 3, min_support: int = 5, min_confidence: float = 0.8) -> DataFrame:
     """pattern, confidence of the accepted patterns of the graph in *found* (value, pattern, seed)."""
     edges = found.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    known = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("s")).filter((F.col("n") >= min_support) & (F.col("s") > 0)).select("pattern")
+    known = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support).select("pattern")
     edges = written(edges.join(known, "pattern"), "pii-graph")
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for k in range(rounds):

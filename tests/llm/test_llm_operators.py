@@ -453,3 +453,12 @@ def test_patterns_discover_unseen_identifiers(spark, docs, empty):
     assert got[1][0]["base_sha256"] == hashlib.sha256(b"").hexdigest() and len(got[4]) == 2
     again = pii.redact_documents(docs)
     assert again.columns == docs.columns and again.count() == len(ROWS) and pii.redact_documents(empty).count() == 0
+
+
+def test_patterns_are_accepted_from_found_identifiers(spark):
+    rows = [(k, f"filler{k} staff mail user{k}@corp.example.org and text.") for k in range(90)]
+    rows += [(100 + k, f"words staff mail ZX-{48213 + k} here") for k in range(20)]  # found beside the seeds
+    rows += [(200 + k, f"words badge no ZX-{48213 + k} here") for k in range(20)]  # a second hop: no seed stands here
+    rows += [(300, "words badge no QY-77777 here"), (301, "words lot no QY-88888 here")]
+    got = rows_of(pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[300][0]["spans"] == "id:15:23" and got[200][0]["spans"] == "id:15:23" and got[301][0]["spans"] == ""
