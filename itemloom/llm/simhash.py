@@ -51,6 +51,7 @@ SHARD_ROWS = 1_000
 MAX_LEAVES = 2_048
 TASK_ROWS = 20_000
 COMPARED = 64
+NEAR_WORDS = 8
 U = np.uint64
 
 
@@ -380,16 +381,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = MAX_DIS
     return _grouped(fps, F.conv(F.hex("bits"), 16, -10).cast("long"), lambda nodes: links(nodes, 1, blocks, max_distance // parts, max_distance, **how))
 
 
-def plan_similar(rows: int, similarity: float, recall: float, least_words: int = 8) -> tuple[int, list[tuple[int, int]], int]:
+def plan_similar(rows: int, similarity: float, recall: float) -> tuple[int, list[tuple[int, int]], int]:
     """(words of 64 bits, blocks, distance in bits) for a Jaccard similarity among *rows* texts.
 
     Shingle sets of similarity s have cosine 2s / (1 + s) or more; a bit then differs with probability p = arccos / pi. The distance
-    leaves room for 5 standard deviations, as it only finds candidates."""
+    leaves room for 5 standard deviations, as it only finds candidates. Only the blocks follow the rows: more of them take more words,
+    but the distance is that of the first ``NEAR_WORDS`` at every size."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     size = min(24, max(12, math.ceil(math.log2(max(rows, 1) / 200 + 1))))
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** size))
-    wide = max(least_words, math.ceil(count * size / 64))
-    return wide, [(k * size, size) for k in range(count)], math.floor(64 * wide * p + 5 * math.sqrt(64 * wide * p * (1 - p)))
+    wide, near = max(NEAR_WORDS, math.ceil(count * size / 64)), 64 * NEAR_WORDS
+    return wide, [(k * size, size) for k in range(count)], math.floor(near * p + 5 * math.sqrt(near * p * (1 - p)))
 
 
 def _with_sets(rows: DataFrame, words: int, wide: int) -> DataFrame:
@@ -434,13 +436,13 @@ def _similar(rows: DataFrame, words: int = 5, similarity: float = 0.8, recall: f
     wide, blocks, most = plan_similar(rows.count(), similarity, recall)
     fps = written(_with_sets(rows, words, wide), "simhash-fps")
     nodes = written(fps.groupBy("node").agg(F.min("bits").alias("bits"), F.min("_rid").alias("_rid")), "simhash-nodes")
-    near = links(nodes, wide, blocks, 0, most, **how)
+    near = links(nodes, wide, blocks, 0, most, near_words=NEAR_WORDS, **how)
     near = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-near")
     folder = local_path(work_path(rows.sparkSession, "simhash-sets"))
     os.makedirs(folder, exist_ok=True)
     asked = written(nodes.join(near, "node"), "simhash-asked")
     placed = _with_places(rows.select("_rid", F.col("_in.text").alias("text")).join(asked, "_rid").select("node", "bits", "text"), words, folder)
-    found = links(placed, wide + 3, blocks, 0, most, near_words=wide, sets=ShingleSets(folder, similarity), **how)
+    found = links(placed, wide + 3, blocks, 0, most, near_words=NEAR_WORDS, sets=ShingleSets(folder, similarity), **how)
     return fps, components(found)
 
 

@@ -147,6 +147,11 @@ def test_a_repeated_line_votes_once(spark):
     assert apart.min() > simhash.plan_similar(61, 0.8, 0.99)[2]  # such pairs are not even candidates
 
 
+def test_the_cut_is_the_same_at_every_size():
+    plans = [simhash.plan_similar(n, 0.8, 0.99) for n in (1, 10**4, 2 * 10**6, 12 * 10**6, 10**9)]
+    assert len({most for _, _, most in plans}) == 1 and len({len(blocks) for _, blocks, _ in plans}) > 1
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
