@@ -395,17 +395,19 @@ def plan_similar(rows: int, similarity: float, recall: float) -> tuple[int, list
 
 
 def _with_sets(rows: DataFrame, words: int, wide: int) -> DataFrame:
-    """_rid, doc_id, bits, node (a hash of the shingle set) of *rows* (_rid, _in)."""
+    """_rid, doc_id, bits, node (a hash of the shingle set), digest (of the text) of *rows* (_rid, _in)."""
 
     def run(batches):
         for b in batches:
-            found = [np.unique(shingle_hashes(t, words)) for t in b.column(2).to_pylist()]  # each shingle votes once
+            texts = b.column(2).to_pylist()
+            found = [np.unique(shingle_hashes(t, words)) for t in texts]  # each shingle votes once
             bits = [_simhash(h, wide).astype(">u8").tobytes() for h in found]
             node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in found], U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary()), pa.array(node)], ["_rid", "doc_id", "bits", "node"])
+            digest = [None if t is None else xxhash.xxh3_64_intdigest(t.encode("utf-8")) - (1 << 63) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary()), pa.array(node), pa.array(digest, pa.int64())], ["_rid", "doc_id", "bits", "node", "digest"])
 
     own = rows.select("_rid", F.col("_in.doc_id").alias("doc_id"), F.col("_in.text").alias("text"))
-    return own.mapInArrow(run, f"_rid long, doc_id {dict(own.dtypes)['doc_id']}, bits binary, node long")
+    return own.mapInArrow(run, f"_rid long, doc_id {dict(own.dtypes)['doc_id']}, bits binary, node long, digest long")
 
 
 def _with_places(rows: DataFrame, words: int, folder: str) -> DataFrame:
@@ -432,7 +434,7 @@ def _with_places(rows: DataFrame, words: int, folder: str) -> DataFrame:
 
 
 def _similar(rows: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, **how) -> tuple[DataFrame, DataFrame]:
-    """(_rid, doc_id, bits, node of each of *rows* (_rid, _in); node, root of the nodes that are linked)."""
+    """(_rid, doc_id, bits, node, digest of each of *rows* (_rid, _in); node, root of the nodes that are linked)."""
     wide, blocks, most = plan_similar(rows.count(), similarity, recall)
     fps = written(_with_sets(rows, words, wide), "simhash-fps")
     nodes = written(fps.groupBy("node").agg(F.min("bits").alias("bits"), F.min("_rid").alias("_rid")), "simhash-nodes")
@@ -459,11 +461,13 @@ def similar(docs: DataFrame, **how) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id, once; rows without an id stay; all columns are kept."""
-    found = similar(docs, **how)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of each group of similar rows: of the smallest doc_id (any before none), then of the smallest digest of the text; all
+    other rows stay, whatever their ids, and so do all columns."""
+    rows = _numbered(docs, docs.columns)
+    fps, groups = _similar(rows, **how)
+    best = fps.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "_rid")).alias("best"))
+    best = best.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    return rows.join(best.select("best._rid"), "_rid", "left_semi").select("_in.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

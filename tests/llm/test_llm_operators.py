@@ -152,6 +152,13 @@ def test_the_cut_is_the_same_at_every_size():
     assert len({most for _, _, most in plans}) == 1 and len({len(blocks) for _, blocks, _ in plans}) > 1
 
 
+def test_each_group_keeps_one_row_and_other_rows_stay(spark):
+    words = lambda k: " ".join(f"w{k}_{i}" for i in range(60))
+    rows = [(1, words(1)), (1, words(2)), (None, words(3)), (None, words(3)), (None, words(4)), (5, words(4)), (7, words(7)), (7, words(7))]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == Counter([(1, words(1)), (1, words(2)), (None, words(3)), (5, words(4)), (7, words(7))])
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
