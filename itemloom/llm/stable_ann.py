@@ -4,22 +4,25 @@ The measure is the largest inner product. Vectors are lifted by one coordinate,
 queries), which makes the order of inner products the order of Euclidean distances. A Gaussian (2-stable) matrix projects the
 lifted vectors to ``dims`` dimensions: squared projected distance over squared true distance is chi-square with ``dims`` degrees.
 
-The projected space is cut into shards by a kd-tree over a bounded sample (it only decides the balance; every row is indexed). In
-a shard a kd-tree gives leaves with boxes. A query takes leaves in the order of their boxes' distance (incremental projected
-neighbours), verifies their vectors exactly, and stops when the next projected distance p fails the chi-square test:
-p^2 / d_k^2 > quantile(``confidence``), with d_k the distance of its k-th best so far. Queries are first answered in their own
-shard; the bound found there then decides, by the same test on the shards' boxes, which other shards they visit.
+The projected space is cut into shards by a kd-tree over a bounded sample of projections (it only decides the balance; every row is
+indexed). A shard over ``shard_rows`` rows is cut into parts by hash. In a part a kd-tree gives leaves with boxes. Queries take
+leaves in the order of their boxes' distance, some at a time (``STEPS``); in a leaf only vectors whose own projected distance p passes
+the chi-square test, p^2 <= quantile(``confidence``) * d_k^2 with d_k the distance of the k-th best so far, are verified
+exactly; a query stops when its next box fails the test. A neighbour at d <= d_k fails it with probability 1 - ``confidence`` at
+most, which bounds the loss of recall. Queries are first answered in their own shard; the bound found there decides, by the same test
+on the shards' cells, which other shards they visit. ``verified`` and ``shards`` report how much each query looked at.
 
 Exact copies of a vector tie, and ties go to the smaller vec_id; so of each vector only its k + 1 smallest ids can be among the
 k nearest of any query, and these stand for it in the index. Nothing else is left out.
 
 Defined results: vectors that are null, empty, zero, of another length than ``width`` (if given), or hold null or non-finite
 components take no part, as queries or candidates; null vec_ids neither; repeated rows are candidates each; a query with fewer
-candidates than k returns them all; an empty table gives no rows; extra columns are ignored.
+candidates than k returns them all; an empty table gives no rows; extra columns (clashing names too) are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -34,11 +37,14 @@ from itemloom.sources import table
 
 K = 20
 DIMS = 8
-CONFIDENCE = 0.99
+CONFIDENCE = 0.85
 SHARD_ROWS = 20_000
-LEAF_ROWS = 128
-SAMPLE_ROWS = 20_000
-QUERY_BLOCK = 256
+LEAST_SHARDS = 12  # of a small table, so that several tasks share it
+LEAF_ROWS = 256
+SAMPLE_ROWS = 100_000
+QUERY_BLOCK = 512
+#: Leaves that a query takes between two looks at its bound: the first ones, then more at a time.
+STEPS = (1, 2, 4, 8, 16)
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -71,61 +77,65 @@ def kd_boxes(points: np.ndarray, leaf_rows: int) -> list[np.ndarray]:
     return out
 
 
-def kd_splits(sample: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
-    """A kd-tree over all of space: nodes (axis, cut, left, right); children below 0 are leaves -1 - child. ``<= cut`` is left."""
-    nodes: list[list] = []
-    parts = [(sample, None, 0)]
-    while len(parts) < leaves:
-        k = int(np.argmax([len(p[0]) for p in parts]))
-        own, parent, side = parts[k]
-        axis = int(np.argmax(own.max(axis=0) - own.min(axis=0))) if len(own) > 1 else 0
-        cut = float(np.median(own[:, axis])) if len(own) > 1 else 0.0
-        left = own[:, axis] <= cut if len(own) > 1 else np.zeros(0, bool)
-        if len(own) < 4 or left.all() or not left.any():
-            break
-        me = len(nodes)
-        nodes.append([axis, cut, None, None])
-        if parent is not None:
-            nodes[parent][side] = me
-        parts[k] = (own[left], me, 2)
-        parts.append((own[~left], me, 3))
-    for i, (_, parent, side) in enumerate(parts):
-        if parent is not None:
-            nodes[parent][side] = -1 - i
-    return [tuple(n) for n in nodes]
-
-
-def descend(nodes, points: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(points), np.int64) if nodes else np.full(len(points), -1, np.int64)
-    while (at >= 0).any():
-        for n in np.unique(at[at >= 0]):
-            m = np.flatnonzero(at == n)
-            axis, cut, left, right = nodes[n]
-            at[m] = np.where(points[m, axis] <= cut, left, right)
-    return -1 - at
-
-
-def reached(nodes, points: np.ndarray, radius2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shard) wherever a ball of squared *radius2* around a point may meet a shard's cell."""
-    if not nodes:
-        return np.arange(len(points)), np.zeros(len(points), np.int64)
-    rows, shards, todo = [], [], [(0, np.arange(len(points)), np.zeros(points.shape))]
-    while todo:
-        at, idx, gap = todo.pop()
-        if not len(idx):
-            continue
-        if at < 0:
-            rows.append(idx)
-            shards.append(np.full(len(idx), -1 - at, np.int64))
-            continue
-        axis, cut, left, right = nodes[at]
-        x = points[idx, axis]
-        for child, beyond in ((left, np.maximum(0.0, x - cut)), (right, np.maximum(0.0, cut - x))):
-            g = gap.copy()
-            g[:, axis] = np.maximum(g[:, axis], beyond)
-            m = (g**2).sum(axis=1) <= radius2[idx]
-            todo.append((child, idx[m], g[m]))
-    return np.concatenate(rows), np.concatenate(shards)
+class Cells:
+    """A kd-tree over all of space. Nodes are (axis, cut, left, right), ``<= cut`` is left; a child below 0 is the shard -1 - child."""
+
+    def __init__(self, sample: np.ndarray, shards: int):
+        axis, cut, child, slots, n = [], [], [], [], 0
+        heap = [(-len(sample), 0, sample, None, 0)]
+        while heap:
+            _, _, own, parent, side = heapq.heappop(heap)
+            at = self._median(own) if len(heap) + len(slots) + 1 < shards else None
+            if at is None:
+                slots.append((parent, side))
+                continue
+            me = len(axis)
+            axis.append(at[0])
+            cut.append(at[1])
+            child.append([0, 0])
+            if parent is not None:
+                child[parent][side] = me
+            left = own[:, at[0]] <= at[1]
+            for k, part in enumerate((own[left], own[~left])):
+                n += 1
+                heapq.heappush(heap, (-len(part), n, part, me, k))
+        for i, (parent, side) in enumerate(slots):
+            if parent is not None:
+                child[parent][side] = -1 - i
+        self.axis, self.cut, self.child, self.shards = np.array(axis, np.int64), np.array(cut, float), np.array(child, np.int64).reshape(-1, 2), len(slots)
+
+    @staticmethod
+    def _median(own: np.ndarray) -> tuple[int, float] | None:
+        if len(own) < 4:
+            return None
+        axis = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
+        cut = float(np.median(own[:, axis]))
+        return (axis, cut) if 0 < np.count_nonzero(own[:, axis] <= cut) < len(own) else None
+
+    def home(self, points: np.ndarray) -> np.ndarray:
+        at = np.full(len(points), 0 if len(self.axis) else -1, np.int64)
+        while len(rows := np.flatnonzero(at >= 0)):
+            n = at[rows]
+            at[rows] = self.child[n, (points[rows, self.axis[n]] > self.cut[n]).astype(np.int64)]
+        return -1 - at
+
+    def reached(self, points: np.ndarray, radius2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard) wherever a ball of squared *radius2* around a point may meet a shard's cell."""
+        row, node, gap = np.arange(len(points)), np.full(len(points), 0 if len(self.axis) else -1, np.int64), np.zeros(points.shape)
+        found = []
+        while len(row):
+            done = node < 0
+            found.append((row[done], -1 - node[done]))
+            row, node, gap = row[~done], node[~done], gap[~done]
+            a, over = self.axis[node], points[row, self.axis[node]] - self.cut[node]
+            parts = []
+            for side, beyond in ((0, np.maximum(0.0, over)), (1, np.maximum(0.0, -over))):
+                g = gap.copy()
+                g[np.arange(len(g)), a] = np.maximum(g[np.arange(len(g)), a], beyond)
+                m = (g**2).sum(axis=1) <= radius2[row]
+                parts.append((row[m], self.child[node[m], side], g[m]))
+            row, node, gap = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (row, node)
 
 
 def usable(v: Column, width: int | None) -> Column:
@@ -143,103 +153,150 @@ class Projection:
         return x @ self.matrix[:-1] + lift[:, None] * self.matrix[-1]
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, proj: Projection, qid: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, stop: float, leaf_rows: int):
-    """(query row, vec_id, score) of the best k of each query in one shard; *bound* is a score that k candidates have elsewhere."""
-    px, pq = proj(x, False), proj(q, True)
-    leaves = kd_boxes(px, leaf_rows)
-    low, high = np.array([px[i].min(axis=0) for i in leaves]), np.array([px[i].max(axis=0) for i in leaves])
-    out_q, out_i, out_s = [], [], []
-    q2 = (q**2).sum(axis=1)
-    for b in range(0, len(q), QUERY_BLOCK):
-        block = slice(b, b + QUERY_BLOCK)
-        gap2 = (np.maximum(0.0, np.maximum(low[None] - pq[block, None], pq[block, None] - high[None])) ** 2).sum(axis=2)
-        order = np.argsort(gap2, axis=1)
-        for r in range(len(order)):
-            n = b + r
-            d2 = lambda s, n=n: max(0.0, proj.top**2 + q2[n] - 2 * s) + 1e-9
-            best_i, best_s, worst = np.zeros(0, np.int64), np.zeros(0), bound[n]
-            for leaf in order[r]:
-                if gap2[r, leaf] > stop * d2(worst):
-                    break
-                rows = leaves[leaf]
-                s = x[rows] @ q[n]
-                m = (s >= worst) & (ids[rows] != qid[n])
-                if not m.any():
-                    continue
-                best_i, best_s = np.concatenate((best_i, ids[rows][m])), np.concatenate((best_s, s[m]))
-                if len(best_i) > k:
-                    top = np.lexsort((best_i, -best_s))[:k]
-                    best_i, best_s = best_i[top], best_s[top]
-                if len(best_i) == k:
-                    worst = max(worst, best_s.min())
-            out_q.append(np.full(len(best_i), n))
-            out_i.append(best_i)
-            out_s.append(best_s)
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
+def _best(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best k of each query: largest score, ties to the smaller id."""
+    order = np.lexsort((i, -s, q))
+    first = np.flatnonzero(np.concatenate(([True], q[order][1:] != q[order][:-1]))) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[rank < k]
+
+
+class Part:
+    """Some vectors with their projections and the leaves of a kd-tree over these."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, proj: Projection, leaf_rows: int):
+        leaves = kd_boxes(px := proj(x, False), leaf_rows)
+        order, self.ends = np.concatenate(leaves), np.concatenate(([0], np.cumsum([len(r) for r in leaves])))
+        self.ids, self.x, self.px, self.proj = ids[order], x[order], px[order], proj
+        self.low, self.high = (np.array([f(px[r], axis=0) for r in leaves]) for f in (np.min, np.max))
+        self.p2 = (self.px**2).sum(axis=1)
+
+    def search(self, qid: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, stop: float):
+        """(query row, vec_id, score) of the best k of each query here, and how many vectors each verified. *bound*: a score that k
+        candidates have elsewhere."""
+        out, verified = [], np.zeros(len(q), np.int64)
+        for b in range(0, len(q), QUERY_BLOCK):
+            m = slice(b, b + QUERY_BLOCK)
+            r, i, s = self._block(qid[m], q[m], bound[m].copy(), k, stop, verified[m])
+            out.append((r + b, i, s))
+        return *(np.concatenate(x) for x in zip(*out, strict=True)), verified
+
+    def _block(self, qid, q, worst, k, stop, verified):
+        pq, top2 = self.proj(q, True), self.proj.top**2 + (q**2).sum(axis=1)
+        gap2 = (np.maximum(0.0, np.maximum(self.low[None] - pq[:, None], pq[:, None] - self.high[None])) ** 2).sum(axis=2)
+        order, q2 = np.argsort(gap2, axis=1), (pq**2).sum(axis=1)
+        slack = 1e-9 * (1 + self.proj.top * np.sqrt((q**2).sum(axis=1)))
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        at, step, open_ = 0, 0, np.arange(len(q))
+        while at < order.shape[1] and len(open_):
+            width = STEPS[min(step, len(STEPS) - 1)]
+            some, at, step = order[open_, at : at + width], at + width, step + 1
+            limit = stop * (np.maximum(0.0, top2 - 2 * worst) + 1e-9)  # infinite while k are wanting
+            leaf, asks = some.ravel(), np.repeat(open_, some.shape[1])
+            go = gap2[asks, leaf] <= limit[asks]
+            leaf, asks = leaf[go], asks[go]
+            by = np.argsort(leaf, kind="stable")
+            cuts = np.flatnonzero(np.diff(leaf[by])) + 1
+            got = [found]
+            for group in np.split(by, cuts) if len(by) else []:
+                n, who = leaf[group[0]], asks[group]
+                rows = slice(self.ends[n], self.ends[n + 1])
+                near = q2[who, None] + self.p2[None, rows] - 2 * (pq[who] @ self.px[rows].T) <= limit[who, None] + 1e-9
+                near &= self.ids[None, rows] != qid[who, None]
+                np.add.at(verified, who, near.sum(axis=1))
+                s = q[who] @ self.x[rows].T
+                a, c = np.nonzero(near & (s >= (worst[who] - slack[who])[:, None]))
+                exact = np.einsum("ij,ij->i", q[who[a]], self.x[rows][c])  # the same sum for copies wherever they lie
+                keep = exact >= worst[who[a]]
+                got.append([who[a][keep], self.ids[rows][c][keep], exact[keep]])
+            found = [np.concatenate(x) for x in zip(*got, strict=True)]
+            best = _best(*found, k)
+            found = [x[best] for x in found]
+            full = np.bincount(found[0], minlength=len(q)) >= k
+            last = np.full(len(q), np.inf)
+            np.minimum.at(last, found[0], found[2])
+            worst[full] = np.maximum(worst[full], last[full])
+            if at < order.shape[1]:
+                limit = stop * (np.maximum(0.0, top2 - 2 * worst) + 1e-9)
+                open_ = open_[gap2[open_, order[open_, at]] <= limit[open_]]
+        return found
+
+
+FOUND = "query_id long, vec_id long, score double, verified long"
 
 
 def nearest(vectors: DataFrame, query: Column, k: int = K, dims: int = DIMS, confidence: float = CONFIDENCE, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, width: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest other rows of each row of *vectors* (vec_id, embedding) that *query* picks."""
+    """query_id, rank, vec_id, score, verified, shards: the k nearest other rows of each row of *vectors* (vec_id, embedding) that *query* picks.
+
+    verified: vectors compared exactly for the query; shards: shards that it visited; both of all its rows alike."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     good = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"), width))
-    good = good.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double")))
-    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
+    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
     first = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))  # only k + 1 rows of a vector leave a task
     index = written(good.withColumn("n", first).filter(F.col("n") <= k + 1).drop("n"), "ann-index")
     total, top, width, other = index.agg(F.count(F.lit(1)), F.sqrt(F.max(norm2)), F.max(F.size("embedding")), F.min(F.size("embedding"))).first()
     if not total:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long, shards long")
     if width != other:
         raise ValueError(f"embeddings have {other} to {width} components; give width")
     proj, stop = Projection(width, dims, top), chi_square_quantile(confidence, dims)
-    share = min(1.0, SAMPLE_ROWS / total)
-    picked = index.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE_ROWS)
-    sample = np.array([r[0] for r in picked.select("embedding").collect()])
-    nodes = kd_splits(proj(sample, False), max(1, math.ceil(total / shard_rows)))
 
     def matrix(col: pa.Array) -> np.ndarray:
-        flat = col.flatten().to_numpy(zero_copy_only=False)
-        return flat.astype(float).reshape(-1, width)
+        return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
-    def to_shards(batches):
+    def project(batches):
         for b in batches:
-            yield b.append_column("shard", pa.array(descend(nodes, proj(matrix(b.column(1)), False)), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(proj(matrix(b.column(1)), False)), pa.list_(pa.float64()))], ["p"])
 
-    def to_own(batches):
-        for b in batches:
-            yield b.append_column("shard", pa.array(descend(nodes, proj(matrix(b.column(1)), True)), pa.int64()))
+    share = min(1.0, SAMPLE_ROWS / total)
+    picked = index.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE_ROWS)
+    sample = np.array([r[0] for r in picked.mapInArrow(project, "p array<double>").collect()]).reshape(-1, dims)
+    cells = spark.sparkContext.broadcast(Cells(sample, max(1, math.ceil(total / min(shard_rows, max(leaf_rows, total // LEAST_SHARDS))))))
+
+    def to_cells(query: bool):
+        def run(batches):
+            for b in batches:
+                yield b.append_column("shard", pa.array(cells.value.home(proj(matrix(b.column(1)), query)), pa.int64()))
+
+        return run
 
     def to_others(batches):
         for b in batches:
             x = matrix(b.column(1))
-            p, home = proj(x, True), descend(nodes, proj(x, True))
-            bound = b.column(2).to_numpy(zero_copy_only=False)
+            p, bound = proj(x, True), b.column(2).to_numpy(zero_copy_only=False)
             far2 = np.maximum(0.0, top**2 + (x**2).sum(axis=1) - 2 * bound) + 1e-9
-            rows, shards = reached(nodes, p, stop * np.where(np.isfinite(bound), far2, np.inf))
-            m = shards != home[rows]
+            rows, shards = cells.value.reached(p, stop * np.where(np.isfinite(bound), far2, np.inf))
+            m = shards != cells.value.home(p)[rows]
             yield b.take(pa.array(rows[m])).append_column("shard", pa.array(shards[m], pa.int64()))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="Int64"), "score": pd.Series(dtype="float64"), "verified": pd.Series(dtype="int64")})
+        part = Part(left["vec_id"].to_numpy(np.int64), np.stack(left["embedding"].to_numpy()).astype(float), proj, leaf_rows)
         qid = right["vec_id"].to_numpy(np.int64)
-        bound = right["bound"].to_numpy(float)
-        q, i, s = search_shard(left["vec_id"].to_numpy(np.int64), np.stack(left["embedding"].to_numpy()).astype(float), proj, qid, np.stack(right["embedding"].to_numpy()).astype(float), bound, k, stop, leaf_rows)
-        return pd.DataFrame({"query_id": qid[q], "vec_id": i, "score": s})
-
-    placed = index.mapInArrow(to_shards, "vec_id long, embedding array<double>, shard long")
+        q, i, s, n = part.search(qid, np.stack(right["embedding"].to_numpy()).astype(float), right["bound"].to_numpy(float), k, stop)
+        return pd.DataFrame({"query_id": np.concatenate((qid[q], qid)), "vec_id": pd.array(np.concatenate((i, np.zeros(len(qid), np.int64))), "Int64").copy(), "score": np.concatenate((s, np.full(len(qid), np.nan))), "verified": np.concatenate((np.zeros(len(q), np.int64), n))}).assign(
+            vec_id=lambda d: d["vec_id"].where(d["score"].notna())  # a row without a vector tells what the query looked at here
+        )
+
+    kind = dict(index.dtypes)["embedding"]
+    placed = index.mapInArrow(to_cells(False), f"vec_id long, embedding {kind}, shard long")
+    sizes = F.broadcast(placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("parts")))  # a row for each leaf of the tree, which the sample bounds
+    placed = placed.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts")
+    spread = lambda q: q.join(sizes, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     queries = good.filter(query).distinct()
-    own = queries.mapInArrow(to_own, "vec_id long, embedding array<double>, shard long").withColumn("bound", F.lit(float("-inf")))
-    found_kind = "query_id long, vec_id long, score double"
-    near = written(placed.groupBy("shard").cogroup(own.groupBy("shard")).applyInPandas(search, found_kind), "ann-near")
-    bounds = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("b"))
+    own = queries.mapInArrow(to_cells(True), f"vec_id long, embedding {kind}, shard long").withColumn("bound", F.lit(float("-inf")))
+    seen = lambda asked: placed.groupBy("shard", "part").cogroup(spread(asked).groupBy("shard", "part")).applyInPandas(search, FOUND)
+    near = written(seen(own), "ann-near")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))
+    bounds = near.filter("vec_id IS NOT NULL").withColumn("n", rank).filter(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("b"))
     asked = queries.join(bounds, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "embedding", F.coalesce("b", F.lit(float("-inf"))).alias("bound"))
-    others = asked.mapInArrow(to_others, "vec_id long, embedding array<double>, bound double, shard long")
-    far = placed.groupBy("shard").cogroup(others.groupBy("shard")).applyInPandas(search, found_kind)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
-    best = near.unionByName(far).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    far = seen(asked.mapInArrow(to_others, f"vec_id long, embedding {kind}, bound double, shard long"))
+    every = W.partitionBy("query_id")
+    rank = F.row_number().over(every.orderBy(F.col("vec_id").isNull(), F.desc("score"), F.asc("vec_id")))
+    both = near.unionByName(far).withColumns({"rank": rank, "verified": F.sum("verified").over(every), "shards": F.count_if(F.col("vec_id").isNull()).over(every)})
+    best = both.filter((F.col("rank") <= k) & F.col("vec_id").isNotNull())
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified", "shards")
 
 
 def op2_stable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

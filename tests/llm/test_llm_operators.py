@@ -183,6 +183,33 @@ def test_nearest_against_brute_force(spark):
     assert len(few[0]) == 4
 
 
+def test_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(60, 32))
+    x = (centre[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(size=(6000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), "c") for k, v in enumerate(x)], "vec_id long, embedding array<float>, shard string").withColumn("part", F.lit(0))
+    got = rows_of(stable_ann.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=500, leaf_rows=64), "query_id")
+    xf, hits = x.astype(float), 0
+    for q in range(0, 6000, 50):
+        s = xf @ xf[q]
+        s[q] = -np.inf
+        hits += len({r["vec_id"] for r in got[q]} & set(np.lexsort((np.arange(6000), -s))[:20].tolist()))
+    assert hits >= 0.9 * 120 * 20
+    one = [v[0] for v in got.values()]
+    assert np.mean([r["verified"] for r in one]) < 0.5 * 6000 and np.mean([r["shards"] for r in one]) < 6
+
+
+def test_cells_keep_every_reachable_shard():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(3000, 4)), rng.normal(size=(40, 4))
+    cells = stable_ann.Cells(x[:500], 40)
+    home, r2 = cells.home(x), np.full(40, 0.5)
+    row, shard = cells.reached(q, r2)
+    want = {(i, int(home[j])) for i in range(40) for j in np.flatnonzero(((x - q[i]) ** 2).sum(axis=1) <= 0.5)}
+    assert want <= set(zip(row.tolist(), shard.tolist())) and len(row) < 40 * 40 / 2 and cells.shards == 40
+    assert stable_ann.Cells(np.zeros((9, 4)), 5).home(x).max() == 0
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------------
 
 
