@@ -7,9 +7,9 @@ lifted vectors to ``dims`` dimensions: squared projected distance over squared t
 The projected space is cut into shards by a kd-tree over a bounded sample of projections (it only decides the balance; every row is
 indexed). A shard over ``shard_rows`` rows is cut into parts by hash. In a part a kd-tree gives leaves with boxes. Queries take
 leaves in the order of their boxes' distance, some at a time (``STEPS``); in a leaf only vectors whose own projected distance p passes
-the chi-square test, p^2 <= quantile(``confidence``) * d_k^2 with d_k the distance of the k-th best so far, are verified
-exactly; a query stops when its next box fails the test. A neighbour at d <= d_k fails it with probability 1 - ``confidence`` at
-most, which bounds the loss of recall. Queries are first answered in their own shard; the bound found there decides, by the same test
+the chi-square test, p^2 <= stop * d_k^2 with d_k the distance of the k-th best so far, are verified exactly; a query stops
+when its next box fails the test. ``stop`` is the quantile of p^2 / d_k^2 that keeps ``recall`` of the true neighbours of
+``FIT_QUERIES`` vectors among a sample of ``FIT_ROWS`` (of the chi-square law at ``recall`` where the sample is too small). Queries are first answered in their own shard; the bound found there decides, by the same test
 on the shards' cells, which other shards they visit. ``verified`` and ``shards`` report how much each query looked at.
 
 Exact copies of a vector tie, and ties go to the smaller vec_id; so of each vector only its k + 1 smallest ids can be among the
@@ -37,7 +37,9 @@ from itemloom.sources import table
 
 K = 20
 DIMS = 8
-CONFIDENCE = 0.85
+RECALL = 0.98
+FIT_ROWS = 4_000
+FIT_QUERIES = 200
 SHARD_ROWS = 20_000
 LEAST_SHARDS = 12  # of a small table, so that several tasks share it
 LEAF_ROWS = 256
@@ -222,10 +224,24 @@ class Part:
         return found
 
 
+def fit_stop(x: np.ndarray, proj: Projection, k: int, recall: float) -> float:
+    """The squared projected distance, in units of d_k^2, within which *recall* of the k nearest of some rows of *x* lie."""
+    law = chi_square_quantile(recall, proj.matrix.shape[1])
+    if len(x) < 4 * k:
+        return law
+    q = x[:: max(1, len(x) // FIT_QUERIES)][:FIT_QUERIES]
+    s = q @ x.T
+    s[np.arange(len(q)), np.arange(0, len(x), max(1, len(x) // FIT_QUERIES))[: len(q)]] = -np.inf
+    top = np.argpartition(-s, k, axis=1)[:, :k]
+    far2 = np.maximum(0.0, proj.top**2 + (q**2).sum(axis=1) - 2 * np.take_along_axis(s, top, axis=1).min(axis=1))
+    p2 = ((proj(q, True)[:, None] - proj(x, False)[top]) ** 2).sum(axis=2)
+    return float(np.quantile((p2[far2 > 0] / far2[far2 > 0, None]).ravel(), recall)) if (far2 > 0).any() else law
+
+
 FOUND = "query_id long, vec_id long, score double, verified long"
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = K, dims: int = DIMS, confidence: float = CONFIDENCE, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, width: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, k: int = K, dims: int = DIMS, recall: float = RECALL, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, width: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score, verified, shards: the k nearest other rows of each row of *vectors* (vec_id, embedding) that *query* picks.
 
     verified: vectors compared exactly for the query; shards: shards that it visited; both of all its rows alike."""
@@ -239,7 +255,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = K, dims: int = DIMS, con
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long, shards long")
     if width != other:
         raise ValueError(f"embeddings have {other} to {width} components; give width")
-    proj, stop = Projection(width, dims, top), chi_square_quantile(confidence, dims)
+    proj = Projection(width, dims, top)
 
     def matrix(col: pa.Array) -> np.ndarray:
         return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
@@ -250,6 +266,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = K, dims: int = DIMS, con
 
     share = min(1.0, SAMPLE_ROWS / total)
     picked = index.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE_ROWS)
+    stop = fit_stop(np.array([r[0] for r in picked.select("embedding").limit(FIT_ROWS).collect()], float), proj, k, recall)
     sample = np.array([r[0] for r in picked.mapInArrow(project, "p array<double>").collect()]).reshape(-1, dims)
     cells = spark.sparkContext.broadcast(Cells(sample, max(1, math.ceil(total / min(shard_rows, max(leaf_rows, total // LEAST_SHARDS))))))
 

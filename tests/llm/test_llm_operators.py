@@ -186,7 +186,8 @@ def test_nearest_against_brute_force(spark):
 def test_clustered_vectors_are_pruned(spark):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(60, 32))
-    x = (centre[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(size=(6000, 32))).astype(np.float32)
+    x = centre[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(size=(6000, 32))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
     df = spark.createDataFrame([(k, v.tolist(), "c") for k, v in enumerate(x)], "vec_id long, embedding array<float>, shard string").withColumn("part", F.lit(0))
     got = rows_of(stable_ann.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=500, leaf_rows=64), "query_id")
     xf, hits = x.astype(float), 0
