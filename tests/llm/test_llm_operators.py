@@ -381,16 +381,29 @@ def test_unreachable_tokens_stand_for_whole_pieces_only():
 # --- 8 ------------------------------------------------------------------------------------------------------------------
 
 
+def members(df, cascades):
+    return {r["key"] for r in url_filters.with_membership(df, F.array("key"), cascades).filter("_listed").collect()}
+
+
 def test_cascade_is_exact(spark):
     keys = [f"host{k}.example" for k in range(3000)]
     listed = keys[::17] + ["elsewhere.example"]
     u = spark.createDataFrame([(k,) for k in keys], "key string")
-    cascade = url_filters.build_cascade(u, listed)
-    got = {r["key"] for r in u.filter(cascade.contains(F.col("key"))).collect()}
-    assert got == set(keys[::17]) and len(cascade.levels) > 1
-    with pytest.raises(ValueError):
-        url_filters.build_cascade(u, listed, max_filter_bits=64)
-    assert url_filters.build_cascade(u, []).levels == []
+    one = url_filters.build_cascades(u, listed)
+    assert members(u, one) == set(keys[::17]) and len(one) == 1 and len(one[0].levels) > 1
+    assert all(bits <= url_filters.MAX_FILTER_BITS for c in one for bits, _ in c.levels)
+    assert url_filters.build_cascades(u, [])[0].levels == [] and members(u, url_filters.build_cascades(u, [])) == set()
+    many = url_filters.build_cascades(u, listed, max_filter_bits=700)  # a list over the bound is cut into slices
+    assert len(many) > 1 and members(u, many) == set(keys[::17])
+
+
+def test_a_million_listed_hosts(spark):
+    n = 1_000_000
+    u = spark.range(n * 5 // 4).select(F.concat(F.lit("h"), "id", F.lit(".example")).alias("key"))
+    listed = spark.range(n).select(F.concat(F.lit("h"), "id", F.lit(".example")).alias("key"))
+    got = url_filters.with_membership(u, F.array("key"), url_filters.build_cascades(u, listed))
+    number = F.regexp_extract("key", r"h([0-9]+)", 1).cast("long")
+    assert got.filter(F.col("_listed") != (number < n)).count() == 0 and got.count() == n * 5 // 4
 
 
 def test_url_cases(spark):
@@ -401,6 +414,8 @@ def test_url_cases(spark):
     assert got[3] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[4] == ("x.net", "", None, "allow") and got[5] == ("net", "/", "net/", "block")
     assert got[6] == ("www.ads-track.example.com", "", None, "block") and got[7] == ("b:", "//c/d", None, "allow") and got[8][2:] == ("org/fr/", "allow")
     assert url_filters.judge_urls(d.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "https://x.casino-win.example.com/"), (1, "https://b.example/"), (1, "https://b.example/")], "page_id long, url string")
+    assert sorted(map(str, url_filters.judge_urls(odd).select("page_id", "verdict").collect())) == sorted(["Row(page_id=None, verdict='block')", *["Row(page_id=1, verdict='allow')"] * 2])
 
 
 # --- 9 ------------------------------------------------------------------------------------------------------------------
