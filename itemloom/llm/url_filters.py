@@ -41,6 +41,8 @@ LISTED = (
     "spam-farm.example.net", "spam-farm.example.org",
 )
 MAX_FILTER_BITS = 1 << 25
+#: False-positive rate of the levels after the first: a sixteenth of the keys goes on, so six levels do for ten million.
+LATER_RATE = 1 / 16
 
 
 def url_host(url: Column) -> Column:
@@ -104,7 +106,7 @@ def filter_bits(keys: int, rate: float) -> int:
 
 
 def first_rate(listed: int, others: int) -> float:
-    return min(0.5, max(listed / max(others, 1) * math.sqrt(0.5), 1e-9))
+    return min(LATER_RATE, max(listed / max(others, 1) * math.sqrt(0.5), 1e-9))
 
 
 def listed_keys(universe: DataFrame, listed: DataFrame | Iterable[str]) -> DataFrame:
@@ -124,7 +126,7 @@ def build_cascade(keys: DataFrame, n_in: int, n_all: int) -> Cascade:
     """A cascade for *keys* (key, listed; distinct), exact on all of it; *n_in* of its *n_all* keys are listed."""
     out, wrong, n_wrong = Cascade([], []), keys.filter("listed"), n_in
     while n_wrong:
-        level, rate = len(out.levels), 0.5 if out.levels else first_rate(n_in, n_all - n_in)
+        level, rate = len(out.levels), LATER_RATE if out.levels else first_rate(n_in, n_all - n_in)
         bits, hashes = filter_bits(n_wrong, rate), max(1, round(math.log2(1 / rate)))
         out.filters.append(_filter_of(wrong, level, bits, hashes))
         out.levels.append((bits, hashes))

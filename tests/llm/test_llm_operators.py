@@ -393,7 +393,7 @@ def test_cascade_is_exact(spark):
     assert members(u, one) == set(keys[::17]) and len(one) == 1 and len(one[0].levels) > 1
     assert all(bits <= url_filters.MAX_FILTER_BITS for c in one for bits, _ in c.levels)
     assert url_filters.build_cascades(u, [])[0].levels == [] and members(u, url_filters.build_cascades(u, [])) == set()
-    many = url_filters.build_cascades(u, listed, max_filter_bits=700)  # a list over the bound is cut into slices
+    many = url_filters.build_cascades(u, listed, max_filter_bits=900)  # a list over the bound is cut into slices
     assert len(many) > 1 and members(u, many) == set(keys[::17])
 
 
