@@ -1,88 +1,168 @@
 r"""Toxicity: a bidirectional gated recurrent network with attention pooling, over word and character inputs, in numpy.
 
-Inputs of a word: its log-odds and their z-value among the training texts' labels, whether it is known, and from its
-characters the mean and largest z-value of its letter trigrams, its length, and its shares of digits and capitals. A forward and
-a backward GRU read windows of ``window`` words; attention weighs their states; a linear layer gives the window's logit. Windows
-overlap by half and together cover the whole text. A document's score is a logistic function of its largest window
-logit and of the mean of its three largest, fitted on the training documents.
-
-Training is on the driver, on a bounded sample of labelled rows (``max_train_docs``, by hash of the id; ids with
-crc32(doc_id) mod 3 = 1 are held out and never read). Statistics for a training document leave that document out, so its own words do
-not give its label away. Weights and lexicon (``max_words`` words) are bounded and broadcast; scoring is a map without shuffle.
+Inputs of a word, three parts: a learned vector of the word (one for all that the training texts hold less than twice); a vector of
+its character sequence, by a convolution over all of its letters, whatever its length, with learned letter vectors and a maximum
+over places; and statistics: its log-odds and their z-value among the training texts' labels, whether it is known, the mean and
+largest z-value of its letter trigrams, its length and its share of digits. A forward and a backward GRU read windows of ``window``
+words; attention weighs their states; a linear layer gives the window's logit. Windows overlap by half and together cover the whole
+text. A document's score is a logistic function of its largest window logit and of the mean of its three largest, fitted on the
+training documents. All vectors, the convolution and the GRU are trained together by gradients; learned vectors are left out
+at random in training (``LEFT_OUT``).
+
+Training is on the driver, on a bounded sample of labelled rows: ``max_train_docs`` at most, by hash of the id, whole texts, as long as
+they hold no more than ``max_train_chars`` characters together (ids with crc32(doc_id) mod 3 = 1 are held out and never read). Words
+and trigrams of these texts all count. Statistics for a training document leave that document out, so its own words do not give its label
+away. The model is broadcast, its size bounded by the sample's; scoring is a map without shuffle.
 
 Defined results: null and empty texts are one empty window and get the score of that; null doc_ids are scored, not held out and never
-trained on; labels other than 0 and 1 are not used; without labels of both kinds every score is 0; repeated rows score
-alike; an empty table gives no rows; language, source, id and other columns are no inputs, clashing names are ignored.
+trained on; labels other than 0 and 1 are not used, nor those of an id that has both; of several texts of one id the smallest is trained
+on; without labels of both kinds every score is 0; repeated rows score alike; an empty table gives no rows; language, source, id
+and other columns are no inputs, clashing names are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from itemloom.llm.common import written
 from itemloom.sources import table
 
 WINDOW = 48
 HIDDEN = 8
 MAX_TRAIN_DOCS = 6_000
-MAX_WORDS = 200_000
-CACHE_WORDS = 400_000
+MAX_TRAIN_CHARS = 24_000_000
+CACHE_WORDS = 200_000
 CUT = 0.7
 _WORDS = re.compile(r"\w+")
 F32 = np.float32
-N_IN = 8
+N_STATS, WORD_DIMS, CHAR_DIMS, LETTER_DIMS, LETTERS = 8, 8, 12, 6, 512
+N_IN = N_STATS + WORD_DIMS + CHAR_DIMS
+LEFT_OUT = 0.3
+PLACES = 500_000  # letters looked at in one go
+
+
+class Places:
+    """Every place of the letters of some words, each with its two neighbours; a word starts after \x02 and ends before \x03."""
+
+    def __init__(self, words: list[str]):
+        self.n = len(words)
+        self.codes = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.ends = np.cumsum(self.sizes)
+
+    def chunks(self):
+        """(word of each run, where the runs start, trigram keys, letter numbers (places, 3)) of PLACES places at a time."""
+        total = int(self.ends[-1]) if self.n else 0
+        for k in range(0, total, PLACES):
+            at = np.arange(k, min(total, k + PLACES))
+            word = np.searchsorted(self.ends, at, side="right")
+            c = self.codes[(at + 2 * word)[:, None] + np.arange(3)]
+            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            letter = np.where(c < 4, c - 2, 2 + c % (LETTERS - 2))
+            yield word[start], start, (c[:, 0] << 42) | (c[:, 1] << 21) | c[:, 2], letter
 
 
 class Lexicon:
-    """Label statistics of words and letter trigrams over the training texts."""
+    """Label statistics of words and letter trigrams over the training texts; a text is the numbers of its words in *vocabulary*."""
 
-    def __init__(self, texts: list[list[str]], y: np.ndarray, max_words: int = MAX_WORDS):
-        pos, neg, tri_pos, tri_neg = Counter(), Counter(), Counter(), Counter()
-        for words, label in zip(texts, y, strict=True):
-            (pos if label else neg).update(set(words))
-            (tri_pos if label else tri_neg).update({t for w in set(words) for t in self.trigrams(w)})
+    def __init__(self, texts: list[np.ndarray], vocabulary: list[str], y: np.ndarray):
+        counts = np.zeros((len(vocabulary), 2), np.int64)
+        for ids, label in zip(texts, y, strict=True):
+            counts[np.unique(ids), 0 if label else 1] += 1
         self.n = (int(y.sum()), int(len(y) - y.sum()))
-        kept = sorted((w for w in pos.keys() | neg.keys() if pos[w] + neg[w] > 1), key=lambda w: (-(pos[w] + neg[w]), w))[:max_words]
-        self.words = {w: (pos[w], neg[w]) for w in kept}
-        tris = sorted(tri_pos.keys() | tri_neg.keys(), key=lambda t: (-(tri_pos[t] + tri_neg[t]), t))[:max_words]
-        odds, z = self.odds(np.array([tri_pos[t] for t in tris]), np.array([tri_neg[t] for t in tris]))
-        self.tris = dict(zip(tris, z.tolist(), strict=True))
-
-    @staticmethod
-    def trigrams(word: str) -> list[str]:
-        w = f"^{word[:40]}$"
-        return [w[i : i + 3] for i in range(len(w) - 2)]
+        kept = np.flatnonzero(counts.sum(axis=1) > 1)
+        self.words = {vocabulary[w]: k for k, w in enumerate(kept.tolist())}
+        self.counts = counts[kept].astype(float)
+        keys, runs = [np.zeros(0, np.int64)], np.zeros(len(vocabulary) + 1, np.int64)
+        place = Places(vocabulary)
+        runs[1:] = place.ends
+        keys = np.concatenate([keys[0], *[k for _, _, k, _ in place.chunks()]])
+        self.keys, number = np.unique(keys, return_inverse=True)
+        tri = np.zeros((len(self.keys), 2), np.int64)
+        for ids, label in zip(texts, y, strict=True):
+            own = np.unique(ids)
+            size = runs[own + 1] - runs[own]
+            at = np.repeat(runs[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
+            tri[np.unique(number[at]), 0 if label else 1] += 1
+        self.z = self.odds(tri[:, 0], tri[:, 1])[1]
 
     def odds(self, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lo = np.log((pos + 0.5) / (self.n[0] + 1)) - np.log((neg + 0.5) / (self.n[1] + 1))
         return lo, lo / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
 
-    def characters(self, word: str) -> tuple[float, float, float, float, float]:
-        z = [self.tris.get(t, 0.0) for t in self.trigrams(word)] or [0.0]
-        n = max(1, len(word))
-        return sum(z) / len(z) / 4, max(z) / 4, min(len(word), 20) / 10, sum(c.isdigit() for c in word) / n, float(word in self.words)
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Row of each word's learned vector: 0 for the unknown, else 1 + its place."""
+        get = self.words.get
+        return np.array([get(w, -1) for w in words], np.int64) + 1
 
-    def rows(self, words: list[str], left_out: int | None = None) -> np.ndarray:
-        """Inputs (len(words), N_IN); *left_out*: the label of the training text that they are from."""
-        counts = np.array([self.words.get(w, (0, 0)) for w in words], float).reshape(-1, 2)
+    def stats(self, words: list[str], places: Places, left_out: int | None = None) -> np.ndarray:
+        """Statistics (len(words), N_STATS); *left_out*: the label of the training text that they are from."""
+        at = self.numbers(words)
+        counts = np.where((at > 0)[:, None], self.counts[np.maximum(at - 1, 0)] if len(self.counts) else 0.0, 0.0)
         if left_out is not None:
             k = 0 if left_out else 1
             counts[:, k] = np.maximum(0, counts[:, k] - 1)
         lo, z = self.odds(counts[:, 0], counts[:, 1])
         seen = counts.sum(axis=1) > 0
-        x = np.zeros((len(words), N_IN), F32)
+        most, total = np.full(len(words), -np.inf), np.zeros(len(words))
+        for word, start, key, _ in places.chunks():
+            spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else np.zeros(len(key), np.int64)
+            found = np.where(self.keys[spot] == key, self.z[spot], 0.0) if len(self.keys) else np.zeros(len(key))
+            most[word] = np.maximum(most[word], np.maximum.reduceat(found, start))
+            total[word] += np.add.reduceat(found, start)
+        x = np.zeros((len(words), N_STATS), F32)
         x[:, 0], x[:, 1], x[:, 2] = np.where(seen, z, 0) / 4, np.where(seen, lo, 0) / 4, seen
-        x[:, 3:7] = np.array([self.characters(w)[:4] for w in words], F32).reshape(-1, 4)
+        x[:, 3], x[:, 4], x[:, 5] = total / np.maximum(places.sizes, 1) / 4, most / 4, np.minimum(places.sizes, 20) / 10
+        x[:, 6] = [sum(map(str.isdigit, w)) / len(w) for w in words]
         x[:, 7] = 1
         return x
 
 
+class WordNet:
+    """Learned vectors of words, and of their letters by a convolution of width 3 with a maximum over places."""
+
+    def __init__(self, words: int, seed: int = 4):
+        rng = np.random.default_rng(seed)
+        self.p = {k: rng.normal(0, d, s).astype(F32) for k, d, s in (("E", 0.05, (words + 1, WORD_DIMS)), ("C", 0.5, (LETTERS, LETTER_DIMS)), ("K", 0.3, (3, LETTER_DIMS, CHAR_DIMS)), ("k", 0.1, (CHAR_DIMS,)))}
+
+    def characters(self, places: Places, keep: bool = False):
+        """The character vector of each word; *keep*: also where each maximum was found, as three letters each."""
+        tables = [self.p["C"] @ self.p["K"][j] for j in range(3)]
+        top = np.full((places.n, CHAR_DIMS), -np.inf, F32)
+        won = np.zeros((places.n, CHAR_DIMS, 3), np.int64)
+        for word, start, _, letter in places.chunks():
+            a = tables[0][letter[:, 0]] + tables[1][letter[:, 1]] + tables[2][letter[:, 2]]
+            best = np.maximum.reduceat(a, start, axis=0)
+            if keep:
+                runs = np.diff(np.append(start, len(a)))
+                at = np.where(a == np.repeat(best, runs, axis=0), np.arange(len(a))[:, None], len(a))
+                better = best > top[word]
+                won[word] = np.where(better[:, :, None], letter[np.minimum.reduceat(at, start, axis=0)], won[word])
+            top[word] = np.maximum(top[word], best)
+        out = np.tanh(top + self.p["k"])
+        return (out, won) if keep else out
+
+    def vectors(self, numbers: np.ndarray, places: Places) -> np.ndarray:
+        return np.concatenate((self.p["E"][numbers], self.characters(places)), axis=1)
+
+    def gradients(self, chars: np.ndarray, won: np.ndarray, g: np.ndarray) -> dict[str, np.ndarray]:
+        """Of C, K and k, from the gradient *g* of the character vectors."""
+        d = g * (1 - chars * chars)
+        grad = {"C": np.zeros_like(self.p["C"]), "K": np.zeros_like(self.p["K"]), "k": d.sum(axis=0)}
+        for j in range(3):
+            table = np.bincount((won[:, :, j] * CHAR_DIMS + np.arange(CHAR_DIMS)).ravel(), d.ravel(), LETTERS * CHAR_DIMS).reshape(LETTERS, CHAR_DIMS).astype(F32)
+            grad["C"] += table @ self.p["K"][j].T
+            grad["K"][j] = self.p["C"].T @ table
+        return grad
+
+
 def _sigmoid(x):
     return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
 
@@ -93,11 +173,14 @@ class BiGru:
         self.h = h
         self.p = {k: rng.normal(0, 0.3, s).astype(F32) for k, s in {"Wf": (N_IN, 3 * h), "Uf": (h, 3 * h), "bf": (3 * h,), "Wb": (N_IN, 3 * h), "Ub": (h, 3 * h), "bb": (3 * h,), "A": (2 * h,), "w": (2 * h,), "c": (1,)}.items()}
 
-    def _pass(self, x, mask, d, keep):
-        """States of one direction (T, B, H); x: (T, B, N_IN), mask: (T, B, 1)."""
-        w, u, b, h = self.p["W" + d], self.p["U" + d], self.p["b" + d], self.h
-        T, B = x.shape[:2]
-        a = (x.reshape(T * B, -1) @ w + b).reshape(T, B, 3 * h)
+    def inputs(self, x, d):
+        """What the inputs (..., N_IN) add to the gates of one direction."""
+        return x @ self.p["W" + d] + self.p["b" + d]
+
+    def _pass(self, a, mask, d, keep):
+        """States of one direction (T, B, H); a: its inputs (T, B, 3H), mask: (T, B, 1)."""
+        u, h = self.p["U" + d], self.h
+        T, B = a.shape[:2]
         s, out, tape = np.zeros((B, h), F32), np.empty((T, B, h), F32), []
         for t in range(T) if d == "f" else range(T - 1, -1, -1):
             q = s @ u
@@ -111,8 +194,11 @@ class BiGru:
         return out, tape
 
     def logits(self, x, mask, keep=False):
-        f, tf = self._pass(x, mask, "f", keep)
-        b, tb = self._pass(x, mask, "b", keep)
+        return self.logits_of(self.inputs(x, "f"), self.inputs(x, "b"), mask, keep)
+
+    def logits_of(self, in_f, in_b, mask, keep=False):
+        f, tf = self._pass(in_f, mask, "f", keep)
+        b, tb = self._pass(in_b, mask, "b", keep)
         states = np.concatenate((f, b), axis=2)
         e = np.where(mask[:, :, 0] > 0, states @ self.p["A"], F32(-30))
         e = np.exp(e - e.max(axis=0))
@@ -130,6 +216,7 @@ class BiGru:
         de = att * (da - (att * da).sum(axis=0)) * mask[:, :, 0]
         grad["A"] = (de[:, :, None] * states).sum(axis=(0, 1))
         ds = att[:, :, None] * dp + de[:, :, None] * p["A"]
+        grad["x"] = np.zeros_like(x)
         for d, tape, part in (("f", tf, ds[:, :, :h]), ("b", tb, ds[:, :, h:])):
             dw, du, db, carry = np.zeros_like(p["W" + d]), np.zeros_like(p["U" + d]), np.zeros_like(p["b" + d]), np.zeros((x.shape[1], h), F32)
             for t, s, z, r, n, qn in reversed(tape):
@@ -140,29 +227,58 @@ class BiGru:
                 dr = dn * qn * r * (1 - r)
                 dt, dq = np.concatenate((dz, dr, dn), axis=1), np.concatenate((dz, dr, dn * r), axis=1)
                 dw += x[t].T @ dt
+                grad["x"][t] += dt @ p["W" + d].T
                 db += dt.sum(axis=0)
                 du += s.T @ dq
                 carry = full - one + one * z + dq @ p["U" + d].T
             grad |= {"W" + d: dw, "U" + d: du, "b" + d: db}
         return grad
 
-    def train(self, x, mask, y, epochs=8, batch=128, rate=0.01, seed=5, least_steps=600):
-        """Adam on the mean logistic loss, *least_steps* steps or more; x: (windows, T, N_IN)."""
-        rng, step = np.random.default_rng(seed), 0
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        for _ in range(max(epochs, -(-least_steps * batch // len(y)))):
-            order = rng.permutation(len(y))
-            for k in range(0, len(y), batch):
-                i = order[k : k + batch]
-                xb, mb = np.ascontiguousarray(x[i].transpose(1, 0, 2)), np.ascontiguousarray(mask[i].T[:, :, None])
-                out, saved = self.logits(xb, mb, keep=True)
-                grad = self.gradients(xb, mb, ((_sigmoid(out) - y[i]) / len(i)).astype(F32), saved)
-                step += 1
-                for name, g in grad.items():
-                    g = np.clip(g, -1, 1) + F32(1e-4) * self.p[name]
-                    m[name] = F32(0.9) * m[name] + F32(0.1) * g
-                    v[name] = F32(0.999) * v[name] + F32(0.001) * g * g
-                    self.p[name] -= F32(rate) * (m[name] / F32(1 - 0.9**step)) / (np.sqrt(v[name] / F32(1 - 0.999**step)) + F32(1e-8))
+
+class Adam:
+    """Steps of Adam on some arrays in place; of rows of a large one (``rows``) by their own squared gradients alone."""
+
+    def __init__(self, rate: float = 0.01):
+        self.rate, self.step, self.m, self.v = rate, 0, {}, {}
+
+    def __call__(self, p: dict, grad: dict) -> None:
+        self.step += 1
+        for name, g in grad.items():
+            g = np.clip(g, -1, 1) + F32(1e-4) * p[name]
+            self.m[name] = F32(0.9) * self.m.get(name, F32(0)) + F32(0.1) * g
+            self.v[name] = F32(0.999) * self.v.get(name, F32(0)) + F32(0.001) * g * g
+            p[name] -= F32(self.rate) * (self.m[name] / F32(1 - 0.9**self.step)) / (np.sqrt(self.v[name] / F32(1 - 0.999**self.step)) + F32(1e-8))
+
+    def rows(self, p: dict, name: str, at: np.ndarray, g: np.ndarray) -> None:
+        v = self.v.setdefault(name, np.full(len(p[name]), 1e-6, F32))
+        v[at] += (g * g).mean(axis=1)
+        p[name][at] -= F32(self.rate) * (g / np.sqrt(v[at])[:, None] + F32(0.01) * p[name][at])
+
+
+def train_nets(gru: BiGru, words: WordNet, vocabulary: list[str], numbers: np.ndarray, stats: np.ndarray, ids: np.ndarray, mask: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, seed: int = 5, least_steps: int = 600) -> None:
+    """Both nets on the mean logistic loss of windows; *ids* (windows, T) into *vocabulary* and *stats* (label, word, N_STATS)."""
+    rng, adam = np.random.default_rng(seed), Adam()
+    for _ in range(max(epochs, -(-least_steps * batch // len(y)))):
+        order = rng.permutation(len(y))
+        for k in range(0, len(y), batch):
+            i = order[k : k + batch]
+            used, inverse = np.unique(ids[i].T, return_inverse=True)
+            inverse = inverse.reshape(ids.shape[1], len(i))
+            chars, won = words.characters(Places([vocabulary[w] for w in used.tolist()]), keep=True)
+            learned = np.concatenate((words.p["E"][numbers[used]], chars), axis=1)
+            mb = np.ascontiguousarray(mask[i].T[:, :, None])
+            on = mb * (rng.random((*inverse.shape, 1)) >= LEFT_OUT)  # a word counts by its statistics alone now and then
+            x = np.concatenate((stats[y[i].astype(np.int64)[None], ids[i].T], learned[inverse] * on), axis=2).astype(F32) * mb
+            out, saved = gru.logits(x, mb, keep=True)
+            grad = gru.gradients(x, mb, ((_sigmoid(out) - y[i]) / len(i)).astype(F32), saved)
+            dx = (grad.pop("x")[:, :, N_STATS:] * on * mb).reshape(-1, WORD_DIMS + CHAR_DIMS)
+            by = np.argsort(inverse.ravel(), kind="stable")
+            each = np.add.reduceat(dx[by], np.searchsorted(inverse.ravel()[by], np.arange(len(used))), axis=0)
+            adam(gru.p | words.p, grad | words.gradients(chars, won, each[:, WORD_DIMS:]))
+            rows, back = np.unique(numbers[used], return_inverse=True)
+            g = np.zeros((len(rows), WORD_DIMS), F32)
+            np.add.at(g, back, each[:, :WORD_DIMS])
+            adam.rows(words.p, "E", rows, g)
 
 
 def windows_of(n: int, window: int) -> np.ndarray:
@@ -175,10 +291,10 @@ def windows_of(n: int, window: int) -> np.ndarray:
 
 
 class Model:
-    """Lexicon, network and calibration; ``score`` gives probabilities for texts."""
+    """Lexicon, nets and calibration; ``score`` gives probabilities for texts."""
 
-    def __init__(self, lexicon: Lexicon | None, net: BiGru | None, link: np.ndarray | None, window: int = WINDOW):
-        self.lexicon, self.net, self.link, self.window = lexicon, net, link, window
+    def __init__(self, lexicon: Lexicon | None, net: BiGru | None, words: WordNet | None, link: np.ndarray | None, window: int = WINDOW):
+        self.lexicon, self.net, self.words, self.link, self.window = lexicon, net, words, link, window
 
     def __getstate__(self):
         return self.__dict__ | {"index": None, "rows": None}
@@ -186,7 +302,16 @@ class Model:
     def _ready(self):
         if self.__dict__.get("index") is None:
             self.index: dict[str, int] = {}
-            self.rows = np.zeros((1024, N_IN), F32)
+            self.rows = np.zeros((1024, 6 * self.net.h), F32)
+
+    def inputs(self, words: list[str]) -> np.ndarray:
+        """Inputs (len(words), N_IN)."""
+        places = Places(words)
+        return np.concatenate((self.lexicon.stats(words, places), self.words.vectors(self.lexicon.numbers(words), places)), axis=1)
+
+    def _gates(self, words: list[str]) -> np.ndarray:
+        x = self.inputs(words)
+        return np.concatenate((self.net.inputs(x, "f"), self.net.inputs(x, "b")), axis=1)
 
     def _ids(self, words: list[str]) -> np.ndarray:
         get = self.index.get
@@ -199,17 +324,19 @@ class Model:
             first = len(self.index)
             while first + len(new) > len(self.rows):
                 self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            self.rows[first : first + len(new)] = self.lexicon.rows(new)
+            self.rows[first : first + len(new)] = self._gates(new)
             self.index.update(zip(new, range(first, first + len(new)), strict=True))
             ids = [self.index[w] for w in words]
         return np.array(ids, np.int64)
 
-    def window_logits(self, rows: np.ndarray, at: np.ndarray, chunk: int = 4096) -> np.ndarray:
-        out = np.empty(len(at), F32)
+    def window_logits(self, gates: np.ndarray, at: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        """Logits of windows of rows of *gates*, which a word's inputs add to both directions; -1 is no word."""
+        out, h3 = np.empty(len(at), F32), 3 * self.net.h
         for k in range(0, len(at), chunk):
             part = at[k : k + chunk].T
             mask = (part >= 0).astype(F32)[:, :, None]
-            out[k : k + chunk] = self.net.logits(rows[np.maximum(part, 0)] * mask if len(rows) else np.zeros((*part.shape, N_IN), F32), mask)
+            a = gates[np.maximum(part, 0)] if len(gates) else np.zeros((*part.shape, 2 * h3), F32)
+            out[k : k + chunk] = self.net.logits_of(a[:, :, :h3], a[:, :, h3:], mask)
         return out
 
     @staticmethod
@@ -254,39 +381,51 @@ def train_model(texts: list[str], y: np.ndarray, window: int = WINDOW, **net) ->
     """A model of *texts* and their labels (0 or 1)."""
     y = np.asarray(y, np.int64)
     if not len(y) or y.min() == y.max():
-        return Model(None, None, None, window)
-    one: dict[str, str] = {}  # one string a word: millions of equal ones would fill the driver
-    words = [[one.setdefault(w, w) for w in _WORDS.findall(t.lower())] for t in texts]
-    lexicon = Lexicon(words, y)
-    rng, xs, ys, all_x, all_at = np.random.default_rng(1), [], [], [], []
-    for w, label in zip(words, y, strict=True):
-        x, at = lexicon.rows(w, left_out=int(label)), windows_of(len(w), window)
-        all_x.append(x)
-        all_at.append(at)
-        z = np.where(at >= 0, np.maximum(x[np.maximum(at, 0), 0], 0) ** 2 if len(x) else 0.0, 0.0).sum(axis=1)
-        picks = {int(np.argmax(z))} | (set() if label else {int(rng.integers(len(at)))})  # the window that stands out; of clean texts any other too
-        for k in picks:
-            xs.append(np.where(at[k][:, None] >= 0, x[np.maximum(at[k], 0)] if len(x) else 0, 0).astype(F32))
-            ys.append((int(label), (at[k] >= 0).astype(F32)))
-    gru = BiGru(**net)
-    gru.train(np.stack(xs), np.stack([m for _, m in ys]), np.array([v for v, _ in ys], F32))
-    model = Model(lexicon, gru, None, window)
-    found = np.array([model.summary(model.window_logits(x, at)) for x, at in zip(all_x, all_at, strict=True)])
+        return Model(None, None, None, None, window)
+    place: dict[str, int] = {}
+    ids = [np.array([place.setdefault(w, len(place)) for w in _WORDS.findall(t.lower())], np.int64) for t in texts]
+    vocabulary = list(place)
+    lexicon, places = Lexicon(ids, vocabulary, y), Places(vocabulary)
+    stats = np.stack([lexicon.stats(vocabulary, places, left_out=k) for k in (0, 1)])
+    rng, picked, masks, labels, spans = np.random.default_rng(1), [], [], [], []
+    for own, label in zip(ids, y, strict=True):
+        at = windows_of(len(own), window)
+        spans.append(at)
+        known = own[np.maximum(at, 0)] if len(own) else np.zeros(at.shape, np.int64)
+        z = np.where(at >= 0, np.maximum(stats[label, known, 0], 0) ** 2 if len(own) else 0.0, 0.0).sum(axis=1)
+        for k in {int(np.argmax(z))} | (set() if label else {int(rng.integers(len(at)))}):  # the window that stands out; of clean texts any other too
+            picked.append(known[k])
+            masks.append((at[k] >= 0).astype(F32))
+            labels.append(label)
+    gru, words = BiGru(**net), WordNet(len(lexicon.words))
+    model = Model(lexicon, gru, words, None, window)
+    if vocabulary:
+        train_nets(gru, words, vocabulary, lexicon.numbers(vocabulary), stats, np.stack(picked), np.stack(masks), np.array(labels, F32))
+        vectors = words.vectors(lexicon.numbers(vocabulary), places)
+        gates = [np.concatenate([gru.inputs(np.concatenate((stats[k], vectors), axis=1), d) for d in "fb"], axis=1) for k in (0, 1)]
+    else:
+        gates = [np.zeros((0, 6 * gru.h), F32)] * 2
+    found = np.array([model.summary(model.window_logits(gates[label][own], at)) for own, at, label in zip(ids, spans, y, strict=True)])
     model.link = fit_link(found, y)
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """text, toxic of at most *max_docs* labelled documents, by hash of the id, none of them held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
+    """doc_id, text, toxic of at most *max_docs* labelled documents, by hash of the id, none of them held out, with *max_chars* characters at most."""
     ids = F.crc32(F.col("doc_id").cast("string"))
-    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (F.pmod(ids, F.lit(3)) != 1)).dropDuplicates(["doc_id"])
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (F.pmod(ids, F.lit(3)) != 1))
+    marks = marks.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").select("doc_id", "toxic")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # bounded: the join's small side
-    return own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = written(rows.withColumn("n", F.char_length("text")), "toxic-rows")
+    held = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    fits = rows.select("doc_id", "n").withColumn("all", F.sum("n").over(held)).filter(F.col("all") <= max_chars)  # max_docs rows at most, without texts
+    return rows.join(F.broadcast(fits.select("doc_id")), "doc_id").select("doc_id", "text", "toxic")
 
 
-def fit_from_tables(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    rows = sorted(training_rows(docs, labels, max_docs).collect())
+def fit_from_tables(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> Model:
+    rows = sorted(training_rows(docs, labels, max_docs, max_chars).collect())
     return train_model([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64))
 
 

@@ -437,6 +437,71 @@ def test_gradients():
         a[i] += 0.01
 
 
+def test_letter_gradients():
+    rng, net = np.random.default_rng(0), toxicity.WordNet(3)
+    places, g = toxicity.Places(["ab", "vile", "x"]), rng.normal(size=(3, toxicity.CHAR_DIMS)).astype("f")
+    grad = net.gradients(*net.characters(places, keep=True), g)
+    for k in "CKk":
+        i = np.unravel_index(int(np.abs(grad[k]).argmax()), grad[k].shape)
+        a, up = net.p[k], []
+        for d in (0.005, -0.01):
+            a[i] += d
+            up.append(float((net.characters(places) * g).sum()))
+        assert abs((up[0] - up[1]) / 0.01 - grad[k][i]) < 2e-2 * max(1, abs(grad[k][i]))
+
+
+def plain_score(m, text):
+    """The score of one text, word by word and gate by gate."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p, q, lex, h = {k: v.astype(float) for k, v in m.net.p.items()}, {k: v.astype(float) for k, v in m.words.p.items()}, m.lexicon, m.net.h
+    rows = []
+    for w in re.findall(r"\w+", text.lower()):
+        pos, neg = lex.counts[lex.words[w]] if w in lex.words else (0.0, 0.0)
+        lo = math.log((pos + 0.5) / (lex.n[0] + 1)) - math.log((neg + 0.5) / (lex.n[1] + 1))
+        z = lo / math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+        c = [2, *map(ord, w), 3]
+        key = {int(k): float(v) for k, v in zip(lex.keys, lex.z)}
+        tri = [key.get((c[i] << 42) | (c[i + 1] << 21) | c[i + 2], 0.0) for i in range(len(w))]
+        seen = pos + neg > 0
+        stats = [z / 4 * seen, lo / 4 * seen, seen, sum(tri) / len(w) / 4, max(tri) / 4, min(len(w), 20) / 10, sum(x.isdigit() for x in w) / len(w), 1]
+        letter = [x - 2 if x < 4 else 2 + x % (toxicity.LETTERS - 2) for x in c]
+        conv = [sum(q["C"][letter[i + j]] @ q["K"][j] for j in range(3)) for i in range(len(w))]
+        rows.append(np.concatenate((stats, q["E"][lex.words[w] + 1 if w in lex.words else 0], np.tanh(np.max(conv, axis=0) + q["k"]))))
+    half, logits = m.window // 2, []
+    for b in range(0, max(1, math.ceil(len(rows) / half) - 1)):
+        x, states = rows[b * half : (b + 2) * half], {}
+        for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            s = np.zeros(h)
+            for t in order:
+                a, u = x[t] @ p["W" + d] + p["b" + d], s @ p["U" + d]
+                zt, r = sig(a[:h] + u[:h]), sig(a[h : 2 * h] + u[h : 2 * h])
+                s = zt * s + (1 - zt) * np.tanh(a[2 * h :] + r * u[2 * h :])
+                states.setdefault(t, {})[d] = s
+        both = [np.concatenate((states[t]["f"], states[t]["b"])) for t in range(len(x))]
+        e = np.exp([v @ p["A"] for v in both])
+        logits.append((sum(w * v for w, v in zip(e / e.sum(), both)) if both else np.zeros(2 * h)) @ p["w"] + p["c"][0])
+    top = sorted(logits)[::-1][:3]
+    return sig(top[0] * m.link[0] + np.mean(top) * m.link[1] + m.link[2])
+
+
+def test_scores_equal_a_plain_forward_pass_and_read_whole_words():
+    rng = np.random.default_rng(7)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu") for b in ("ren", "tas", "vol", "wik")]
+    texts, y = [], np.arange(240) % 3 == 0
+    for label in y:
+        w = list(rng.choice(words, 60))
+        # what is toxic stands at the end of long words that are all different
+        w[int(rng.integers(60))] = "".join(rng.choice(list("abcdefgh"), 45)) + ("vilest" if label else "renkas")
+        texts.append(" ".join(w))
+    m = toxicity.train_model(texts, y)
+    new = ["".join(rng.choice(list("abcdefgh"), 60)) + e for e in ("vilest", "renkas")]
+    filler = " ".join(rng.choice(words, 100))
+    odd = [texts[0], texts[1], "", "é ١٢ kata " + "x" * 300, *[f"{filler} {n} {filler}" for n in new]]
+    got = m.score(odd)
+    assert np.allclose(got, [plain_score(m, t) for t in odd], atol=2e-3)
+    assert got[-2] > 0.7 > got[-1]
+
+
 def test_windows_cover_everything():
     for n in (0, 1, 24, 25, 48, 49, 100):
         w = toxicity.windows_of(n, 48)
@@ -457,6 +522,11 @@ def test_toxicity_held_out(spark, docs, empty):
     train = {r["doc_id"] for r in toxicity.training_rows(d, labels).collect()}
     assert train == {k for k in range(400) if zlib.crc32(str(k).encode()) % 3 != 1}
     assert toxicity.training_rows(d, labels, 10).count() == 10
+    some = toxicity.training_rows(d, labels, 400, 5_000).collect()
+    assert 0 < sum(len(r["text"]) for r in some) <= 5_000
+    both = toxicity.training_rows(d.union(spark.createDataFrame([(2, "zz"), (3, "")], d.schema)), labels.union(spark.createDataFrame([(0, 1), (0, 0), (2, 7)], labels.schema)))
+    kept = {r["doc_id"]: r["text"] for r in both.collect()}
+    assert 0 not in kept and kept.get(2, min(texts[2], "zz")) == min(texts[2], "zz") and kept.get(3, "") == "" and both.count() == len(kept)
     model = toxicity.fit_from_tables(d, labels)
     p = model.score([t for k, t in enumerate(texts) if k not in train])
     truth = np.array([v for k, v in enumerate(y) if k not in train])
