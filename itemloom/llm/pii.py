@@ -1,24 +1,33 @@
 """Personal data: bootstrapped contextual extraction.
 
-1. Base patterns (email, ip, card, phone) give seed entities in every whole text. Each is found left to right in linear time.
-2. Every mention, a seed or any other token with ``MIN_DIGITS`` digits, brings its lexical patterns: the two words before it,
-   and its own key (``staff-no:`` in ``staff-no:48213``). Patterns and values travel as 64-bit hashes, never as text.
-3. Spark scores the pattern-instance graph for ``rounds`` rounds: a pattern's confidence is its instances' mean score, smoothed by
-   one; an instance's score is the noisy-or of its confident patterns; seeds stay at 1. Patterns need ``min_support``
-   distinct instances, seeds or not, which prunes the chance contexts first: a pattern without a seed can be accepted from the
-   instances that earlier rounds found.
-4. Values beside a pattern of ``min_confidence`` become spans of kind ``id``, unless they touch a base span.
-
-Everything per document is one row; the graph is aggregated with partial sums, and nothing of it is gathered on the driver.
+1. Base patterns (email, ip, card, phone) and long runs that mix letters and digits (secrets such as keys) give seed entities in every
+   whole text. Each is found left to right in linear time.
+2. Seeds induce lexical patterns: the two tokens before, the two tokens after, and a key right before (``staff-no:``). Tokens are
+   generalised: lower case, without edge marks, each run of digits one 0. A pattern becomes a candidate with ``min_support`` distinct
+   known values that make up ``min_share`` of its occurrences in the corpus.
+3. Every token beside a candidate pattern, whatever it looks like, is an instance of it. Spark scores the pattern-instance graph for
+   ``rounds`` rounds: a pattern's confidence is its instances' mean score, smoothed by one; an instance's score is the noisy-or of
+   its confident patterns; seeds stay at 1. Unseen instances that reach ``min_confidence`` are known from then on: their other
+   occurrences induce patterns as in 2, for ``hops`` hops or until there are no new ones.
+4. Tokens beside a pattern of ``min_confidence`` become spans of kind ``id``, unless they touch a base span.
+
+Patterns and values travel as 64-bit hashes, never as text, added up in the task first. Which tokens may matter is told by a bitmap of
+fixed size (``BITMAP``) in each scan; joins make it exact. The accepted patterns reach the texts ``MAX_PATTERNS`` at a time, so no text is
+ever shuffled. Nothing grows on the driver.
+
 Defined results: a null text counts as empty; null ids stay null; repeated rows each give their row; an empty table gives no
-rows; other columns are carried by ``redact_documents`` (clashing names included) and ignored by ``pii_report``.
+rows; other columns are carried by ``redact_documents`` (clashing names and dots included) and ignored by ``pii_report``.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +37,20 @@ from itemloom.llm.common import written
 from itemloom.sources import table
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_DIGITS = 4
+BITMAP = 23  # bits of a hash that the bitmap tells apart
+MAX_PATTERNS = 500_000
+SLICE_CHARS = 4_000_000
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A run of digits is tried from its first digit only and never given back, which finds the same matches in linear time.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MENTION = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*")
-_KEYED = re.compile(r"[^\s0-9=:]{2,40}[=:]")
+#: A key with its mark, if a value follows at once, or what stands between white space.
+_TOKEN = re.compile(r"[^\s=:]{2,}+[=:](?=[^\s=:])|\S+")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+")
+_DIGITS = re.compile(r"[0-9]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_EDGE = "\"'.,;:!?()[]{}<>`"
+_EDGE = "\"'.,;:!?()[]{}<>`*$%&#|"
 
 
 def luhn(digits: str) -> bool:
@@ -81,108 +94,313 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secrets(text: str) -> list[tuple[int, int]]:
+    """Runs of 20 or more letters, digits, - and _ of ten kinds or more, with a fifth of digits and a tenth of letters at least."""
+    out = []
+    for m in _SECRET.finditer(text):
+        run, n = m[0], m.end() - m.start()
+        digits, letters = sum(map(str.isdigit, run)), sum(map(str.isalpha, run))
+        if 5 * digits >= n and 10 * letters >= n and len(set(run)) >= 10:
+            out.append(m.span())
+    return out
+
+
+def seed_spans(text: str) -> list[tuple[int, int]]:
+    """Base spans and the secrets that touch none of them, in order of start."""
+    base = sorted((s, e) for _, s, e in base_spans(text))
+    return sorted(base + without_touch(secrets(text), base))
+
+
+def without_touch(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those *spans* that touch none of *taken* (sorted by start)."""
+    if not taken:
+        return spans
+    starts = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))  # of all that start before
+    return [(s, e) for s, e in spans if not (k := bisect_left(starts, e)) or reach[k - 1] <= s]
+
+
 def _hash(s: str) -> int:
-    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def _patterns(text: str, start: int, key: str) -> list[int]:
-    before = text[max(0, start - 120) : start].lower().split()
-    if start > 120 and len(before) < 3:
-        before = text[max(0, start - 4000) : start].lower().split()
-    out = [_hash("2 " + " ".join(before[-2:]))] if len(before) >= 2 else []
-    return out + ([_hash("k " + key.lower())] if key else [])
-
-
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list[int], bool]]:
-    """(start, end, hash of the value, hashes of the patterns, seed?) of each base span and each other digit-bearing token."""
-    out, taken = [], sorted((s, e) for _, s, e in spans)
-    for s, e in taken:
-        key, at = "", s
-        while at and not text[at - 1].isspace() and s - at < 40:
-            at -= 1
-        if m := _KEYED.search(text[at:s]):
-            key = m[0]
-        out.append((s, e, _hash(text[s:e]), _patterns(text, at, key), True))
-    k = 0
-    for m in _MENTION.finditer(text):
-        s, e = m.span()
-        at, key = s, ""
-        if (c := _KEYED.match(text, s, e)) and c.end() < e:
-            key, s = c[0], c.end()
-        while s < e and text[s] in _EDGE:
-            s += 1
-        while e > s and text[e - 1] in _EDGE:
-            e -= 1
-        while k < len(taken) and taken[k][1] <= s:
-            k += 1
-        if (k < len(taken) and taken[k][0] < e) or sum("0" <= c <= "9" for c in text[s:e]) < MIN_DIGITS:
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
+
+
+def context_word(token: str) -> str:
+    low = token.lower()
+    return _DIGITS.sub("0", low.strip(_EDGE) or low)
+
+
+def is_key(token: str) -> bool:
+    return token[-1] in "=:" and len(token) > 2
+
+
+def value_of(token: str) -> tuple[int, str]:
+    """(offset, text) of a token without edge marks; empty if no letter or digit is left."""
+    left = token.lstrip(_EDGE)
+    value = left.rstrip(_EDGE)
+    return len(token) - len(left), value if any(map(str.isalnum, value)) else ""
+
+
+U = np.uint64
+_KINDS = {"before": U(1), "after": U(2), "key": U(3)}
+
+
+def pattern_hash(kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of each pattern of *kind* with context words a and b (hashes; 0 is none), as signed longs; 0 where a word is wanting."""
+    x = (a * U(0x9E3779B97F4A7C15) + b) * U(0xBF58476D1CE4E5B9) + _KINDS[kind] * U(0x94D049BB133111EB)
+    x = (x ^ (x >> U(30))) * U(0x94D049BB133111EB)
+    return np.where((a != 0) & (b != 0), x ^ (x >> U(31)), U(0)).view(np.int64)
+
+
+class Tokens:
+    """The tokens of some texts with the hashes of their patterns."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, place, ids, sizes = texts, {}, [], []
+        for t in texts:
+            found = _TOKEN.findall(t)
+            ids += [place.setdefault(w, len(place)) for w in found]
+            sizes.append(len(found))
+        self.words = list(place)
+        self.ids, self.ends = np.array(ids, np.int64), np.cumsum([0, *sizes])
+        word = np.array([_hash(context_word(w)) or 1 for w in self.words] or [0], U)[self.ids]
+        key = np.array([is_key(w) for w in self.words] or [False])[self.ids]
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        self.before = [self._shift(word, doc, k) for k in (1, 2)]
+        self.after = [self._shift(word, doc, -k) for k in (1, 2)]
+        self.key = np.where(self._shift(key.astype(U), doc, 1) > 0, self.before[0], U(0))
+        self.doc = doc
+
+    @staticmethod
+    def _shift(x: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+        """The word k places before (after, if k < 0) in the same text, or 0."""
+        out, n = np.zeros(len(x), U), abs(k)
+        if len(x) > n:
+            same = doc[n:] == doc[:-n]
+            if k > 0:
+                out[n:] = np.where(same, x[:-n], U(0))
+            else:
+                out[:-n] = np.where(same, x[n:], U(0))
+        return out
+
+    def patterns(self) -> list[np.ndarray]:
+        return [pattern_hash("before", self.before[1], self.before[0]), pattern_hash("after", self.after[0], self.after[1]), pattern_hash("key", self.key, self.key)]
+
+    def values(self) -> np.ndarray:
+        """The hash of each token's value, 0 if it has none."""
+        each = [value_of(w)[1] for w in self.words]
+        return np.array([_hash(v) if v else 0 for v in each] or [0], U).view(np.int64)[self.ids]
+
+    def spans(self, picked: np.ndarray) -> list[list[tuple[int, int]]]:
+        """Spans of the values of the tokens *picked*, by text."""
+        out, doc = [[] for _ in self.texts], self.doc[picked]
+        for d in np.unique(doc).tolist():
+            want = set((picked[doc == d] - self.ends[d]).tolist())
+            for k, m in enumerate(_TOKEN.finditer(self.texts[d])):
+                if k in want:
+                    first, value = value_of(m[0])
+                    if value:
+                        out[d].append((m.start() + first, m.start() + first + len(value)))
+        return out
+
+    def apart_from_seeds(self, picked: np.ndarray) -> np.ndarray:
+        """Those of the tokens *picked* whose values touch no seed."""
+        keep, doc = np.zeros(len(picked), bool), self.doc[picked]
+        for d in np.unique(doc).tolist():
+            at = np.flatnonzero(doc == d)
+            seeds, k = seed_spans(self.texts[d]), 0
+            want = dict(zip((picked[at] - self.ends[d]).tolist(), at.tolist(), strict=True))
+            for k, m in enumerate(_TOKEN.finditer(self.texts[d])):
+                if k in want:
+                    first, value = value_of(m[0])
+                    s = m.start() + first
+                    keep[want[k]] = bool(value) and bool(without_touch([(s, s + len(value))], seeds))
+        return picked[keep]
+
+
+def seed_edges(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(pattern, value) of every pattern of every seed, as two arrays for each kind of pattern."""
+    rows: list[tuple] = []
+    for t in texts:
+        seeds = seed_spans(t)
+        if not seeds:
             continue
-        out.append((s, e, _hash(text[s:e]), _patterns(text, at, key), False))
-    return out
+        at = [m.span() for m in _TOKEN.finditer(t)]
+        starts, ends = [s for s, _ in at], [e for _, e in at]
+        word = lambda k: _hash(context_word(t[at[k][0] : at[k][1]])) or 1 if 0 <= k < len(at) else 0  # noqa: B023, E731
+        for s, e in seeds:
+            first, last = bisect_right(ends, s), bisect_left(starts, e)  # tokens from first to last hold the seed
+            key = first > 0 and is_key(t[slice(*at[first - 1])])
+            rows.append((word(first - 1), word(first - 2), word(last), word(last + 1), word(first - 1) if key else 0, _hash(t[s:e])))
+    c = np.array(rows, U).reshape(-1, 6).T
+    value = c[5].view(np.int64) if len(rows) else np.zeros(0, np.int64)
+    return [(pattern_hash(kind, c[a], c[b]), value) for kind, a, b in (("before", 1, 0), ("after", 2, 3), ("key", 4, 4))]
 
 
-_SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-_FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64())), ("seed", pa.bool_())])
-_SPAN_T = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_FOUND_T = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value", T.LongType()), T.StructField("patterns", T.ArrayType(T.LongType())), T.StructField("seed", T.BooleanType())])
+def _slices(batch: pa.RecordBatch, column: int):
+    """A batch in slices of about SLICE_CHARS characters, at least a row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // SLICE_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+class Bitmap:
+    """Which leading bits occur among some hashes; every hash of them passes, others now and then."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        at = hashes.select(F.shiftrightunsigned(column, 64 - BITMAP).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+        words = np.zeros(1 << (BITMAP - 6), np.int64)
+        for r in at.collect():  # 2 ** (BITMAP - 6) rows at most
+            words[r["word"]] = r["bits"]
+        self.bits = np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.bits[hashes.view(U) >> U(64 - BITMAP)] & (hashes != 0)
 
-def scan_documents(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """A struct ``_in`` of the columns *keep*, with ``_rid``, ``_base`` (spans) and ``_found`` (mentions), written out once."""
+
+def _edges(docs: DataFrame, how) -> DataFrame:
+    """pattern, value, n (occurrences): what how(texts) gives as pairs of arrays, added up."""
 
     def run(batches):
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("_text")).to_pylist()
-            base = [base_spans(t or "") for t in texts]
-            found = [mentions(t or "", s) for t, s in zip(texts, base, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("_in")), b.column(b.schema.get_field_index("_rid")), pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in base], pa.list_(_SPAN)), pa.array([[dict(zip(("start", "end", "value", "patterns", "seed"), y, strict=True)) for y in x] for x in found], pa.list_(_FOUND))],
-                ["_in", "_rid", "_base", "_found"],
-            )
-
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_in"), F.monotonically_increasing_id().alias("_rid"), F.col("text").alias("_text"))
-    schema = T.StructType([rows.schema["_in"], rows.schema["_rid"], T.StructField("_base", T.ArrayType(_SPAN_T)), T.StructField("_found", T.ArrayType(_FOUND_T))])
-    return written(rows.mapInArrow(run, schema), "pii-scan")
-
-
-def confident_patterns(found: DataFrame, rounds: int = 3, min_support: int = 5, min_confidence: float = 0.8) -> DataFrame:
-    """pattern, confidence of the accepted patterns of the graph in *found* (value, pattern, seed)."""
-    edges = found.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    known = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support).select("pattern")
-    edges = written(edges.join(known, "pattern"), "pii-graph")
+        for b in (part for whole in batches for part in _slices(whole, 0)):
+            pairs = how([t or "" for t in b.column(0).to_pylist()])
+            both = np.array([np.concatenate(x) for x in zip(*pairs, strict=True)])
+            both, n = np.unique(both[:, both[0] != 0], axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(n)], ["pattern", "value", "n"])
+
+    found = docs.select("text").mapInArrow(run, "pattern long, value long, n long")
+    return found.groupBy("pattern", "value").agg(F.sum("n").alias("n"))
+
+
+def _counts(docs: DataFrame, near: Bitmap) -> DataFrame:
+    """pattern, value (0), n: how often patterns that pass the bitmap occur."""
+    held = docs.sparkSession.sparkContext.broadcast(near)
+    return _edges(docs, lambda texts: [(p[held.value(p)], np.zeros(int(held.value(p).sum()), np.int64)) for p in Tokens(texts).patterns()])
+
+
+def _fillers(docs: DataFrame, near: Bitmap) -> DataFrame:
+    """pattern, value, n of the tokens beside patterns that pass the bitmap, without those that are seeds."""
+    held = docs.sparkSession.sparkContext.broadcast(near)
+
+    def how(texts):
+        tokens = Tokens(texts)
+        found, values = tokens.patterns(), tokens.values()
+        hit = np.zeros(len(values), bool)
+        for p in found:
+            hit |= held.value(p)
+        some = tokens.apart_from_seeds(np.flatnonzero(hit & (values != 0)))
+        return [(np.where(held.value(p[some]), p[some], 0), values[some]) for p in found]
+
+    return _edges(docs, how)
+
+
+def _occurrences(docs: DataFrame, near: Bitmap) -> DataFrame:
+    """pattern, value, n of all patterns of the tokens whose value passes the bitmap, without those that are seeds."""
+    held = docs.sparkSession.sparkContext.broadcast(near)
+
+    def how(texts):
+        tokens = Tokens(texts)
+        found, values = tokens.patterns(), tokens.values()
+        some = tokens.apart_from_seeds(np.flatnonzero(held.value(values)))
+        return [(p[some], values[some]) for p in found]
+
+    return _edges(docs, how)
+
+
+def score_graph(edges: DataFrame, rounds: int, min_support: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """(pattern, confidence of the accepted ones; value, score of unseen values beside them) of *edges* (pattern, value, seed)."""
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for k in range(rounds):
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum("score").alias("support"))
-        patterns = patterns.filter((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
+        patterns = patterns.filter((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)).select("pattern", "confidence")
+        values = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("found"), F.max("seed").alias("seed"))
         if k + 1 < rounds:
-            values = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("found"))
-            scored = edges.join(values, "value", "left").select("pattern", "value", "seed", F.greatest(F.col("seed").cast("double"), F.coalesce("found", F.lit(0.0))).alias("score"))
-            scored = written(scored, "pii-scores") if k + 2 < rounds else scored
-    return patterns.select("pattern", "confidence")
+            scored = edges.join(values.select("value", "found"), "value", "left").select("pattern", "value", "seed", F.greatest(F.col("seed").cast("double"), F.coalesce("found", F.lit(0.0))).alias("score"))
+            scored = written(scored, "pii-scores")
+    return written(patterns, "pii-accepted"), values.filter(~F.col("seed")).select("value", F.col("found").alias("score"))
+
+
+def confident_patterns(docs: DataFrame, rounds: int = 3, hops: int = 3, min_support: int = 5, min_share: float = 0.25, min_confidence: float = 0.8) -> DataFrame:
+    """pattern, confidence of the accepted patterns of the ``text`` of *docs*."""
+    seeds = written(_edges(docs, seed_edges), "pii-seeds")
+    known, edges = seeds.withColumn("seed", F.lit(True)), seeds.limit(0).withColumn("seed", F.lit(True))  # edges: of candidates only
+    tried, grown = seeds.select("pattern").limit(0), seeds.select("value").limit(0)
+    accepted = seeds.select("pattern", F.lit(0.0).alias("confidence")).limit(0)
+    for hop in range(hops):
+        many = known.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("mentions")).filter(F.col("values") >= min_support)
+        many = written(many.join(tried, "pattern", "left_anti"), "pii-many")
+        if many.isEmpty():
+            break
+        often = _counts(docs, Bitmap(many, "pattern")).select("pattern", F.col("n").alias("times"))
+        new = written(many.join(often, "pattern").filter(F.col("mentions") >= min_share * F.col("times")).select("pattern"), "pii-new")
+        tried = written(tried.union(many.select("pattern")), "pii-tried")
+        if new.isEmpty():
+            break
+        found = _fillers(docs, Bitmap(new, "pattern")).join(new, "pattern", "left_semi").withColumn("seed", F.lit(False))
+        more = found.unionByName(known.join(new, "pattern", "left_semi")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
+        edges = written(edges.unionByName(more), "pii-graph")
+        accepted, values = score_graph(edges.select("pattern", "value", "seed"), rounds, min_support, min_confidence)
+        if hop + 1 < hops:
+            unseen = written(values.filter(F.col("score") >= min_confidence).select("value").join(grown, "value", "left_anti"), "pii-unseen")
+            if unseen.isEmpty():
+                break
+            grown = written(grown.union(unseen), "pii-grown")
+            again = _occurrences(docs, Bitmap(unseen, "value")).join(unseen, "value", "left_semi").withColumn("seed", F.lit(False))
+            known = written(known.unionByName(again), "pii-known")
+    return accepted
+
+
+_SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
 
+def with_spans(docs: DataFrame, keep: list[str], **graph) -> DataFrame:
+    """A struct ``_in`` of the columns *keep*, with ``_text``, ``_base`` (base spans) and ``_more`` (what confident patterns add, by start)."""
+    patterns = confident_patterns(docs, **graph)
+    slices = max(1, -(-patterns.count() // MAX_PATTERNS))
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_in"), F.col("text").alias("_text"), F.lit(None).cast(_SPANS).alias("_base"), F.lit(None).cast(_SPANS).alias("_more"))
+    for k in range(slices):
+        own = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == k) if slices > 1 else patterns
+        held = sc.broadcast(np.sort(np.array([r["pattern"] for r in own.select("pattern").collect()], np.int64)))  # about MAX_PATTERNS
+        rows = rows.mapInArrow(_marker(held, last=k + 1 == slices), rows.schema)
+        rows = written(rows, "pii-marked") if k + 1 < slices else rows
+    return rows
 
-def with_spans(scan: DataFrame, **graph) -> DataFrame:
-    """*scan* with ``_more``: the spans that confident patterns add, in order of start."""
-    m = scan.select("_rid", F.explode("_found").alias("m")).select("_rid", "m.start", "m.end", "m.value", "m.seed", F.explode("m.patterns").alias("pattern"))
-    good = confident_patterns(m.select("value", "pattern", "seed"), **graph)
-    new = m.filter(~F.col("seed")).join(good, "pattern").groupBy("_rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_more"))
-    return scan.drop("_found").join(new, "_rid", "left")
+
+def _marker(held, last: bool):
+    def run(batches):
+        for b in (part for whole in batches for part in _slices(whole, 1)):
+            texts, wanted = [t or "" for t in b.column(1).to_pylist()], held.value
+            more = [[(s["start"], s["end"]) for s in x or []] for x in b.column(3).to_pylist()]
+            if len(wanted):
+                tokens = Tokens(texts)
+                hit = np.zeros(len(tokens.ids), bool)
+                for p in tokens.patterns():
+                    hit |= (wanted[np.minimum(np.searchsorted(wanted, p), len(wanted) - 1)] == p) & (p != 0)
+                more = [a + c for a, c in zip(more, tokens.spans(np.flatnonzero(hit)), strict=True)]
+            base = [base_spans(t) for t in texts] if last else [[] for _ in texts]
+            more = [without_touch(sorted(set(m)), sorted((s, e) for _, s, e in x)) for m, x in zip(more, base, strict=True)]
+            dicts = lambda spans: [dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans]
+            kind = pa.list_(_SPAN)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([dicts(x) for x in base], kind), pa.array([dicts((len(KINDS), s, e) for s, e in x) for x in more], kind)], ["_in", "_text", "_base", "_more"])
+
+    return run
 
 
 def pii_report(docs: DataFrame, **graph) -> DataFrame:
     """Counts by kind, the digest of the base spans, and all spans, for each document."""
-    d = with_spans(scan_documents(docs, ["doc_id"]), **graph)
-    names = F.array(*[F.lit(k) for k in KINDS])
-    base = F.transform("_base", lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"]))
-    more = F.transform(F.coalesce("_more", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda x: F.concat_ws(":", F.lit("id"), x["start"], x["end"]))
-    counts = [F.size(F.filter("_base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
-    return d.select(F.col("_in.doc_id").alias("doc_id"), *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
+    d = with_spans(docs.select("doc_id", "text"), ["doc_id"], **graph)
+    names = F.array(*[F.lit(k) for k in (*KINDS, "id")])
+    said = lambda c: F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"]))
+    kinds = F.transform("_base", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    return d.select(F.col("_in.doc_id").alias("doc_id"), *counts, F.sha2(F.array_join(said("_base"), ","), 256).alias("base_sha256"), F.array_join(F.concat(said("_base"), said("_more")), ",").alias("spans"))
 
 
 def redact_documents(docs: DataFrame, **graph) -> DataFrame:
     """The same rows and columns; every span of text becomes ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]`` or ``[ID]``."""
-    d = with_spans(scan_documents(docs, docs.columns), **graph)
-    spans = F.concat(F.col("_base"), F.transform(F.coalesce("_more", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda x: F.struct(F.lit(len(KINDS)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+    d = with_spans(docs, docs.columns, **graph)
+    spans = F.concat("_base", "_more")
 
     @F.pandas_udf("string")
     def cut(text, at):
@@ -199,7 +417,7 @@ def redact_documents(docs: DataFrame, **graph) -> DataFrame:
 
         return text.combine(at, one)
 
-    text = F.when(F.size(spans) > 0, cut(F.col("_in.text"), spans)).otherwise(F.col("_in.text"))
+    text = F.when(F.size(spans) > 0, cut(F.col("_text"), spans)).otherwise(F.col("_text"))
     d = d.withColumn("_new", text)
     new = {"text": F.col("_new"), "n_chars": F.char_length("_new").cast("long")}
     return d.select(*[new.get(c, F.col(f"_in.`{c}`")).alias(c) for c in docs.columns])

@@ -580,6 +580,88 @@ def test_patterns_discover_unseen_identifiers(spark, docs, empty):
     assert again.columns == docs.columns and again.count() == len(ROWS) and pii.redact_documents(empty).count() == 0
 
 
+def plain_graph(texts, rounds=3, hops=3, min_support=5, min_share=0.25, min_confidence=0.8):
+    """Spans beside accepted patterns, with patterns as text and sets in place of hashes and joins."""
+    docs, seeds = [], []
+    for t in texts:
+        at = [(m.span(), m[0]) for m in re.finditer(r"[^\s=:]{2,}[=:](?=[^\s=:])|\S+", t)]
+        word = lambda k, at=at: pii.context_word(at[k][1]) if 0 <= k < len(at) else None
+        pats = lambda i, j, at=at, word=word: [p for p in (("before", word(i - 2), word(i - 1)), ("after", word(j), word(j + 1)), ("key", word(i - 1), word(i - 1)) if i and pii.is_key(at[i - 1][1]) else ("", None, None)) if None not in p]
+        taken = pii.seed_spans(t)
+        docs.append([])
+        for i, ((s, _), w) in enumerate(at):
+            first, v = pii.value_of(w)
+            free = v and all(s + first + len(v) <= a or s + first >= b for a, b in taken)
+            docs[-1].append((v, s + first, s + first + len(v), pats(i, i + 1), free))
+        for a, b in taken:
+            i, j = sum(e <= a for (_, e), _ in at), sum(s < b for (s, _), _ in at)
+            seeds += [(p, t[a:b]) for p in pats(i, j)]
+    known, edges, tried, grown, accepted = Counter(seeds), {}, set(), set(), {}
+    true = set(known)
+    for _ in range(hops):
+        times = Counter(p for d in docs for *_, ps, _ in d for p in ps)
+        values, mentions = Counter(p for p, _ in known), Counter()
+        for (p, _), n in known.items():
+            mentions[p] += n
+        many = {p for p in values if values[p] >= min_support and p not in tried}
+        tried |= many
+        new = {p for p in many if times[p] and mentions[p] >= min_share * times[p]}
+        if not new:
+            break
+        for e in [(p, v) for d in docs for v, *_, ps, free in d for p in ps if free and p in new] + [e for e in known if e[0] in new]:
+            edges[e] = e in true
+        score = {e: float(s) for e, s in edges.items()}
+        for _ in range(rounds):
+            by = defaultdict(list)
+            for (p, _), s in score.items():
+                by[p].append(s)
+            accepted = {p: sum(s) / (len(s) + 1) for p, s in by.items() if sum(s) >= min_support and sum(s) / (len(s) + 1) >= min_confidence}
+            found = defaultdict(lambda: 1.0)
+            for p, v in edges:
+                if p in accepted:
+                    found[v] *= 1 - min(accepted[p], 0.999)
+            score = {(p, v): max(float(s), 1 - found[v] if v in found else 0.0) for (p, v), s in edges.items()}
+        seed_values = {v for (p, v), s in edges.items() if s and p in accepted}
+        unseen = {v for v in found if 1 - found[v] >= min_confidence and v not in seed_values} - grown
+        if not unseen:
+            break
+        grown |= unseen
+        known.update((p, v) for d in docs for v, *_, ps, free in d for p in ps if free and v in unseen)
+    out = []
+    for t, d in zip(texts, docs):
+        base = pii.base_spans(t)
+        out.append(sorted({(s, e) for v, s, e, ps, _ in d if v and any(p in accepted for p in ps) and all(e <= a or s >= b for _, a, b in base)}))
+    return out
+
+
+def test_the_graph_equals_a_plain_one(spark):
+    rng = np.random.default_rng(8)
+    some = [f"w{k}" for k in range(12)]
+    texts = []
+    for k in range(240):
+        w = list(rng.choice(some, 20))
+        kind = k % 6
+        w[10:10] = [["reach", "me", f"u{k}@x.example.org", "or", "call"], ["reach", "me", f"Ab-{k % 25}", "today", "please"], ["pass=" + f"Ab-{k % 25}"], ["pass=Qwerty" + "xyz"[k % 3]], ["token", "=", f'"{hashlib.sha1(str(k).encode()).hexdigest()}"!!'], ["Token", "=", '"hunter-two"', "x"]][kind]
+        texts.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("id:")] for r in pii.pii_report(d, min_confidence=0.6).collect()}
+    want = plain_graph(texts, min_confidence=0.6)
+    assert got == dict(enumerate(want)) and sum(map(bool, want)) > 100
+    marked = lambda k: [texts[k][s:e] for s, e in want[k]]
+    assert "hunter-two" in marked(5) and any("Ab-" in x for x in marked(1)) and len(marked(4)[0]) == 40 and any("Qwerty" in x for x in marked(3))
+
+
+def test_short_and_plain_identifiers_and_long_contexts(spark):
+    long = "x" * 5000
+    rows = [(k, f"filler{k} {long} staff mail user{k}@corp.example.org and text.") for k in range(30)] + [(100, "more staff mail AB-12 here"), (101, "more staff mail Miller, here"), (102, f"{long} {'y' * 200}-no:AB-13")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit(1)).withColumn("_text", F.lit("t"))
+    got = {r["doc_id"]: r for r in pii.pii_report(d).collect()}
+    assert got[100]["spans"] == "id:16:21" and got[101]["spans"] == "id:16:22" and got[102]["spans"] == ""
+    assert (got[3]["n_email"], got[3]["n_ip"], got[3]["n_card"], got[3]["n_phone"]) == (1, 0, 0, 0)
+    red = pii.redact_documents(d)
+    assert red.columns == d.columns and red.filter("doc_id = 100").first()["text"] == "more staff mail [ID] here"
+
+
 def test_patterns_are_accepted_from_found_identifiers(spark):
     rows = [(k, f"filler{k} staff mail user{k}@corp.example.org and text.") for k in range(90)]
     rows += [(100 + k, f"words staff mail ZX-{48213 + k} here") for k in range(20)]  # found beside the seeds
