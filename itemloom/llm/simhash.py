@@ -5,20 +5,23 @@ constants. Two texts are linked if their fingerprints differ in at most ``max_di
 
 Trees. The bits are cut into blocks. With ``parts`` blocks, fingerprints at distance d differ by at most ``d // parts`` bits in one
 block at least, so a vantage-point tree over each block, asked with that radius, finds every link (``parts=1``: one tree over all bits).
+A key may also join ``joined`` blocks: of d + j blocks j at least are equal, so trees over all choices of j of them find every link
+at radius 0, with keys so long that shards stay small in a larger table (``cuts_for`` chooses by the rows; every cut gives the same links).
 Each inner node has a vantage point and a radius mu; a fingerprint goes inside if its distance to the vantage point is at most mu.
 By the triangle inequality a query of radius r needs the inside only if its distance minus r is at most mu, and the
 outside only if its distance plus r is above mu: one that is near the boundary is sent to both sides, everything else is pruned.
 With 5 blocks and distance 4 the radius is 0, so boundaries have no width, a fingerprint goes to 5 shards and no more,
-and the candidates fall with the number of shards; with fewer blocks more shards overlap. Every setting gives the same links.
+and the candidates fall with the number of shards; with fewer blocks more shards overlap. A task goes on within its shard: a tree of
+its own over the same keys cuts it to leaves of about ``LEAF_ROWS``, so the work does not grow with the square of a shard.
 
-``similar`` is for a similarity (Jaccard) of shingle sets instead of a distance in bits. Blocks (of more bits for more rows, as many
-as find a pair at the threshold with ``recall``) and a loose distance find candidates only. The shingle sets of the texts that have a
+``similar`` is for a similarity (Jaccard) of shingle sets instead of a distance in bits. Blocks of ``BLOCK_BITS`` (as many as find a
+pair at the threshold with ``recall``, whatever the number of rows) and a loose distance find candidates only. The shingle sets of the texts that have a
 candidate are written to the shared folder, which every executor must see as a path; the workers map them and link two texts if and
 only if the Jaccard similarity of their two whole sets is at least ``similarity``. A pair that is joined already is not compared.
 
-The trees are built from a bounded sample of fingerprints (``SAMPLE_ROWS``, and ``MAX_SHARE`` of a small table), which only decides the balance, and are broadcast
-(under ``MAX_LEAVES`` nodes each). Each shard is compared exactly, in numpy blocks; a shard over ``task_rows`` is cut into
-parts by hash and each pair of parts is compared on its own, so no task gets an unbounded shard. A shard gives a spanning forest
+The trees are built from a bounded sample of fingerprints (``SAMPLE_ROWS``, and ``MAX_SHARE`` of a small table), which only decides the
+balance, and are broadcast; their leaves follow the rows, up to a quarter of the sample. Each leaf is compared exactly, in numpy blocks;
+a shard over ``task_rows`` is cut into parts by hash and each pair of parts is compared on its own, so no task gets an unbounded shard. A shard gives a spanning forest
 of its links, never all pairs. Components come from minimum labels and pointer jumping over these edges.
 
 Defined results: a text without words (null or empty too) has fingerprint zero and is linked like any other; repeated rows each
@@ -31,6 +34,7 @@ from __future__ import annotations
 import heapq
 import math
 import os
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +48,15 @@ from itemloom.llm.kneser_ney import local_path
 from itemloom.sources import table
 
 MAX_DISTANCE = 4
-PARTS = 5
 SAMPLE_ROWS = 40_000
 MAX_SHARE = 0.25
 SHARD_ROWS = 1_000
-MAX_LEAVES = 2_048
+LEAF_ROWS = 256
 TASK_ROWS = 20_000
+BLOCK_BITS = 16
 COMPARED = 64
-NEAR_WORDS = 8
+NEAR_WORDS = 4
+MAX_ROUNDS = 200
 U = np.uint64
 
 
@@ -113,6 +118,14 @@ def to_words(bits: list[bytes], wide: int) -> np.ndarray:
     return np.frombuffer(b"".join(bits), ">u8").astype(U).reshape(-1, wide)
 
 
+def key_of(fps: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """The bits of some blocks (first bit, size; 64 at most together) of each fingerprint, as numbers."""
+    out = np.zeros(len(fps), U)
+    for first, size in blocks:
+        out = out << U(size) | block_of(fps, first, size)
+    return out
+
+
 def block_of(fps: np.ndarray, first: int, size: int) -> np.ndarray:
     """Bits first to first + size (at most 64) of each fingerprint, as numbers."""
     word, shift = divmod(first, 64)
@@ -266,50 +279,71 @@ def spanning_forest(fps: np.ndarray, query: np.ndarray, indexed: np.ndarray, max
     return child, parent[child]
 
 
-def links(nodes: DataFrame, wide: int, blocks: list[tuple[int, int]], radius: int, max_distance: int, shard_rows: int = SHARD_ROWS, task_rows: int = TASK_ROWS, **how) -> DataFrame:
-    """a, b (nodes): edges whose components are those of all links that the *blocks* (first bit, size) find at *radius*.
+def leaves_of(keys: np.ndarray, radius: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, at home?) of the leaves of a vantage-point tree over a shard's keys: of all pairs of rows whose keys are within
+    *radius*, each row meets the other's home leaf."""
+    tree = build_tree(keys[:: max(1, len(keys) // (64 * LEAF_ROWS))], -(-len(keys) // LEAF_ROWS), rng)
+    row, leaf, home = route(keys, tree, radius)
+    order = np.argsort(leaf, kind="stable")
+    cuts = np.flatnonzero(np.diff(leaf[order])) + 1
+    return [(row[g], home[g]) for g in np.split(order, cuts)]
+
+
+def forest(fps: np.ndarray, keys: np.ndarray, radius: int, query: np.ndarray, indexed: np.ndarray, max_distance: int, **how) -> tuple[np.ndarray, np.ndarray]:
+    """``spanning_forest`` of a shard, leaf by leaf where it is large."""
+    if len(fps) <= 4 * LEAF_ROWS:
+        return spanning_forest(fps, query, indexed, max_distance, **how)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for rows, home in leaves_of(keys, radius, np.random.default_rng(len(fps))):
+        if len(rows) > 1:
+            child, root = spanning_forest(fps[rows], query[rows], indexed[rows] & home, max_distance, **how)
+            found.append((rows[child], rows[root]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def links(nodes: DataFrame, wide: int, blocks: list[list[tuple[int, int]]], radius: int, max_distance: int, shard_rows: int = SHARD_ROWS, task_rows: int = TASK_ROWS, first: int = 0, **how) -> DataFrame:
+    """a, b (nodes): edges whose components are those of all links that the *blocks* (lists of (first bit, size)) find at *radius*.
 
-    *nodes*: node (long) and bits (wide * 8 bytes), one row a node. *how* goes to ``spanning_forest``."""
+    *nodes*: node (long) and bits (wide * 8 bytes), one row a node; comparing needs the words from *first* on. *how* goes to
+    ``spanning_forest``."""
     spark = nodes.sparkSession
     total = nodes.count()
     share = min(MAX_SHARE, SAMPLE_ROWS / max(total, 1))
     picked = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE_ROWS)
     sample = to_words([bytes(r[0]) for r in picked.select("bits").collect()], wide)
-    leaves, rng = int(min(MAX_LEAVES, max(1, 2 * total // shard_rows))), np.random.default_rng(20)
-    trees = spark.sparkContext.broadcast([build_tree(block_of(sample, *b), leaves, rng) for b in blocks])
-    n = len(blocks)
+    leaves, rng = max(1, 2 * total // shard_rows), np.random.default_rng(20)
+    trees = spark.sparkContext.broadcast([build_tree(key_of(sample, b), leaves, rng) for b in blocks])
+    n, rest = len(blocks), wide - first
 
     def shards(batches):
         for b in batches:
-            bits = b.column(1)
-            fps = to_words(bits.to_pylist(), wide)
+            fps = to_words(b.column(1).to_pylist(), wide)
+            bits = pa.array([x.tobytes() for x in fps[:, first:].astype(">u8")], pa.binary()) if first else b.column(1)
             for k, (block, tree) in enumerate(zip(blocks, trees.value, strict=True)):
-                row, leaf, home = route(block_of(fps, *block), tree, radius)
+                key = key_of(fps, block)
+                row, leaf, home = route(key, tree, radius)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf * n + k, pa.int64()), b.column(0).take(at), bits.take(at), pa.array(home)], ["shard", "node", "bits", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf * n + k, pa.int64()), b.column(0).take(at), bits.take(at), pa.array(key[row].view(np.int64)), pa.array(home)], ["shard", "node", "bits", "key", "home"])
 
-    sent = nodes.select("node", "bits").mapInArrow(shards, "shard long, node long, bits binary, home boolean")
+    sent = nodes.select("node", "bits").mapInArrow(shards, "shard long, node long, bits binary, key long, home boolean")
+    one_part = [F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "bits", "key", "home", F.lit(0).alias("part")]
     if total > task_rows:  # a shard of m rows is cut into ceil(m / task_rows) parts, and each pair of parts is compared
         sizes = sent.select("shard").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("cuts")).filter("cuts > 1")
-        big = {r["shard"]: r["cuts"] for r in sizes.collect()}  # at most a row for each leaf of each tree
+        cut = sent.join(F.broadcast(sizes), "shard", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))  # a row for each leaf at most, which the sample bounds
+        cut = cut.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        sent = cut.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "bits", "key", "home", "part")
     else:
-        big = {}
-    if big:
-        cuts = F.coalesce(F.create_map(*[F.lit(x) for kv in big.items() for x in kv])[F.col("shard")], F.lit(1))
-        sent = sent.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-        sent = sent.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "bits", "home", "part")
-    else:
-        sent = sent.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "bits", "home", F.lit(0).alias("part"))
-    key = ["shard", "i", "j"]
+        sent = sent.select("shard", *one_part)
+    group = ["shard", "i", "j"]
 
     def one(rows: pa.Table):
-        fps, home = to_words(rows.column("bits").to_pylist(), wide), rows.column("home").to_numpy(zero_copy_only=False)
+        fps, home = to_words(rows.column("bits").to_pylist(), rest), rows.column("home").to_numpy(zero_copy_only=False)
         node, part, i, j = rows.column("node").to_numpy(), rows.column("part").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        order = np.argsort(node, kind="stable")
-        fps, home, node, part = fps[order], home[order], node[order], part[order]
-        child, root = spanning_forest(fps, part == i, home & (part == j), max_distance, **how)  # all rows ask, rows at home answer
+        order, keys = np.argsort(node, kind="stable"), rows.column("key").to_numpy().view(U)
+        fps, home, node, part, keys = fps[order], home[order], node[order], part[order], keys[order]
+        child, root = forest(fps, keys, radius, part == i, home & (part == j), max_distance, **how)  # all rows ask, rows at home answer
         if i != j:
-            more = spanning_forest(fps, part == j, home & (part == i), max_distance, **how)
+            more = forest(fps, keys, radius, part == j, home & (part == i), max_distance, **how)
             child, root = np.concatenate((child, more[0])), np.concatenate((root, more[1]))
         return node[child], node[root]
 
@@ -335,14 +369,14 @@ def links(nodes: DataFrame, wide: int, blocks: list[tuple[int, int]], radius: in
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
-    dealt = sent.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key)
+    dealt = sent.repartition(*[F.col(k) for k in group]).sortWithinPartitions(*group)
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 # --- components -----------------------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """node, root (the smallest node of its component) for the nodes of *edges* (a, b).
 
     Each round every root takes the smallest label that its members' neighbours have, then labels jump to their label's label.
@@ -357,9 +391,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = jump.join(hooks, "root", "left").select("node", F.least(F.col("root"), F.coalesce("up", F.col("root")), F.coalesce("to", F.col("root"))).alias("root"), (F.coalesce("up", F.col("root")) < F.col("root")).alias("moved"))
         label = written(jump, "cc-labels")
         if hooks.isEmpty() and label.filter("moved").isEmpty():
-            break
+            return label.select("node", "root")
         label = label.select("node", "root")
-    return label.select("node", "root")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _grouped(fps: DataFrame, node, how) -> DataFrame:
@@ -373,25 +407,38 @@ def _grouped(fps: DataFrame, node, how) -> DataFrame:
     return fps.join(per_bits, "bits").select("doc_id", "bits", "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = MAX_DISTANCE, parts: int = PARTS, **how) -> DataFrame:
+def cuts_for(rows: int, max_distance: int, parts: int | None = None, joined: int | None = None) -> tuple[list[list[tuple[int, int]]], int]:
+    """(keys as lists of blocks, radius) that find every link of 64-bit fingerprints at *max_distance*.
+
+    *parts*: single blocks. Else *joined* blocks a key of max_distance + joined blocks at radius 0; as few as give keys that some
+    thousand of *rows* share at most, if it is not given: a larger table costs more keys, but never other links."""
+    if parts is None and joined is None:
+        joined = next((j for j in (1, 2, 3) if rows >> (64 * j // (max_distance + j)) < 4_096), 4)
+    count = parts or max_distance + joined
+    at = [round(64 * k / count) for k in range(count + 1)]
+    blocks = [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
+    if parts is not None:
+        return [[b] for b in blocks], max_distance // parts
+    return [list(c) for c in combinations(blocks, joined)], 0
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = MAX_DISTANCE, parts: int | None = None, joined: int | None = None, **how) -> DataFrame:
     """doc_id, bits, component_id for every row of *docs*: 64-bit fingerprints, all links at *max_distance* or less."""
     fps = written(with_fingerprints(docs, words), "simhash-fps")
-    at = [round(64 * k / parts) for k in range(parts + 1)]
-    blocks = [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
-    return _grouped(fps, F.conv(F.hex("bits"), 16, -10).cast("long"), lambda nodes: links(nodes, 1, blocks, max_distance // parts, max_distance, **how))
+    blocks, radius = cuts_for(fps.count(), max_distance, parts, joined)
+    return _grouped(fps, F.conv(F.hex("bits"), 16, -10).cast("long"), lambda nodes: links(nodes, 1, blocks, radius, max_distance, **how))
 
 
-def plan_similar(rows: int, similarity: float, recall: float) -> tuple[int, list[tuple[int, int]], int]:
-    """(words of 64 bits, blocks, distance in bits) for a Jaccard similarity among *rows* texts.
+def plan_similar(similarity: float, recall: float, block_bits: int = BLOCK_BITS) -> tuple[int, list[list[tuple[int, int]]], int]:
+    """(words of 64 bits, blocks, distance in bits) for a Jaccard similarity; nothing of it depends on the number of texts.
 
-    Shingle sets of similarity s have cosine 2s / (1 + s) or more; a bit then differs with probability p = arccos / pi. The distance
-    leaves room for 5 standard deviations, as it only finds candidates. Only the blocks follow the rows: more of them take more words,
-    but the distance is that of the first ``NEAR_WORDS`` at every size."""
+    Shingle sets of similarity s have cosine 2s / (1 + s) or more; a bit then differs with probability p = arccos / pi. The distance, that
+    of the last ``NEAR_WORDS`` words, leaves room for 5 standard deviations, as it only finds candidates. Longer blocks are the caller's
+    choice for a larger table: with n texts some n / 2**block_bits unrelated ones share a block."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    size = min(24, max(12, math.ceil(math.log2(max(rows, 1) / 200 + 1))))
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** size))
-    wide, near = max(NEAR_WORDS, math.ceil(count * size / 64)), 64 * NEAR_WORDS
-    return wide, [(k * size, size) for k in range(count)], math.floor(near * p + 5 * math.sqrt(near * p * (1 - p)))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** block_bits))
+    wide, near = max(NEAR_WORDS, math.ceil(count * block_bits / 64)), 64 * NEAR_WORDS
+    return wide, [[(k * block_bits, block_bits)] for k in range(count)], math.floor(near * p + 5 * math.sqrt(near * p * (1 - p)))
 
 
 def _with_sets(rows: DataFrame, words: int, wide: int) -> DataFrame:
@@ -433,18 +480,18 @@ def _with_places(rows: DataFrame, words: int, folder: str) -> DataFrame:
     return written(rows.mapInArrow(run, "node long, bits binary"), "simhash-places")
 
 
-def _similar(rows: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, **how) -> tuple[DataFrame, DataFrame]:
+def _similar(rows: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, block_bits: int = BLOCK_BITS, **how) -> tuple[DataFrame, DataFrame]:
     """(_rid, doc_id, bits, node, digest of each of *rows* (_rid, _in); node, root of the nodes that are linked)."""
-    wide, blocks, most = plan_similar(rows.count(), similarity, recall)
+    wide, blocks, most = plan_similar(similarity, recall, block_bits)
     fps = written(_with_sets(rows, words, wide), "simhash-fps")
     nodes = written(fps.groupBy("node").agg(F.min("bits").alias("bits"), F.min("_rid").alias("_rid")), "simhash-nodes")
-    near = links(nodes, wide, blocks, 0, most, near_words=NEAR_WORDS, **how)
+    near = links(nodes, wide, blocks, 0, most, first=wide - NEAR_WORDS, near_words=NEAR_WORDS, **how)
     near = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-near")
     folder = local_path(work_path(rows.sparkSession, "simhash-sets"))
     os.makedirs(folder, exist_ok=True)
     asked = written(nodes.join(near, "node"), "simhash-asked")
     placed = _with_places(rows.select("_rid", F.col("_in.text").alias("text")).join(asked, "_rid").select("node", "bits", "text"), words, folder)
-    found = links(placed, wide + 3, blocks, 0, most, near_words=NEAR_WORDS, sets=ShingleSets(folder, similarity), **how)
+    found = links(placed, wide + 3, blocks, 0, most, first=wide - NEAR_WORDS, near_words=NEAR_WORDS, sets=ShingleSets(folder, similarity), **how)
     return fps, components(found)
 
 

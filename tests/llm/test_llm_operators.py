@@ -81,7 +81,7 @@ def test_links_equal_brute_force_for_every_cut(spark, parts):
     nodes = spark.createDataFrame([(int(f.view(np.int64)), int(f).to_bytes(8, "big")) for f in fps], "node long, bits binary")
     at = [round(64 * k / parts) for k in range(parts + 1)]
     for task_rows in (10**6, 40):
-        edges = simhash.links(nodes, 1, [(a, b - a) for a, b in zip(at, at[1:])], 4 // parts, 4, shard_rows=30, task_rows=task_rows)
+        edges = simhash.links(nodes, 1, [[(a, b - a)] for a, b in zip(at, at[1:])], 4 // parts, 4, shard_rows=30, task_rows=task_rows)
         got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
         label = {int(f.view(np.int64)): int(f.view(np.int64)) for f in fps}
         changed = True
@@ -142,14 +142,47 @@ def test_a_repeated_line_votes_once(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in simhash.similar(df).collect()}
     assert {k: r["component_id"] for k, r in got.items()} == {k: k % 100 for k in got} and got[0]["bits"] == got[100]["bits"]
-    fps = simhash.to_words([got[k]["bits"] for k in range(60)], len(got[0]["bits"]) // 8)
+    fps = simhash.to_words([got[k]["bits"] for k in range(60)], len(got[0]["bits"]) // 8)[:, -simhash.NEAR_WORDS :]
     apart = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(axis=2)[np.triu_indices(60, 1)]
-    assert apart.min() > simhash.plan_similar(61, 0.8, 0.99)[2]  # such pairs are not even candidates
+    assert apart.min() > simhash.plan_similar(0.8, 0.99)[2]  # such pairs are not even candidates
 
 
-def test_the_cut_is_the_same_at_every_size():
-    plans = [simhash.plan_similar(n, 0.8, 0.99) for n in (1, 10**4, 2 * 10**6, 12 * 10**6, 10**9)]
-    assert len({most for _, _, most in plans}) == 1 and len({len(blocks) for _, blocks, _ in plans}) > 1
+def test_every_cut_gives_the_same_links(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *[base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in (2, 4, 5)], base[:1] ^ (np.arange(600, dtype=np.uint64) << np.uint64(40))]))
+    nodes = spark.createDataFrame([(int(f.view(np.int64)), int(f).to_bytes(8, "big")) for f in fps], "node long, bits binary")
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    label = np.arange(len(fps))
+    while not np.array_equal(new := np.where(near, label[None, :], len(fps)).min(axis=1), label):
+        label = new
+    ids = fps.view(np.int64)
+    want = {int(ids[i]): int(ids[label == label[i]].min()) for i in range(len(fps)) if (label == label[i]).sum() > 1}
+    for rows, joined in ((10, 1), (10**8, 2), (10**11, 3)):
+        blocks, radius = simhash.cuts_for(rows, 4)
+        assert len(blocks[0]) == joined and radius == 0
+        for shard_rows in (40, 10**6):  # many shards, or one that is cut by a tree of its own
+            edges = simhash.links(nodes, 1, blocks, radius, 4, shard_rows=shard_rows)
+            assert {r["node"]: r["root"] for r in simhash.components(edges).collect()} == want
+
+
+def test_a_task_cuts_its_shard_by_a_tree():
+    rng = np.random.default_rng(12)
+    keys = rng.integers(0, 1 << 20, 5000, dtype=np.uint64)
+    for radius in (0, 1):
+        met = {}
+        for rows, home in simhash.leaves_of(keys, radius, rng):
+            for r in rows.tolist():
+                met.setdefault(r, set()).update(rows[home].tolist())
+        for i in range(0, 5000, 250):
+            assert set(np.flatnonzero(np.bitwise_count(keys ^ keys[i]) <= radius).tolist()) <= met[i]
+    assert max(len(rows) for rows, _ in simhash.leaves_of(keys, 0, rng)) < 1500
+
+
+def test_components_that_do_not_settle_raise(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        simhash.components(chain, max_rounds=1)
 
 
 def test_each_group_keeps_one_row_and_other_rows_stay(spark):
