@@ -79,18 +79,20 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
 
 
 class Arrays:
-    """The model's memory-mapped arrays, opened when first used."""
+    """The model's memory-mapped arrays, opened when first used. ``names`` lists those that were written: one that is listed but can't be
+    opened raises, so a worker that does not see the folder never takes missing counts for none."""
 
     def __init__(self, folder: str):
-        self.folder, self.open = folder, {}
+        self.folder, self.names, self.open = folder, set(), {}
 
     def __getstate__(self):
-        return {"folder": self.folder, "open": {}}
+        return {"folder": self.folder, "names": self.names, "open": {}}
 
     def __call__(self, name: str) -> np.ndarray | None:
+        if name not in self.names:
+            return None
         if name not in self.open:
-            path = f"{self.folder}/{name}.npy"
-            self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            self.open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
         return self.open[name]
 
 
@@ -254,6 +256,7 @@ def train(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> Model:
         return pa.table({"p": pa.array([p], pa.int32()), "n": pa.array([len(h)], pa.int64())})
 
     sizes = dict(counted.withColumn("p", part).groupBy("p").applyInArrow(write_words, "p int, n long").collect())
+    arrays.names |= {f"{kind}-{p}" for p in sizes for kind in ("word", "count")}
     starts = [0]
     for p in range(1 << bits):
         starts.append(starts[-1] + sizes.get(p, 0))
@@ -316,10 +319,11 @@ def train(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> Model:
             out[at, 0] = x[0]
             out[at, 1] = (d2[1] * x[1] + d2[2] * x[2] + d2[3] * x[3]) / x[0]
             save(path, f"context-{r}", out)
-        return pa.table({"n": pa.array([len(at)], pa.int64())})
+        return pa.table({"kind": pa.array([kind], pa.int64()), "r": pa.array([r], pa.int64())})
 
     ranged = summed.filter("kind < 2").withColumn("r", F.shiftright("id", RANGE_BITS))
-    ranged.groupBy("kind", "r").applyInArrow(write_dense, "n long").agg(F.sum("n")).collect()
+    done = ranged.groupBy("kind", "r").applyInArrow(write_dense, "kind long, r long").collect()  # a row for 2**RANGE_BITS words
+    arrays.names |= {f"{'before' if x['kind'] else 'context'}-{x['r']}" for x in done} | {f"{kind}-{k}" for k in range(shards) for kind in ("pair", "times")}
     for t in (stats, summed, counted):
         for f in t.inputFiles()[:1]:
             remove(spark, f.rsplit("/", 1)[0])

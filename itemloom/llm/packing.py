@@ -3,7 +3,8 @@
 A bin (sequence) has three capacities: tokens, segments and loss-bearing tokens. Bins are filled one after the other: among the
 items that still fit in all three, the one with the largest dot product of demand and remaining capacity (both as shares of the
 capacity) goes in. When nothing fits, an item whose tokens all bear loss (plain text) is cut to fill the gap and the rest of
-it waits; items with a mask of their own (instruction examples) are never cut unless one alone is over the capacity.
+it waits; items with a mask of their own (instruction examples, ``pack_examples``) are never cut unless one alone is over a capacity,
+and the loss of each part is counted from its mask.
 A bin that ends short of its capacity, for want of segments or items, is dealt out again as sequences whose lengths are powers
 of two, largest first, which need no padding (``pad=True``, used where masked items are packed, keeps it whole instead).
 
@@ -35,12 +36,21 @@ BUFFER_ITEMS = 20_000
 class DotProductPacker:
     """Bins for items (key, start, tokens, loss); a piece of a bin is (key, start, tokens)."""
 
-    def __init__(self, tokens: int = CAPACITY, segments: int = MAX_SEGMENTS, loss: int | None = None, pad: bool = False):
+    def __init__(self, tokens: int = CAPACITY, segments: int = MAX_SEGMENTS, loss: int | None = None, pad: bool = False, whole: bool = False):
+        """*whole*: no item is cut to fill a gap."""
         self.capacity = np.array([tokens, segments, tokens if loss is None else loss], np.int64)
-        self.pad = pad
+        self.pad, self.whole = pad, whole
         self.waiting: dict[tuple[int, int], list] = {}  # (tokens, loss): items of that demand
         self.size = 0
 
+    def add_masked(self, key, mask: np.ndarray) -> None:
+        """Take an example by its loss mask, cut into the longest parts that are within the capacities alone."""
+        before, start = np.concatenate(([0], np.cumsum(mask, dtype=np.int64))), 0
+        while start < len(mask):
+            stop = min(start + int(self.capacity[0]), int(np.searchsorted(before, before[start] + self.capacity[2], side="right")) - 1)
+            self._put(key, start, stop - start, int(before[stop] - before[start]))
+            start = stop
+
     def add(self, key, start: int, tokens: int, loss: int) -> Iterator[list]:
         """Take an item; what is over the capacity on its own leaves as full bins at once."""
         most = int(min(self.capacity[0], self.capacity[2])) if loss == tokens else int(self.capacity[0])
@@ -85,7 +95,7 @@ class DotProductPacker:
                     gap = int(min(room[0], room[2]))
                     cut = np.flatnonzero((left > 0) & (kinds[:, 0] == kinds[:, 1]))
                     old = next((d for d in rest if rest[d] and d[0] == d[1]), None)
-                    if not gap or (not len(cut) and not old):
+                    if self.whole or not gap or (not len(cut) and not old):
                         break
                     if old:
                         (key, start), t = rest[old].pop(), old[0]
@@ -158,8 +168,10 @@ def _encoder(json_path: str, ranks_path: str | None):
                     return plain(text)
                 try:
                     return fast.encode_to_numpy(text)
-                except Exception:  # the fast library's limits on one long run; the result is the same
-                    return plain(text)
+                except BaseException as e:
+                    if type(e).__name__ != "PanicException":
+                        raise
+                    return plain(text)  # the fast library's pattern gives up on some long runs; the ids are the same
 
             _held[json_path] = encode
     return _held[json_path]
@@ -206,6 +218,64 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = Non
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
+def tokenized_examples(formatted: DataFrame, json_path: str) -> DataFrame:
+    """conv_id, ids, loss of formatted conversations (conv_id, formatted, loss_spans in characters): a token that meets a span bears loss."""
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(json_path)
+        for b in batches:
+            ids, loss = [], []
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                got = t.encode(text or "", add_special_tokens=False)
+                at = np.array(got.offsets, np.int64).reshape(-1, 2)
+                inside = np.zeros(len(text or "") + 1, np.int64)
+                for s in spans or []:
+                    inside[s["start"] : s["start"] + s["length"]] = 1
+                before = np.concatenate(([0], np.cumsum(inside)))
+                ids.append(got.ids)
+                loss.append((before[at[:, 1]] > before[at[:, 0]]).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.bool_()))], ["conv_id", "ids", "loss"])
+
+    kind = dict(formatted.dtypes)["conv_id"]
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, f"conv_id {kind}, ids array<int>, loss array<boolean>")
+
+
+def pack_examples(examples: DataFrame, key: str, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, loss_capacity: int | None = None, buffer_items: int = BUFFER_ITEMS) -> DataFrame:
+    """One row a piece: key, start, length, loss_tokens, sequence_id, offset, of *examples* (key, loss array<boolean>: the mask of its
+    tokens), under limits on tokens, segments and loss-bearing tokens of a sequence. Sequences are padded; an example without tokens
+    (or without a mask) has no piece, a null in a mask bears no loss."""
+
+    def run(batches):
+        packer = DotProductPacker(capacity, max_segments, loss_capacity, pad=True, whole=True)
+        number, kind = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, None
+
+        def packed():
+            nonlocal number
+            rows = []
+            for bin_ in packer.flush(last=True):
+                at = 0
+                for (k, mask), start, t in bin_:
+                    rows.append((k, start, t, int(mask[start : start + t].sum()), number, at))
+                    at += t
+                number += 1
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:]]], [key, "start", "length", "loss_tokens", "sequence_id", "offset"])
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for k, mask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = np.array([bool(x) for x in mask or []], bool)
+                packer.add_masked((k, own), own)
+            if packer.size >= buffer_items:
+                yield packed()
+        if packer.size:
+            yield packed()
+
+    return examples.select(key, "loss").mapInArrow(run, f"{key} {dict(examples.dtypes)[key]}, start long, length long, loss_tokens long, sequence_id long, offset long")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -50,14 +50,17 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(\\|n)", lambda m: "\n" if m[1] == "n" else "\\", unescape(role))
 
 
-def ancestor_steps(nodes: DataFrame, max_levels: int = 40) -> tuple[list[DataFrame], DataFrame]:
-    """Tables of (tree, node, up): up is 2**k levels above; and (tree, node, total) with the score of each node's path."""
+def ancestor_steps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of (tree, node, up): up is 2**k levels above; and (tree, node, total) with the score of each node's path.
+
+    No path is longer than its tree has nodes: what is open after so many doublings lies on a cycle or below one."""
+    largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     known = nodes.select("tree", F.col("node").alias("up"))
     first = nodes.select("tree", "node", F.col("parent").alias("up"), "score")
     linked = first.filter(F.col("up").isNotNull()).join(known, ["tree", "up"], "left_semi")
     step = written(nodes.select("tree", "node", "score").join(linked.select("tree", "node", "up"), ["tree", "node"], "left").select("tree", "node", "up", F.col("score").alias("total")), "reply-steps")
     steps = []
-    for _ in range(max_levels):
+    for _ in range(largest.bit_length()):
         open_ = step.filter(F.col("up").isNotNull())
         if open_.isEmpty():
             break
@@ -105,7 +108,7 @@ def chain_of_turns(conversations: DataFrame) -> DataFrame:
     """Each turn as a reply to the one before: tree, node, parent, score, role, text, conv_id."""
     w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     n = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(w).cast("long"))
-    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
+    tree = F.when(F.col("conv_id").isNull(), "none").otherwise(F.concat(F.lit("id "), F.col("conv_id").cast("string")))
     return n.select(tree.alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text", "conv_id")
 
 

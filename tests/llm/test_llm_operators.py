@@ -292,6 +292,31 @@ def test_packer_keeps_every_limit(items, segments):
         assert sum(t for *_, t in b) <= 64 and len(b) <= segments
 
 
+def test_masked_examples_keep_all_three_limits(spark):
+    from itemloom.llm.packing import pack_examples, tokenized_examples
+
+    rng = np.random.default_rng(9)
+    masks = [(rng.random(n) < rng.choice([0.1, 0.5, 1.0])).tolist() for n in rng.integers(0, 200, 80)] + [[False] * 1100 + [True] * 400, None]
+    d = spark.createDataFrame(list(enumerate(masks)), "k long, loss array<boolean>").withColumn("start", F.lit(1)).repartition(3)
+    got = pack_examples(d, "k", capacity=256, max_segments=5, loss_capacity=90).collect()
+    seqs, cover = defaultdict(list), Counter()
+    for r in got:
+        seqs[r["sequence_id"]].append(r)
+        m = masks[r["k"]][r["start"] : r["start"] + r["length"]]
+        assert r["loss_tokens"] == sum(m)
+        cover.update((r["k"], i) for i in range(r["start"], r["start"] + r["length"]))
+    assert cover == Counter((k, i) for k, m in enumerate(masks) for i in range(len(m or [])))
+    for rows in seqs.values():
+        assert sum(r["length"] for r in rows) <= 256 and len(rows) <= 5 and sum(r["loss_tokens"] for r in rows) <= 90
+        assert sorted(r["offset"] for r in rows) == [sum(x["length"] for x in sorted(rows, key=lambda r: r["offset"])[:k]) for k in range(len(rows))]
+    uncut = {k for k, m in enumerate(masks) if m and len(m) <= 256 and sum(m) <= 90}
+    assert all(sum(r["k"] == k for r in got) == 1 for k in uncut)
+    c = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "good morning"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
+    e = {r["conv_id"]: r for r in tokenized_examples(reply_trees.format_conversations(c), P.path("byte_bpe_50k.json")).collect()}
+    assert 0 < sum(e[1]["loss"]) < len(e[1]["ids"]) == len(e[1]["loss"]) and not any(e[2]["loss"])
+    assert pack_examples(d.limit(0), "k").count() == 0
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -353,6 +378,21 @@ def test_kneser_ney_against_brute_force(spark, docs, empty):
     assert got[1][0]["n_tokens"] == 1 and len(got[4]) == 2 and got[5][0]["n_tokens"] == 30_004
 
 
+def test_a_lost_model_file_raises(spark, tmp_path):
+    import glob
+    import os
+
+    d = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} x") for k in range(50)], "doc_id long, text string")
+    model = kneser_ney.train(d)
+    for kind in ("pair-0", "context-0", "word-0"):
+        (path,) = glob.glob(f"{model.words.arrays.folder}/{kind}.npy")
+        os.rename(path, f"{tmp_path}/kept.npy")
+        with pytest.raises(Exception, match="No such file"):
+            kneser_ney.score_documents(d, model).collect()
+        os.rename(f"{tmp_path}/kept.npy", path)
+    assert kneser_ney.score_documents(d, model).count() == 50
+
+
 # --- 6 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -374,6 +414,11 @@ def test_conversations_read_back(spark):
     assert reply_trees.read_back(reply_trees.format_conversations(c.limit(0))).count() == 0
 
 
+def test_a_text_id_none_is_not_null(spark):
+    c = spark.createDataFrame([("none", 0, "user", "x"), (None, 0, "user", "y")], "conv_id string, turn long, role string, text string")
+    assert {k: len(reply_trees.parse(v[0]["formatted"])) for k, v in rows_of(reply_trees.format_conversations(c), "conv_id").items()} == {"none": 1, None: 1}
+
+
 def test_branches_are_ranked(spark):
     nodes = spark.createDataFrame([("t", 1, None, 1.0), ("t", 2, 1, 5.0), ("t", 3, 1, 1.0), ("t", 4, 3, 9.0), ("t", 5, 3, 9.0), ("t", 6, 99, 2.0), ("u", 1, 2, 1.0), ("u", 2, 1, 1.0)], "tree string, node long, parent long, score double")
     got = defaultdict(list)
