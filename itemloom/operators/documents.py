@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TYPES = {"int": int, "str": str, "bool": bool, "list": list, "dict": dict}
+_TYPES = {"int": (int,), "float": (int, float), "str": (str,), "bool": (bool,), "list": (list,), "dict": (dict,)}
 
 
 def object_fault(text: str | None, fields: dict[str, str]) -> str | None:
@@ -23,7 +24,10 @@ def object_fault(text: str | None, fields: dict[str, str]) -> str | None:
         return "not_object"
     if value.keys() != fields.keys():
         return "keys"
-    return next((f"type:{k}" for k, t in fields.items() if type(value[k]) is not _TYPES[t] and not (t == "float" and type(value[k]) in (int, float))), None)
+    for k, t in fields.items():
+        if type(value[k]) not in _TYPES[t] or (t == "float" and not math.isfinite(value[k])):
+            return f"type:{k}"
+    return None
 
 
 def strict_object(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:

@@ -27,7 +27,7 @@ def check_filters(types: DataFrame, points: DataFrame, knowledge: str | None = N
             raise BadFilter(name)
     if has_figure not in (None, "true", "false"):
         raise BadFilter("has_figure")
-    if source is not None and (len(source) > MAX_SOURCE or re.search(r"[\x00-\x1f\x7f]", source)):
+    if source is not None and (len(source) > MAX_SOURCE or re.search(r"[\x00-\x1f]", source)):
         raise BadFilter("source")
 
 

@@ -78,18 +78,25 @@ def effective_content(questions: DataFrame) -> DataFrame:
 
 
 def finalize_plan(drafts: DataFrame, job: str) -> DataFrame:
-    """*drafts* with outcome: kept (approved already), promoted (untouched, pending, strictly passed and anchored) or pending.
+    """*drafts* with outcome: kept (approved on valid evidence), promoted (untouched, pending, strictly passed and anchored), pending, or
+    rejected (approved, but its evidence or its binding to the candidate is invalid, or its source is none that may approve): one rejected row
+    stops its job.
 
-    Columns read: status, touched, strict, anchored."""
-    promote = _true(F.col("status") == "pending") & ~_true(F.col("touched")) & _true(F.col("strict")) & _true(F.col("anchored"))
-    return drafts.withColumn("outcome", F.when(F.col("status") == "approved", "kept").when(promote, "promoted").otherwise("pending"))
+    Columns read: status, approval_source, bound (it is about the candidate as it is now), evidence_valid, touched, strict, anchored."""
+    promote = _true(F.col("status") == "pending") & _true(F.col("bound")) & ~_true(F.col("touched")) & _true(F.col("strict")) & _true(F.col("anchored"))
+    sound = _true(F.col("bound")) & _true(F.col("evidence_valid")) & _true(F.col("approval_source").isin("human", "ai_second_pass"))
+    return drafts.withColumn("outcome", F.when((F.col("status") == "approved") & sound, "kept").when(F.col("status") == "approved", "rejected").when(promote, "promoted").otherwise("pending"))
 
 
 def finalize_report(plan: DataFrame, job: str, number: str) -> DataFrame:
-    """One row a job: counts by outcome, the numbers promoted and pending in order, complete."""
+    """One row a job: counts by outcome and by source, the numbers promoted, pending and rejected in order, complete.
+
+    n_changed counts rows whose text differs from the candidate (touched); complete needs no pending and no rejected row."""
     listed = lambda s: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("outcome") == s, F.col(number).cast("long")))), lambda n: n.cast("string")), ",")
-    counts = [F.count_if(F.col("outcome") == s).alias(f"n_{s}") for s in ("kept", "promoted", "pending")]
-    return plan.groupBy(job).agg(*counts, listed("promoted").alias("promoted"), listed("pending").alias("pending"), F.every(F.col("outcome") != "pending").alias("complete"))
+    counts = [F.count_if(F.col("outcome") == s).alias(f"n_{s}") for s in ("kept", "promoted", "pending", "rejected")]
+    ok = F.col("outcome").isin("kept", "promoted")
+    human, ai = F.count_if(ok & _true(F.col("approval_source") == "human")), F.count_if((F.col("outcome") == "promoted") | ((F.col("outcome") == "kept") & _true(F.col("approval_source") == "ai_second_pass")))
+    return plan.groupBy(job).agg(*counts, human.alias("n_human"), ai.alias("n_ai"), F.count_if(ok & _true(F.col("touched"))).alias("n_changed"), listed("promoted").alias("promoted"), listed("pending").alias("pending"), listed("rejected").alias("rejected"), F.every(ok).alias("complete"))
 
 
 def knowledge_overlay(draft_codes: Column, evidence_codes: Column, active: Column) -> Column:

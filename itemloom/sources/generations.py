@@ -1,8 +1,8 @@
 """Tables as generations: a whole set of tables is written to a new folder, checked, and then published by one log entry.
 
-A store is a folder with ``gen-<token>/<table>`` folders of Parquet and ``log/<number>`` entries. An entry is made with an exclusive
-create, so of two writers that publish the same number one fails (``Conflict``) and nothing of it is seen. Readers take the highest
-entry that is whole. An old generation never changes; a crash leaves an unpublished folder and no mixed state. Everything goes through
+A store is a folder with ``gen-<token>/<table>`` folders of Parquet and ``log/<place>`` entries. An entry is made with an exclusive
+create at the place behind the last, so of two writers that publish the same number one fails (``Conflict``) and nothing of it is seen; a
+writer that dies leaves an empty place, which is passed over. Readers take the last entry that is whole. An old generation never changes; a crash leaves an unpublished folder and no mixed state. Everything goes through
 Hadoop's file systems, so a store may lie wherever Spark can write (one with an atomic exclusive create).
 """
 
@@ -12,6 +12,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,23 +30,24 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _entries(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+def _entries(spark: SparkSession, root: str, empty: bool = False) -> list[tuple[int, str]]:
+    """(number, name) of the log's entries; those that are *empty* belong to writers that are at work or died."""
     p, fs = _fs(spark, f"{root}/log")
     if not fs.exists(p):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.getLen() > 0]
+    names = [s.getPath().getName() for s in fs.listStatus(p) if empty or s.getLen() > 0]
     return sorted((int(n), n) for n in names if n.isdigit())
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
     """The published entry (number, folder, tables), or None for a store that has none (it is not created)."""
-    for number, name in reversed(_entries(spark, root)):
+    for _, name in reversed(_entries(spark, root)):
         text = spark.read.text(f"{root}/log/{name}", wholetext=True).first()
         try:
             entry = json.loads(text["value"]) if text else {}
         except ValueError:
             continue  # being written
-        if entry.get("number") == number:
+        if "number" in entry:
             return entry
     return None
 
@@ -81,14 +83,30 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], expect
             p, fs = _fs(spark, f"{root}/{folder}")
             fs.delete(p, True)
             raise Rejected(f"{check.__name__} found violations")
-    p, fs = _fs(spark, f"{root}/log/{number + 1:012d}")
+    _claim(spark, root, entry)
+    return entry
+
+
+def _claim(spark: SparkSession, root: str, entry: dict) -> None:
+    """Put *entry* behind the last name in the log, so that a name that a dead writer left empty is passed over.
+
+    Another writer's whole entry of this number, before or after the exclusive create, is a conflict."""
+    names = _entries(spark, root, empty=True)
+    name = f"{(names[-1][0] if names else 0) + 1:012d}"
+    p, fs = _fs(spark, f"{root}/log/{name}")
     try:
         out = fs.create(p, False)
     except Exception as e:
-        raise Conflict(f"generation {number + 1} was published by another writer") from e
+        if fs.exists(p):
+            raise Conflict(f"generation {entry['number']} was published by another writer") from e
+        raise
+    last = current(spark, root)
+    if last and last["number"] >= entry["number"]:
+        out.close()
+        fs.delete(p, False)
+        raise Conflict(f"generation {entry['number']} was published by another writer")
     out.write(bytearray(json.dumps(entry).encode()))
     out.close()
-    return entry
 
 
 def prune(spark: SparkSession, root: str, keep: int = 2) -> None:
@@ -133,3 +151,49 @@ def intake(spark: SparkSession, path: str, known: DataFrame, region: str, year:
     d = d.withColumn("outcome", out)
     name = F.concat(F.lit(f"raw_papers/{region}/{year}/{year}-{region}-{kind}-"), F.substring("sha256", 1, 12), F.lit(".pdf"))
     return d.select("path", "sha256", "outcome", F.when(F.col("outcome") == "new", name).alias("archive_path"))
+
+
+def documents(artifacts: DataFrame, schema) -> DataFrame:
+    """path, document (a struct of *schema*) of the texts of ``artifacts``; a damaged or missing text gives null, and so does one behind
+    whose value more follows (Spark's own parser would take it)."""
+
+    @F.pandas_udf("boolean")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([_is_object(t) for t in texts], dtype=object)
+
+    return artifacts.select("path", F.when(whole("text"), F.from_json("text", schema)).alias("document"))
+
+
+def _is_object(text: str | None) -> bool:
+    try:
+        return text is not None and isinstance(json.loads(text), dict)
+    except ValueError:
+        return False
+
+
+def backup_faults(before: dict[str, DataFrame], copy: dict[str, DataFrame], references: list[tuple[str, str, str, str]]) -> DataFrame:
+    """table, fault of a backup: rows that differ from the original (both ways, as often), tables that are missing, and references
+    (child, key, parent, key) that lead nowhere in the copy."""
+    out = None
+    spark = next(iter(before.values())).sparkSession
+    add = lambda one: one if out is None else out.unionByName(one)
+    for name, df in sorted(before.items()):
+        if name not in copy:
+            out = add(spark.createDataFrame([(name, "missing")], "table string, fault string"))
+            continue
+        out = add(df.exceptAll(copy[name]).unionByName(copy[name].exceptAll(df)).limit(1).select(F.lit(name).alias("table"), F.lit("rows").alias("fault")))
+    for child, key, parent, other in references:
+        lost = copy[child].filter(F.col(key).isNotNull()).join(copy[parent].select(F.col(other).alias(key)), key, "left_anti")
+        out = add(lost.limit(1).select(F.lit(child).alias("table"), F.lit(f"reference:{key}").alias("fault")))
+    return out
+
+
+def seed_text(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """One row: a small table as a JSON list of objects in order, the text of a seed file. Dictionaries only."""
+    one = rows.agg(F.sort_array(F.collect_list(F.struct(order, F.struct(*columns).alias("r")))).alias("_r"))
+    return one.select(F.to_json(F.transform("_r", lambda x: x["r"]), {"ignoreNullFields": "false"}).alias("text"))
+
+
+def seed_rows(text: DataFrame, schema: str) -> DataFrame:
+    """The rows of a seed file's ``text`` (a JSON list of objects of *schema*)."""
+    return text.select(F.explode(F.from_json("text", f"array<struct<{schema}>>")).alias("r")).select("r.*")
