@@ -169,13 +169,9 @@ def replace_children(children: DataFrame, new: DataFrame, parent: str, position:
 
 def same_children(a: DataFrame, b: DataFrame, parent: str, columns: list[str]) -> DataFrame:
     """parent, equal: whether both tables have the same rows of it, each as often (put a position among *columns* where order counts)."""
-    count = lambda df, n: df.groupBy(parent, *columns).agg(F.count(F.lit(1)).alias(n))
-    x, y = count(a, "_x"), count(b, "_y")
-    on = x[parent].eqNullSafe(y[parent])
-    for c in columns:
-        on = on & x[c].eqNullSafe(y[c])
-    d = x.join(y, on, "full").select(F.coalesce(x[parent], y[parent]).alias(parent), F.col("_x").eqNullSafe(F.col("_y")).alias("_same"))
-    return d.groupBy(parent).agg(F.every("_same").alias("equal"))
+    side = lambda df, n: df.select(parent, *columns, F.lit(n).alias("_n"))
+    d = side(a, 1).unionByName(side(b, -1)).groupBy(parent, *columns).agg(F.sum("_n").alias("_n"))
+    return d.groupBy(parent).agg(F.every(F.col("_n") == 0).alias("equal"))
 
 
 def one_version_each(rows: DataFrame, expected: DataFrame, job: str) -> DataFrame:

@@ -18,6 +18,9 @@ STATUSES = ["auto_pass", "disputed", "human_required"]
 CHOICE = ["single_choice", "multiple_choice"]
 TYPES = [*CHOICE, "fill_blank", "solution"]
 IMAGE_OPTION = "见原页选项图"
+EMPTY = ["answer_markdown", "analysis_markdown", "primary_knowledge_point_code", "related_knowledge_point_codes"]
+MAX_STEM, MAX_ITEM, MAX_OPTIONS, MAX_SUBQUESTIONS, MAX_PAGES, MAX_FINDINGS, MAX_TEXT = 30_000, 10_000, 20, 30, 20, 50, 500
+AUDITOR, AUDIT_KIND = "independent_codex_visual_second_pass", "candidate_text_vs_verified_single_question_crops"
 
 
 def no(c: Column) -> Column:
@@ -33,6 +36,11 @@ def texts_within(a: Column, most: int, length: int) -> Column:
     return (F.size(a) <= most) & F.forall(a, lambda x: x.isNotNull() & (F.length(x) <= length))
 
 
+def findings(a: Column) -> Column:
+    """A list of findings: none empty, none too long, not too many."""
+    return texts_within(a, MAX_FINDINGS, MAX_TEXT) & F.forall(a, lambda x: ~blank(x))
+
+
 def blank(c: Column) -> Column:
     return F.length(strip(F.coalesce(c, F.lit("")))) == 0
 
@@ -85,20 +93,40 @@ def candidates(questions: DataFrame, expected: DataFrame, job: str = "job_id") -
         "unexpected": F.col("_no").isNull(),
         "number": no(is_question_number(F.col("source_question_no")) & (F.col("source_question_no") == F.col("_no").cast("string"))),
         "repeated": F.col("_copies") > 1,
-        "stem": blank(F.col("stem_markdown")),
+        "stem": blank(F.col("stem_markdown")) | (F.length("stem_markdown") > MAX_STEM),
         "type": no(F.col("question_type_code").isin(TYPES)),
         "options": no(F.when(choice, F.size("options") >= 2).otherwise(F.size("options") == 0)),
-        "option_text": no(F.forall("options", lambda o: ~blank(o["code"]) & ~blank(o["content"]) & (F.length(o["code"]) <= 16))),
+        "option_text": no(F.forall("options", lambda o: ~blank(o["code"]) & ~blank(o["content"]) & (F.length(o["code"]) <= 16) & (F.length(o["content"]) <= MAX_ITEM)) & (F.size("options") <= MAX_OPTIONS)),
         "option_codes": no(unique(codes)),
-        "labels": no(unique(labels) & F.forall("subquestions", lambda s: ~blank(s["label"]) & ~blank(s["stem_markdown"]) & (F.length(s["label"]) <= 50))),
-        "pages": no((F.size(pages) > 0) & (F.sort_array(F.array_distinct(pages)) == pages) & (pages.cast("array<bigint>") == F.col("_pages").cast("array<bigint>"))),
+        "labels": no(unique(labels) & F.forall("subquestions", lambda s: ~blank(s["label"]) & ~blank(s["stem_markdown"]) & (F.length(s["label"]) <= 50) & (F.length(s["stem_markdown"]) <= MAX_ITEM)) & (F.size("subquestions") <= MAX_SUBQUESTIONS)),
+        "pages": no(F.size(pages).between(1, MAX_PAGES) & (F.sort_array(F.array_distinct(pages)) == pages) & (pages.cast("array<bigint>") == F.col("_pages").cast("array<bigint>"))),
         "confidence": no(F.col("extraction_confidence").isin(LEVELS)),
         "figure": F.col("figure_required").isNull(),
+        "warnings": no(texts_within(F.col("warnings"), 20, 500)),
     }
+    for c in EMPTY:
+        if c in questions.columns:  # fields that a transcription must leave empty
+            rules[f"filled:{c}"] = no(F.length(F.concat_ws("", F.col(c))) == 0) | F.col(c).isNull()
     reasons = F.when(F.col("_got").isNull(), F.array(F.lit("missing"))).otherwise(reason_list(rules))
     return d.select(job, "position", "source_question_no", reasons.alias("reasons"))
 
 
+def audit_heads(heads: DataFrame, questions: DataFrame, job: str = "job_id") -> DataFrame:
+    """job, reasons of what an audit says of itself: auditor, scope_kind, scope_pages, question_count, sample_nos, sample_reason, global_findings,
+    knowledge_checks (of its entries). *questions*: job, source_question_no, source_pages."""
+    own = questions.groupBy(job).agg(F.sort_array(F.collect_set("source_question_no")).alias("_nos"), F.count(F.lit(1)).alias("_n"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("source_pages")))).alias("_pages"))
+    d = heads.join(own, job, "left")
+    rules = {
+        "auditor": no(F.col("auditor") == AUDITOR),
+        "scope": no((F.col("scope_kind") == AUDIT_KIND) & (F.col("scope_pages") == F.col("_pages"))),
+        "question_count": no((F.col("question_count") == F.col("_n")) & F.col("question_count").between(1, 200) & (F.size("_nos") == F.col("_n"))),
+        "sample": no((F.size("sample_nos") <= MAX_FINDINGS) & unique(F.col("sample_nos")) & (F.size(F.array_except("sample_nos", "_nos")) == 0) & ~blank(F.col("sample_reason")) & (F.length("sample_reason") <= 1000)),
+        "findings": no(findings(F.col("global_findings"))),
+        "knowledge": no(F.forall("knowledge_checks", lambda x: F.coalesce(x == "not_reviewed", F.lit(False)))),
+    }
+    return d.select(job, reason_list(rules).alias("reasons"))
+
+
 def audits(entries: DataFrame, questions: DataFrame, job: str = "job_id") -> DataFrame:
     """job, position, source_question_no, reasons of an audit's entries against the questions it is about.
 
@@ -115,7 +143,7 @@ def audits(entries: DataFrame, questions: DataFrame, job: str = "job_id") -> Dat
         "status": no(F.col("audit_status").isin(STATUSES)),
         "matches": F.col("text_match").isNull() | F.col("structure_match").isNull() | F.col("formula_match").isNull(),
         "figure_check": no(F.when(F.col("_figure"), F.col("figure_check").isin("passed", "failed")).otherwise(F.col("figure_check") == "not_applicable")),
-        "lists": F.col("issues").isNull() | F.col("suggested_corrections").isNull(),
+        "lists": no(findings(F.col("issues")) & findings(F.col("suggested_corrections"))),
         "evidence_page": no(F.col("evidence_page") == F.col("_page")),
         "confidence": no(F.col("audit_confidence").isin(LEVELS)),
         "verdict": no((F.col("audit_status") == "auto_pass") == passed),

@@ -79,15 +79,33 @@ def anchors(words: DataFrame, cols: DataFrame, page: list[str]) -> DataFrame:
     return d.select(*page, F.col("_c.column_index").alias("column_index"), F.greatest("x", F.col("_c.l")).alias("x"), F.greatest("y", F.col("_c.t")).alias("y"), "question_no")
 
 
+def _numbered(found: DataFrame, cols: DataFrame, job: list[str], page: str) -> tuple[DataFrame, DataFrame]:
+    """(slots: a job's columns in reading order; its anchors, numbered in that order)."""
+    slots = cols.withColumn("slot", F.row_number().over(W.partitionBy(*job).orderBy(page, "column_index")))
+    a = found.join(slots.select(*job, page, "column_index", "slot"), [*job, page, "column_index"])
+    return slots, a.withColumn("anchor_no", F.row_number().over(W.partitionBy(*job).orderBy("slot", "y", "x")))
+
+
+def region_faults(found: DataFrame, cols: DataFrame, job: list[str], page: str, max_questions: int = 200) -> DataFrame:
+    """job, question_no, fault of what stops a job's layout: no_column (an anchor on no column of its job), no_region (nothing of it is left,
+    as the next one stands at its height) and too_many (of the job, question_no is null)."""
+    _, a = _numbered(found, cols, job, page)
+    covered = regions(found, cols, job, page).select(*job, "anchor_no").distinct()
+    out = a.join(covered, [*job, "anchor_no"], "left_anti").select(*job, "question_no", F.lit("no_region").alias("fault"))
+    lost = found.join(cols, [*job, page, "column_index"], "left_anti").select(*job, "question_no", F.lit("no_column").alias("fault"))
+    many = found.groupBy(*job).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_questions)
+    return out.unionByName(lost).unionByName(many.select(*job, F.lit(None).cast("string").alias("question_no"), F.lit("too_many").alias("fault")))
+
+
 def regions(found: DataFrame, cols: DataFrame, job: list[str], page: str) -> DataFrame:
     """job, anchor_no, question_no, region_no, page, l, t, r, b, warnings, confidence: what each anchor covers up to the next one.
 
     Slots are a job's columns in reading order. An anchor's first slot starts at its height, its last ends at the next anchor's, the
-    others are whole columns; pieces without height are dropped. *job* columns are in both tables."""
-    slots = cols.withColumn("slot", F.row_number().over(W.partitionBy(*job).orderBy(page, "column_index")))
-    a = found.join(slots.select(*job, page, "column_index", "slot"), [*job, page, "column_index"])
+    others are whole columns; pieces without height are dropped (``region_faults`` names anchors that have no other). *job* columns are
+    in both tables."""
+    slots, a = _numbered(found, cols, job, page)
     order = W.partitionBy(*job).orderBy("slot", "y", "x")
-    a = a.withColumns({"anchor_no": F.row_number().over(order), "_next": F.lead("slot").over(order), "_end": F.lead("y").over(order), "_n": F.col("question_no").cast("long")})
+    a = a.withColumns({"_next": F.lead("slot").over(order), "_end": F.lead("y").over(order), "_n": F.col("question_no").cast("long")})
     a = sequence.anomalies(a, job, ["anchor_no"], "_n")
     last = slots.groupBy(*job).agg(F.max("slot").alias("_last"))
     a = a.join(last, job).select(*job, "anchor_no", "question_no", "warnings", "confidence", "y", "_next", "_end", F.col("slot").alias("_first"), F.explode(F.sequence("slot", F.coalesce("_next", "_last"))).alias("slot"))
@@ -112,6 +130,16 @@ def box_fault(box: Column, width: Column, height: Column) -> Column:
     return F.when(~ordered, "order").when(~whole, "outside")
 
 
+def column_faults(columns: DataFrame, pages: DataFrame, page: list[str]) -> DataFrame:
+    """page, column_index, fault (order, outside, overlap) of columns (page, column_index, l, t, r, b) that are wrong: each lies on its page
+    (page, width, height), right of all before it."""
+    d = columns.join(pages, page, "left")
+    box = F.struct("l", "t", "r", "b")
+    before = F.max("r").over(W.partitionBy(*page).orderBy("column_index").rowsBetween(W.unboundedPreceding, -1))
+    fault = F.coalesce(box_fault(box, F.col("width"), F.col("height")), F.when(F.col("l") < before, "overlap"))
+    return d.withColumn("fault", fault).filter("fault IS NOT NULL").select(*page, "column_index", "fault")
+
+
 def with_margin(box: Column, width: Column, height: Column, margin: int) -> Column:
     """A pixel box widened by *margin*, kept on its page."""
     return F.struct(

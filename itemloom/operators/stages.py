@@ -178,3 +178,61 @@ def cascade(parents_gone: DataFrame, child: DataFrame, key: str, how: str) -> Da
         gone = parents_gone.select(key).distinct().withColumn("_gone", F.lit(True))
         return child.join(gone, key, "left").withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).select(*child.columns)
     raise ValueError(how)
+
+
+STAGES = ("render", "layout", "split", "candidates", "audit", "admission")
+
+
+def stage_board(jobs: DataFrame, runs: dict[str, DataFrame], job: str, counts: dict[str, DataFrame] | None = None) -> DataFrame:
+    """*jobs* with ``<stage>_<column>`` of each stage's one run a job (null where there is none) and ``n_<name>`` rows of each of *counts*."""
+    for stage, df in runs.items():
+        jobs = jobs.join(df.select(job, *[F.col(c).alias(f"{stage}_{c}") for c in df.columns if c != job]), job, "left")
+    for name, df in (counts or {}).items():
+        jobs = jobs.join(df.groupBy(job).agg(F.count(F.lit(1)).alias(f"n_{name}")), job, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)).cast("long"))
+    return jobs
+
+
+def claimable(stage: str) -> Column:
+    """Whether a job of the board may be claimed for *stage*: the stage before is completed with its digest, this one is not running or done,
+    and everything it starts from is anchored. Columns: job_status, ``<stage>_status``, ``<stage>_output_sha256``."""
+    before = STAGES[STAGES.index(stage) - 1] if stage != "render" else None
+    before = "render" if stage == "split" else before  # layout is optional
+    free = ~_true(F.col(f"{stage}_status").isin("processing", "completed"))
+    ready = F.lit(True) if before is None else _true((F.col(f"{before}_status") == "completed") & F.col(f"{before}_output_sha256").isNotNull())
+    return free & ready & _true(F.col("job_status").isin("pending", "needs_review"))
+
+
+def retryable(receipts: DataFrame, board: DataFrame, job: str) -> DataFrame:
+    """Pending jobs that came with a receipt and whose automatic work broke off: not rendered, or rendered and not split; failed work never."""
+    d = board.join(receipts.select(job).distinct(), job, "left_semi")
+    render, split = F.col("render_status"), F.col("split_status")
+    unsplit = split.isNull() | split.isin("pending", "processing")
+    return d.filter(_true(F.col("job_status") == "pending") & unsplit & (render.isNull() | render.isin("processing", "completed"))).select(job)
+
+
+def recovery_loop(pending, retry, wait, most: int = 100) -> int:
+    """Retry until nothing retryable is left: *pending*() gives a DataFrame of jobs, *retry*(it) works on them, *wait*(n) backs off before the
+    n-th round. A round that leaves the jobs as they were still counts; after *most* rounds it raises."""
+    for n in range(most):
+        jobs = pending()
+        if jobs.isEmpty():
+            return n
+        if n:
+            wait(n)
+        retry(jobs)
+    raise RuntimeError(f"jobs are left after {most} rounds")
+
+
+def review_summary(rows: DataFrame, group: list[str]) -> DataFrame:
+    """total, n_deleted, n_high, n_medium, n_figures, n_focus (a hint is given) by group; deleted rows count as total and deleted only.
+
+    Columns read: deleted, confidence, figure_required, hints."""
+    live = ~_true(F.col("deleted"))
+    n = lambda c: F.count_if(live & _true(c))
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"), F.count_if(~live).alias("n_deleted"), n(F.col("confidence") == "high").alias("n_high"), n(F.col("confidence") == "medium").alias("n_medium"), n(F.col("figure_required")).alias("n_figures"), n(F.size("hints") > 0).alias("n_focus"))
+
+
+def with_status(rows: DataFrame, status: str | None = None, column: str = "audit_status") -> DataFrame:
+    """Rows of one status, those that need a person by default; ``all`` for every row."""
+    wanted = status or "human_required"
+    return rows if wanted == "all" else rows.filter(F.col(column) == wanted)

@@ -55,9 +55,12 @@ def effective_content(spark, sf_dir):
 
 
 def finalize_report(spark, sf_dir):
-    """Turns as drafts: approved ones stay, untouched strict ones are promoted, the rest waits."""
+    """Turns as drafts: approvals on valid evidence stay, untouched strict ones are promoted, the rest waits or stops its job."""
     k = F.col("conv_id") + F.col("turn")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct().select("conv_id", "turn", F.when(k % 4 == 0, "approved").otherwise("pending").alias("status"), (k % 5 == 0).alias("touched"), (k % 7 != 0).alias("strict"), (F.col("conv_id") % 11 != 0).alias("anchored"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct().select(
+        "conv_id", "turn", F.when(k % 4 == 0, "approved").otherwise("pending").alias("status"), F.when(k % 4 == 0, F.when(k % 3 == 0, "human").when(k % 3 == 1, "ai_second_pass")).alias("approval_source"), (k % 17 != 0).alias("bound"),
+        F.when(k % 13 != 0, k % 4 == 0).alias("evidence_valid"), (k % 5 == 0).alias("touched"), (k % 7 != 0).alias("strict"), (F.col("conv_id") % 11 != 0).alias("anchored"),
+    )
     return stages.finalize_report(stages.finalize_plan(c, "conv_id"), "conv_id", "turn")
 
 
@@ -166,9 +169,11 @@ SELECT doc_id, CASE WHEN content_reason IS NULL AND NOT nd THEN 'draft' ELSE 'ca
   CASE WHEN content_reason IS NOT NULL THEN 'rejected' WHEN nd THEN 'pristine' WHEN ai THEN 'ai_approved' WHEN doc_id % 8 < 6 THEN 'human_edited' ELSE 'human_approved' END AS content_source, content_reason FROM r""",
     "finalize_report": """
 WITH c AS (SELECT DISTINCT conv_id, turn, conv_id + turn AS k FROM conversations),
-o AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'kept' WHEN k % 5 <> 0 AND k % 7 <> 0 AND conv_id % 11 <> 0 THEN 'promoted' ELSE 'pending' END AS o FROM c)
-SELECT conv_id, count(*) FILTER (WHERE o = 'kept') AS n_kept, count(*) FILTER (WHERE o = 'promoted') AS n_promoted, count(*) FILTER (WHERE o = 'pending') AS n_pending,
-  coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE o = 'promoted'), '') AS promoted, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE o = 'pending'), '') AS pending, bool_and(o <> 'pending') AS complete FROM o GROUP BY conv_id""",
+o AS (SELECT *, CASE WHEN k % 4 = 0 AND k % 3 < 2 AND k % 17 <> 0 AND k % 13 <> 0 THEN 'kept' WHEN k % 4 = 0 THEN 'rejected' WHEN k % 17 <> 0 AND k % 5 <> 0 AND k % 7 <> 0 AND conv_id % 11 <> 0 THEN 'promoted' ELSE 'pending' END AS o FROM c)
+SELECT conv_id, count(*) FILTER (WHERE o = 'kept') AS n_kept, count(*) FILTER (WHERE o = 'promoted') AS n_promoted, count(*) FILTER (WHERE o = 'pending') AS n_pending, count(*) FILTER (WHERE o = 'rejected') AS n_rejected,
+  count(*) FILTER (WHERE o = 'kept' AND k % 3 = 0) AS n_human, count(*) FILTER (WHERE o = 'promoted' OR (o = 'kept' AND k % 3 = 1)) AS n_ai, count(*) FILTER (WHERE o = 'kept' AND k % 5 = 0) AS n_changed,
+  coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE o = 'promoted'), '') AS promoted, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE o = 'pending'), '') AS pending,
+  coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE o = 'rejected'), '') AS rejected, bool_and(o IN ('kept', 'promoted')) AS complete FROM o GROUP BY conv_id""",
     "pipeline_stages": """
 WITH j AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 1 WHEN o_orderkey % 13 = 0 THEN 2 WHEN o_orderkey % 17 = 0 THEN 3 WHEN o_orderkey % 3 = 0 OR o_orderkey % 19 = 0 THEN 4 WHEN o_orderkey % 5 = 0 THEN 5
   WHEN o_orderkey % 7 = 0 THEN 6 WHEN o_orderkey % 11 = 0 THEN 7 WHEN o_orderkey % 4 = 0 THEN 8 ELSE 9 END AS i FROM orders)

@@ -83,9 +83,11 @@ def test_effective_content_and_finalize(spark):
         1: ("candidate", "pristine", None), 2: ("candidate", "rejected", "batch_ai_approval_not_anchored"), 3: ("draft", "ai_approved", None), 4: ("candidate", "rejected", "ai_approval_provenance_invalid"),
         5: ("draft", "human_edited", None), 6: ("candidate", "rejected", "human_review_source_changed"), 7: ("candidate", "rejected", "human_approval_status_invalid"),
     }
-    d = spark.createDataFrame([(1, "2", "pending", False, True, True), (1, "10", "pending", False, True, True), (1, "3", "approved", True, None, None), (1, "4", "pending", True, True, True)], "job long, no string, status string, touched boolean, strict boolean, anchored boolean")
+    rows = [("2", "pending", None, True, None, False, True, True), ("10", "pending", None, True, None, False, True, True), ("3", "approved", "human", True, True, True, None, None), ("4", "pending", None, True, None, True, True, True)]
+    rows += [("5", "approved", "human", True, False, False, True, True), ("6", "approved", "ai_second_pass", False, True, False, True, True), ("7", "approved", None, True, True, False, True, True), ("8", "pending", None, False, None, False, True, True)]
+    d = spark.createDataFrame(rows, "no string, status string, approval_source string, bound boolean, evidence_valid boolean, touched boolean, strict boolean, anchored boolean").selectExpr("1 AS job", "*")
     r = stages.finalize_report(stages.finalize_plan(d, "job"), "job", "no").first()
-    assert (r["promoted"], r["pending"], r["n_kept"], r["complete"]) == ("2,10", "4", 1, False)
+    assert (r["promoted"], r["pending"], r["rejected"], r["n_kept"], r["n_human"], r["n_ai"], r["complete"]) == ("2,10", "4,8", "5,6,7", 1, 1, 2, False)
 
 
 def test_versions_navigation_protection(spark):
