@@ -40,6 +40,7 @@ KINDS = ("email", "ip", "card", "phone")
 BITMAP = 23  # bits of a hash that the bitmap tells apart
 MAX_PATTERNS = 500_000
 SLICE_CHARS = 4_000_000
+CACHE_TOKENS = 300_000
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A run of digits is tried from its first digit only and never given back, which finds the same matches in linear time.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -129,6 +130,19 @@ def context_word(token: str) -> str:
     return _DIGITS.sub("0", low.strip(_EDGE) or low)
 
 
+class _Hashes(dict):
+    """Token -> hash of its context word; forgets all when it is full."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= CACHE_TOKENS:
+            self.clear()
+        self[token] = h = _hash(context_word(token)) or 1
+        return h
+
+
+_context_hash = _Hashes().__getitem__
+
+
 def is_key(token: str) -> bool:
     return token[-1] in "=:" and len(token) > 2
 
@@ -162,7 +176,7 @@ class Tokens:
             sizes.append(len(found))
         self.words = list(place)
         self.ids, self.ends = np.array(ids, np.int64), np.cumsum([0, *sizes])
-        word = np.array([_hash(context_word(w)) or 1 for w in self.words] or [0], U)[self.ids]
+        word = np.array([*map(_context_hash, self.words)] or [0], U)[self.ids]
         key = np.array([is_key(w) for w in self.words] or [False])[self.ids]
         doc = np.repeat(np.arange(len(texts)), sizes)
         self.before = [self._shift(word, doc, k) for k in (1, 2)]
@@ -185,10 +199,12 @@ class Tokens:
     def patterns(self) -> list[np.ndarray]:
         return [pattern_hash("before", self.before[1], self.before[0]), pattern_hash("after", self.after[0], self.after[1]), pattern_hash("key", self.key, self.key)]
 
-    def values(self) -> np.ndarray:
-        """The hash of each token's value, 0 if it has none."""
-        each = [value_of(w)[1] for w in self.words]
-        return np.array([_hash(v) if v else 0 for v in each] or [0], U).view(np.int64)[self.ids]
+    def values(self, picked: np.ndarray | None = None) -> np.ndarray:
+        """The hash of the value of each token (of those *picked*), 0 if it has none."""
+        ids = self.ids if picked is None else self.ids[picked]
+        used, place = np.unique(ids, return_inverse=True)
+        each = [value_of(self.words[k])[1] for k in used.tolist()]
+        return np.array([_hash(v) if v else 0 for v in each], U).view(np.int64)[place]
 
     def spans(self, picked: np.ndarray) -> list[list[tuple[int, int]]]:
         """Spans of the values of the tokens *picked*, by text."""
@@ -226,7 +242,7 @@ def seed_edges(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             continue
         at = [m.span() for m in _TOKEN.finditer(t)]
         starts, ends = [s for s, _ in at], [e for _, e in at]
-        word = lambda k: _hash(context_word(t[at[k][0] : at[k][1]])) or 1 if 0 <= k < len(at) else 0  # noqa: B023, E731
+        word = lambda k: _context_hash(t[at[k][0] : at[k][1]]) if 0 <= k < len(at) else 0  # noqa: B023, E731
         for s, e in seeds:
             first, last = bisect_right(ends, s), bisect_left(starts, e)  # tokens from first to last hold the seed
             key = first > 0 and is_key(t[slice(*at[first - 1])])
@@ -283,12 +299,12 @@ def _fillers(docs: DataFrame, near: Bitmap) -> DataFrame:
 
     def how(texts):
         tokens = Tokens(texts)
-        found, values = tokens.patterns(), tokens.values()
-        hit = np.zeros(len(values), bool)
+        found, hit = tokens.patterns(), np.zeros(len(tokens.ids), bool)
         for p in found:
             hit |= held.value(p)
-        some = tokens.apart_from_seeds(np.flatnonzero(hit & (values != 0)))
-        return [(np.where(held.value(p[some]), p[some], 0), values[some]) for p in found]
+        some = tokens.apart_from_seeds(np.flatnonzero(hit))
+        values = tokens.values(some)
+        return [(np.where(held.value(p[some]), p[some], 0), values) for p in found]
 
     return _edges(docs, how)
 
