@@ -102,8 +102,9 @@ def candidates(questions: DataFrame, expected: DataFrame, job: str = "job_id") -
         "pages": no(F.size(pages).between(1, MAX_PAGES) & (F.sort_array(F.array_distinct(pages)) == pages) & (pages.cast("array<bigint>") == F.col("_pages").cast("array<bigint>"))),
         "confidence": no(F.col("extraction_confidence").isin(LEVELS)),
         "figure": F.col("figure_required").isNull(),
-        "warnings": no(texts_within(F.col("warnings"), 20, 500)),
     }
+    if "warnings" in questions.columns:
+        rules["warnings"] = no(texts_within(F.col("warnings"), 20, 500))
     for c in EMPTY:
         if c in questions.columns:  # fields that a transcription must leave empty
             rules[f"filled:{c}"] = no(F.length(F.concat_ws("", F.col(c))) == 0) | F.col(c).isNull()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from itemloom.operators import sequence
 
-#: A main number: 1 to 999, then a mark, and no digit after it.
+#: Fixed value: a main number, 1 to 999, then a mark, and no digit after it.
 MAIN_NUMBER = r"^([1-9][0-9]{0,2})(?:[.．、]|题)(?![0-9])"
 #: Fixed values of column detection.
 SAMPLE_WIDTH = 1000

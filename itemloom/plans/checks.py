@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from itemloom.functions import strip
 from itemloom.operators import constraints
 from itemloom.operators.documents import strict_object
+from itemloom.operators.layout import MAIN_NUMBER
 from itemloom.sources import table
 
-#: A main number: 1 to 999, then a mark, and no digit after it.
-MAIN_NUMBER = r"^([1-9][0-9]{0,2})(?:[.．、]|题)(?![0-9])"
-
 
 def main_number_extract(spark, sf_dir):
     """Main numbers of lines; lines get a number from their place, every third a decimal, which is none."""

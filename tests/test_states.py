@@ -137,6 +137,38 @@ def test_runners(spark):
     assert {r["k"]: r["answer"] for r in runners.recorded_answers(d, rec, ["k"]).collect()} == {1: "a", 2: None, 3: None}
 
 
+def test_a_dead_writer_bricks_no_store(spark, tmp_path):
+    root, df = str(tmp_path / "store"), spark.range(2)
+    first = generations.publish(spark, root, {"t": df})
+    (tmp_path / "store" / "log" / f"{2:012d}").touch()  # a writer died between create and close
+    assert generations.current(spark, root) == first
+    second = generations.publish(spark, root, {"t": spark.range(7)}, expected=first["number"])
+    assert generations.current(spark, root) == second and second["number"] == 2 and generations.read(spark, root, "t").count() == 7
+    with pytest.raises(generations.Conflict):
+        generations._claim(spark, root, second | {"folder": "late"})
+    assert generations.current(spark, root) == second
+    third = generations.publish(spark, root, {"t": df})
+    assert third["number"] == 3
+    generations.prune(spark, root, keep=1)
+    assert generations.read(spark, root, "t").count() == 2
+
+
+def test_objects_with_floats():
+    from itemloom.operators.documents import object_fault
+
+    fields = {"a": "float", "n": "int"}
+    cases = {'{"a": 1.5, "n": 2}': None, '{"a": 1, "n": 2}': None, '{"a": true, "n": 2}': "type:a", '{"a": 1e999, "n": 2}': "type:a", '{"a": 1, "n": 2.0}': "type:n", '{"a": 1, "n": 2} x': "not_json", "[]": "not_object", '{"a": 1}': "keys"}
+    assert {t: object_fault(t, fields) for t in cases} == cases
+
+
+def test_recovery_ends_or_raises(spark):
+    left, waited = [3], []
+    retry = lambda jobs: left.__setitem__(0, left[0] - 1)
+    assert stages.recovery_loop(lambda: spark.range(max(left[0], 0)), retry, waited.append) == 3 and waited == [1, 2]
+    with pytest.raises(RuntimeError):
+        stages.recovery_loop(lambda: spark.range(1), lambda jobs: None, lambda n: None, most=2)
+
+
 def test_generations(spark, tmp_path):
     root = f"{tmp_path}/store"
     assert generations.current(spark, root) is None and generations.read(spark, root, "t") is None
