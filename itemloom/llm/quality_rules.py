@@ -29,15 +29,19 @@ from itemloom.sources import table
 
 SYMBOLS = "#*$%&|<>"
 WORD = r"[^\x20\x09-\x0D]"
-#: Notices, in lower case; a line that contains one is boilerplate.
+#: Notices in English, German, French and Spanish, in lower case; a line that contains one is boilerplate.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "released under the", "general public license", "creative commons", "terms of use",
     "terms of service", "privacy policy", "we use cookies", "accept cookies", "accept all cookies", "enable javascript",
     "subscribe to our newsletter", "copyright (c)",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "wir verwenden cookies", "cookies akzeptieren",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "nous utilisons des cookies", "accepter les cookies",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "utilizamos cookies", "aceptar cookies",
 )
 NAVIGATION = (
     r"(?i)^[\x20\x09-\x0D]*((home|menu|login|log in|sign in|sign up|register|search|next|previous|back|back to top|skip to content|"
-    r"about us|contact|contact us|share|tweet|print|read more|sitemap)[\x20\x09-\x0D|>»•·/]*){1,8}$"
+    r"about us|contact|contact us|share|tweet|print|read more|sitemap|startseite|anmelden|suche|weiter|kontakt|impressum|accueil|"
+    r"connexion|rechercher|suivant|inicio|buscar|siguiente|anterior|contacto)[\x20\x09-\x0D|>»•·/]*){1,8}$"
 )
 LABELS = r"^[^|>»•·]{1,30}([\x20\x09-\x0D]+[|>»•·][\x20\x09-\x0D]+[^|>»•·]{1,30}){2,}$"
 SENTENCE_END = tuple(".!?:;…,)]}\"'”’»。！？")
@@ -176,7 +180,7 @@ covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1),
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 worded AS (SELECT rid, line, length(regexp_replace(line, '{SPACE}', '', 'g')) AS n, length(line) - length(translate(line, '{SYMBOLS}', '')) AS s FROM lines WHERE regexp_matches(line, '{WORD}')),
 judged AS (
-  SELECT *, s > {MAX_SYMBOL_SHARE} * n OR {" OR ".join(f"contains(lower(line), '{b}')" for b in BOILERPLATE)} OR regexp_matches(line, '{_sql(NAVIGATION)}') OR regexp_matches(line, '{_sql(LABELS)}')
+  SELECT *, s > {MAX_SYMBOL_SHARE} * n OR {" OR ".join(f"contains(lower(line), '{_sql(b)}')" for b in BOILERPLATE)} OR regexp_matches(line, '{_sql(NAVIGATION)}') OR regexp_matches(line, '{_sql(LABELS)}')
     OR (right(trim(line, {_BLANKS}), 1) NOT IN ({", ".join("'" + _sql(e) + "'" for e in SENTENCE_END)}) AND len(regexp_split_to_array(trim(line, {_BLANKS}), '{SPACE}')) >= {MIN_LINE_WORDS}) AS fails
   FROM worded),
 per AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n) FILTER (WHERE NOT fails), 0) AS good FROM judged GROUP BY rid),

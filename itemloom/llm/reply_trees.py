@@ -55,10 +55,9 @@ def ancestor_steps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 
     No path is longer than its tree has nodes: what is open after so many doublings lies on a cycle or below one."""
     largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    known = nodes.select("tree", F.col("node").alias("up"))
-    first = nodes.select("tree", "node", F.col("parent").alias("up"), "score")
-    linked = first.filter(F.col("up").isNotNull()).join(known, ["tree", "up"], "left_semi")
-    step = written(nodes.select("tree", "node", "score").join(linked.select("tree", "node", "up"), ["tree", "node"], "left").select("tree", "node", "up", F.col("score").alias("total")), "reply-steps")
+    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
+    first = nodes.join(known, ["tree", "parent"], "left")  # a parent that does not exist is none
+    step = written(first.select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.col("score").alias("total")), "reply-steps")
     steps = []
     for _ in range(largest.bit_length()):
         open_ = step.filter(F.col("up").isNotNull())

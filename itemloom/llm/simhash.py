@@ -496,7 +496,7 @@ def _similar(rows: DataFrame, words: int = 5, similarity: float = 0.8, recall: f
 
 
 def _numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return written(docs.select(F.struct(*[F.col(c) for c in columns]).alias("_in"), F.monotonically_increasing_id().alias("_rid")), "simhash-rows")
+    return written(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_in"), F.monotonically_increasing_id().alias("_rid")), "simhash-rows")
 
 
 def similar(docs: DataFrame, **how) -> DataFrame:
