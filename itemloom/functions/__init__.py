@@ -35,8 +35,8 @@ def is_question_number(c: Column) -> Column:
 
 
 def item_code(prefix: str, sha: Column, number: Column) -> Column:
-    """Prefix, the first 16 digits of a digest, and the number in three digits."""
-    return F.concat(F.lit(prefix), F.substring(sha, 1, 16), F.lit("-"), F.lpad(number.cast("string"), 3, "0"))
+    """Prefix, the first 16 digits of a digest, and the number in three digits or more."""
+    return F.when(number.isNotNull(), F.concat(F.lit(prefix), F.substring(sha, 1, 16), F.lit("-"), F.format_string("%03d", number.cast("long"))))
 
 
 def fresh(stamp: Column, now: str, minutes: int) -> Column:
