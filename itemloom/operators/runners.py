@@ -68,3 +68,20 @@ def prompt(head: str, **fields: Column) -> Column:
 def run_id(prefix: str, *parts: Column) -> Column:
     """*prefix* and the first 24 digits of the digest of the parts."""
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 24))
+
+
+#: What each stage is asked to do; its rows follow as JSON.
+TASKS = {
+    "split": "Find every question on these pages. Give its regions in reading order as boxes from 0 to 1. Answer with one JSON object and nothing else.",
+    "transcribe": "Copy each question's text as it stands, without solving it. Leave answers and knowledge points empty. Answer with one JSON object and nothing else.",
+    "audit": "Compare each question's text with its picture. Pass it only if text, structure, formulas and figures all agree. Answer with one JSON object and nothing else.",
+    "classify": "Choose codes from the given list for each question, without solving it. Answer with one JSON object and nothing else.",
+}
+
+
+def stage_prompts(rows: DataFrame, stage: str, job: str, number: str, columns: list[str]) -> DataFrame:
+    """job, prompt of *stage*: its task and the job's rows, by number, as one JSON text with the same bytes each time. A job's rows are bounded."""
+    item = F.struct(F.col(number).try_cast("int").alias("_n"), F.col(number).cast("string").alias("_no"), F.struct(number, *columns).alias("_q"))
+    d = rows.groupBy(job).agg(F.sort_array(F.collect_list(item)).alias("_i"))
+    text = F.to_json(F.struct(F.lit(TASKS[stage]).alias("task"), F.transform("_i", lambda x: x["_q"]).alias("questions")), {"ignoreNullFields": "false"})
+    return d.select(job, text.alias("prompt"))

@@ -105,3 +105,18 @@ def ordered_list(df: DataFrame, group: list[str], order: list[str], text: Column
     """One text a group: its rows' *text* in order."""
     rows = F.sort_array(F.collect_list(F.struct(*order, text.alias("_t"))))
     return df.groupBy(*group).agg(F.array_join(F.transform(rows, lambda r: r["_t"]), sep).alias("items"), F.count(F.lit(1)).alias("n_items"))
+
+
+def first_overflow(df: DataFrame, group: list[str], order: str, amount: str, cap: int) -> DataFrame:
+    """The row of each group at which the running total of *amount* (``running``) passes *cap* for the first time, in the order of a unique
+    long column; none for groups within it."""
+    d = running_total(df, group, order, amount, "running").filter(F.col("running") > cap)
+    first = d.groupBy(*group).agg(F.min_by(F.struct(*[c for c in d.columns if c not in group]), order).alias("_r"))
+    return first.select(*group, "_r.*")
+
+
+def over_caps(df: DataFrame, group: list[str], caps: dict[str, tuple]) -> DataFrame:
+    """group, cap, total of each cap that a group's total passes; *caps*: name -> (aggregate column, the most it may be)."""
+    totals = df.groupBy(*group).agg(*[c.cast("double").alias(n) for n, (c, _) in caps.items()])
+    over = F.array_compact(F.array(*[F.when(F.col(n) > most, F.struct(F.lit(n).alias("cap"), F.col(n).alias("total"))) for n, (_, most) in caps.items()]))
+    return totals.select(*group, F.explode(over).alias("_c")).select(*group, "_c.cap", "_c.total")

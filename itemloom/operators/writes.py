@@ -55,3 +55,15 @@ def soft_delete(df: DataFrame, key: list[str], deleted: DataFrame, at: str) -> D
     """*df* with deleted_at: *at* for rows whose key is in *deleted*."""
     gone = deleted.select(*key).distinct().withColumn("_gone", F.lit(True))
     return df.join(gone, key, "left").withColumn("deleted_at", F.when(F.col("_gone"), F.lit(at))).drop("_gone")
+
+
+def reconciled(old: DataFrame, new: DataFrame, parent: list[str], position: str, values: list[str], child_id: str, references: DataFrame, reference: str) -> tuple[DataFrame, DataFrame]:
+    """(children, references) after a parent's children were set by position: a position that stays keeps its id and takes the new values, a
+    new one has no id yet, a surplus one goes, and what refers to it (*reference* in *references*) refers to nothing."""
+    o = old.select(*parent, position, child_id, F.lit(True).alias("_o"))
+    n = new.select(*parent, position, *values, F.lit(True).alias("_n"))
+    d = o.join(n, [*parent, position], "full")
+    children = d.filter("_n").select(*parent, position, child_id, *values)
+    gone = d.filter("_o AND _n IS NULL").select(F.col(child_id).alias(reference), F.lit(True).alias("_gone"))
+    kept = references.join(gone, reference, "left").withColumn(reference, F.when(F.col("_gone").isNull(), F.col(reference)))
+    return children, kept.select(*references.columns)

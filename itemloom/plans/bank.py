@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from itemloom.functions import safe_path
-from itemloom.operators import basket, manifests, search
+from itemloom.operators import basket, manifests, runners, search, sequence, writes
 from itemloom.sources import table
 
 
@@ -144,11 +145,54 @@ def basket_export(spark, sf_dir):
     return basket.ledger(basket.export_markdown(items, q, options), "2024-02-01")
 
 
-_FNS = (bank_listing, bank_listing_by_type, used_points, filter_checks, children_lists, whole_crop_scan, safe_figure_scan, verified_assets, basket_after_deletion, deletion_and_restore, basket_move, basket_export)
+def _ranked(spark, sf_dir):
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(spark, sf_dir, "orders").withColumn("position", F.row_number().over(w).cast("long"))
+
+
+def reconciled_children(spark, sf_dir):
+    """Customers' orders set anew by position: ids that stay, new ones without, and references to surplus ones emptied."""
+    o = _ranked(spark, sf_dir)
+    old = o.filter("position <= 6").select(F.col("o_custkey").alias("parent"), "position", F.col("o_orderkey").alias("child_id"))
+    new = o.filter("position <= o_custkey % 10").select(F.col("o_custkey").alias("parent"), "position", F.col("o_orderpriority").alias("value"))
+    refs = old.select(F.col("child_id").alias("asset"), "child_id")
+    children, kept = writes.reconciled(old, new, ["parent"], "position", ["value"], "child_id", refs, "child_id")
+    return children.select("parent", "position", "child_id", "value").unionByName(kept.select(F.lit(-1).cast("long").alias("parent"), F.col("asset").alias("position"), "child_id", F.lit("asset").alias("value")))
+
+
+def budget_overflows(spark, sf_dir):
+    """Where a source's running total of characters passes its cap, and which caps its totals pass."""
+    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+    first = sequence.first_overflow(d, ["source"], "doc_id", "n_chars", 20_000).select("source", F.lit("running").alias("cap"), F.col("doc_id").alias("at"), F.col("running").cast("double").alias("total"))
+    caps = sequence.over_caps(d, ["source"], {"rows": (F.count(F.lit(1)), 40), "chars": (F.sum("n_chars"), 50_000), "longest": (F.max("n_chars"), 1 << 40)})
+    return first.unionByName(caps.select("source", "cap", F.lit(None).cast("long").alias("at"), "total"))
+
+
+def stage_prompts(spark, sf_dir):
+    """Prompts of two stages: the same bytes for the same rows."""
+    o = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select("o_custkey", F.col("o_orderkey").cast("string").alias("no"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("text"))
+    one = lambda s: runners.stage_prompts(o, s, "o_custkey", "no", ["text"]).withColumn("stage", F.lit(s))
+    return one("transcribe").unionByName(one("audit")).select("o_custkey", "stage", F.sha2("prompt", 256).alias("sha256"), F.length("prompt").cast("long").alias("length"))
+
+
+_FNS = (reconciled_children, budget_overflows, stage_prompts, bank_listing, bank_listing_by_type, used_points, filter_checks, children_lists, whole_crop_scan, safe_figure_scan, verified_assets, basket_after_deletion, deletion_and_restore, basket_move, basket_export)
 QUERIES = {f.__name__: f for f in _FNS}
 _BAD_PATH = "page_id % 9 = 0 OR page_id % 31 = 0 OR page_id % 37 = 0 OR page_id % 41 = 0"
 _PATH = "CASE WHEN page_id % 9 = 0 THEN '../x.png' WHEN page_id % 31 = 0 THEN '/abs.png' WHEN page_id % 37 = 0 THEN 'a\\b.png' WHEN page_id % 41 = 0 THEN 'crops/a.jpg' ELSE 'crops/Q' || page_id || '.png' END"
+_ROWS = "'{\"no\":\"' || o_orderkey || '\",\"text\":' || CASE WHEN o_orderkey % 4 <> 0 THEN '\"' || o_orderpriority || '\"' ELSE 'null' END || '}'"
 ORACLE_SQL = {
+    "reconciled_children": """
+WITH o AS (SELECT o_custkey AS parent, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, o_orderkey, o_orderpriority FROM orders)
+SELECT parent, position, CASE WHEN position <= 6 THEN o_orderkey END AS child_id, o_orderpriority AS value FROM o WHERE position <= parent % 10
+UNION ALL SELECT -1, o_orderkey, CASE WHEN position <= parent % 10 THEN o_orderkey END, 'asset' FROM o WHERE position <= 6""",
+    "budget_overflows": """
+WITH d AS (SELECT source, doc_id, coalesce(n_chars, 0) AS n, sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT source, count(*) AS rows, sum(n) AS chars FROM d GROUP BY source)
+SELECT source, 'running' AS cap, min(doc_id) AS at, min(r)::DOUBLE AS total FROM d WHERE r > 20000 GROUP BY source UNION ALL SELECT source, 'rows', NULL, rows::DOUBLE FROM g WHERE rows > 40 UNION ALL SELECT source, 'chars', NULL, chars::DOUBLE FROM g WHERE chars > 50000""",
+    "stage_prompts": f"""
+WITH t(stage, task) AS (VALUES {", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in runners.TASKS.items() if k in ("transcribe", "audit"))}),
+q AS (SELECT o_custkey, string_agg({_ROWS}, ',' ORDER BY o_orderkey) AS rows FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), p AS (SELECT o_custkey, stage, '{{"task":"' || task || '","questions":[' || rows || ']}}' AS prompt FROM q, t)
+SELECT o_custkey, stage, sha256(prompt) AS sha256, length(prompt) AS length FROM p""",
     "bank_listing": f"""
 WITH {BANK} SELECT question_id, 'type ' || type_code AS type_name, 'point ' || substr(primary_code, 2) AS point_name, n_name AS paper_name, (2000 + n_nationkey % 5)::BIGINT AS exam_year, has_figure, question_id % 11 = 0 AS in_basket
 FROM q JOIN nation ON n_nationkey = paper_id WHERE live AND has_figure AND (primary_code = 'K3' OR EXISTS (SELECT 1 FROM rel r WHERE r.question_id = q.question_id AND r.code = 'K3')) AND contains(lower(n_name), 'a')
