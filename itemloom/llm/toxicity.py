@@ -45,7 +45,7 @@ F32 = np.float32
 N_STATS, WORD_DIMS, CHAR_DIMS, LETTER_DIMS, LETTERS = 8, 8, 12, 6, 512
 N_IN = N_STATS + WORD_DIMS + CHAR_DIMS
 LEFT_OUT = 0.3
-PLACES = 500_000  # letters looked at in one go
+PLACES = 100_000  # letters looked at in one go
 
 
 class Places:
@@ -383,7 +383,7 @@ def train_model(texts: list[str], y: np.ndarray, window: int = WINDOW, **net) ->
     if not len(y) or y.min() == y.max():
         return Model(None, None, None, None, window)
     place: dict[str, int] = {}
-    ids = [np.array([place.setdefault(w, len(place)) for w in _WORDS.findall(t.lower())], np.int64) for t in texts]
+    ids = [np.array([place.setdefault(w, len(place)) for w in _WORDS.findall(t.lower())], np.int32) for t in texts]
     vocabulary = list(place)
     lexicon, places = Lexicon(ids, vocabulary, y), Places(vocabulary)
     stats = np.stack([lexicon.stats(vocabulary, places, left_out=k) for k in (0, 1)])
@@ -401,11 +401,13 @@ def train_model(texts: list[str], y: np.ndarray, window: int = WINDOW, **net) ->
     model = Model(lexicon, gru, words, None, window)
     if vocabulary:
         train_nets(gru, words, vocabulary, lexicon.numbers(vocabulary), stats, np.stack(picked), np.stack(masks), np.array(labels, F32))
-        vectors = words.vectors(lexicon.numbers(vocabulary), places)
-        gates = [np.concatenate([gru.inputs(np.concatenate((stats[k], vectors), axis=1), d) for d in "fb"], axis=1) for k in (0, 1)]
-    else:
-        gates = [np.zeros((0, 6 * gru.h), F32)] * 2
-    found = np.array([model.summary(model.window_logits(gates[label][own], at)) for own, at, label in zip(ids, spans, y, strict=True)])
+    vectors = words.vectors(lexicon.numbers(vocabulary), places) if vocabulary else np.zeros((0, WORD_DIMS + CHAR_DIMS), F32)
+
+    def logits(own, at, label):  # a document at a time, which bounds the driver's memory
+        x = np.concatenate((stats[label][own], vectors[own]), axis=1)
+        return model.window_logits(np.concatenate((gru.inputs(x, "f"), gru.inputs(x, "b")), axis=1), at, chunk=512)
+
+    found = np.array([model.summary(logits(own, at, int(label))) for own, at, label in zip(ids, spans, y, strict=True)])
     model.link = fit_link(found, y)
     return model
 
@@ -426,7 +428,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> Model:
     rows = sorted(training_rows(docs, labels, max_docs, max_chars).collect())
-    return train_model([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64))
+    texts, y = [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64)
+    del rows
+    return train_model(texts, y)
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
