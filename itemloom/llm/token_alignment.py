@@ -10,7 +10,7 @@ That costs a row and several sorts a token. Over the documents here, 1.4 thousan
 (figures in the README), so ``aligned_documents``, which the query uses, finds ends, groups and links in the task that tokenises: by *unit*,
 a word with the blank before it. Neither tokenizer has a token across such a blank (the byte-level pattern never; of the pieces it is
 looked up), so a unit's tokens do not depend on the text around it, both sides end at its end, and each distinct unit is tokenised and
-aligned once a task.
+aligned once a task (the task forgets them all when it holds ``KEPT_UNITS``).
 
 What spans documents is relational in either case: links are added up by document, then corpus-wide by id pair; the highest count of each
 id of the second tokenizer (a row for each of its ids at most) marks the best pairs; and both come back to the documents by joins. Pairs
@@ -19,7 +19,7 @@ others are joined by pair.
 
 Defined results: a document has no tokens (zeros, and '' for groups_sha256) if its text is null or empty, or if the joined bytes of either
 side differ from blank + text; null doc_ids stay null; repeated rows each give their row and count each; an empty table gives no rows;
-extra columns, clashing names too, are ignored; texts are taken whole, and a unit over ``LONG_UNIT`` characters is aligned but not kept.
+extra columns, clashing names too, are ignored; texts are taken whole.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import base64
 import hashlib
 import math
 import re
+from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,8 @@ from itemloom.llm.common import written
 from itemloom.sources import table
 
 HOT_PAIRS = 200_000
-KEPT_UNITS = 150_000
-LONG_UNIT = 64
+KEPT_UNITS = 400_000
+KEPT_CHARS = 16_000_000
 SLICE_CHARS = 2_000_000
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _BYTE = re.compile("<0x[0-9A-F]{2}>")
@@ -69,9 +71,9 @@ class Tokenizers:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(k) and _BYTE.fullmatch(p) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
         #: Whether units are independent for b: no piece has a blank after another character.
         self.by_unit = not any("▁" in p.lstrip("▁") for p in names)
-        self.size_a, self.size_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
         """Ids of blank + *text* by a and of *text* by b, or None if the bytes of either differ from blank + text."""
         try:
             a = self.fast.encode_ordinary(" " + text)
@@ -82,22 +84,7 @@ class Tokenizers:
         b, want = self.pieces.encode(text), b" " + text.encode()
         if b"".join([self.bytes_a[k] for k in a]) != want or b"".join([self.bytes_b[k] for k in b]) != want:
             return None
-        return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def groups_and_links(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Group of each a, group of each b, and the places (in a, in b) of each link, of tokens by their ends (both rising, the last alike)."""
-    cuts = end_a[end_b[np.searchsorted(end_b, end_a)] == end_a]
-    ends = np.union1d(end_a, end_b)
-    return np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b), np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-
-
-def group_text(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
-    by = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
-    ids, where = np.concatenate((a, b))[by], np.concatenate((2 * group_a, 2 * group_b + 1))[by]
-    marks = np.where(where[1:] == where[:-1], ",", np.where(where[1:] % 2 == 1, "|", ";")).tolist() if len(ids) else []
-    return "".join(x for pair in zip(["", *marks], map(str, ids.tolist()), strict=True) for x in pair)
+        return a, b
 
 
 class Aligner:
@@ -107,70 +94,88 @@ class Aligner:
 
     def __init__(self, tokenizers: Tokenizers):
         self.t = tokenizers
+        self.said_a, self.said_b = [str(k) for k in range(len(self.t.bytes_a))], [str(k) for k in range(len(self.t.bytes_b))]
         self._forget()
 
     def _forget(self) -> None:
+        """Units by text (of texts cut at single blanks; of those cut by ``_BETWEEN``), and of each its groups, numbers and link codes."""
         self.place: dict[str, int] = {}
-        self.numbers, self.texts, self.codes = np.zeros((1024, 4), np.int64), [], []
-
-    def align(self, text: str) -> tuple[tuple[int, int, int, int], str, np.ndarray] | None:
-        """Numbers, groups and the code of each link of a whole text or a unit."""
-        ids = self.t.encode(text)
-        if ids is None:
-            return None
-        a, b = ids
-        ga, gb, la, lb = groups_and_links(np.cumsum(self.t.size_a[a]), np.cumsum(self.t.size_b[b]))
-        return (len(a), len(b), int(ga[-1]) + 1, len(la)), group_text(a, b, ga, gb), (a[la] << 32) + b[lb]
-
-    def _unit(self, part: str) -> int:
-        """The number of a unit, -1 if its bytes differ, -2 if it may not stand alone."""
-        if not part or part[0].isspace() or part[-1].isspace():
-            k = -2
-        elif (found := self.align(part)) is None:
-            k = -1
-        else:
-            k = len(self.texts)
-            if k == len(self.numbers):
-                self.numbers = np.concatenate((self.numbers, np.zeros_like(self.numbers)))
-            self.numbers[k] = found[0]
-            self.texts.append(found[1])
-            self.codes.append(found[2])
-        if len(part) <= LONG_UNIT:
-            self.place[part] = k
-        return k
-
-    def __call__(self, text: str | None) -> tuple:
-        if not text:
-            return self.NONE
-        if len(self.texts) > KEPT_UNITS:
+        self.other: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.numbers, self.codes, self.first, self.chars = array("q"), array("q"), array("q", [0]), 0
+
+    def _keep(self, groups: list[str], n_a: int, n_b: int) -> None:
+        self.texts.append(";".join(groups))
+        self.numbers.extend((n_a, n_b, len(groups)))
+        self.first.append(len(self.codes))
+
+    def _align(self, a: list[int], b: list[int], ends: list[int]) -> None:
+        """Keep the groups and links of units that end at *ends*, of their tokens in a row."""
+        size_a, size_b, say_a, say_b, codes = self.t.size_a, self.t.size_b, self.said_a, self.said_b, self.codes
+        i = j = from_i = from_j = end_a = end_b = unit = 0
+        groups: list[str] = []
+        while i < len(a):
+            first_i, first_j = i, j
+            end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
+            codes.append((a[i] << 32) + b[j])
+            while end_a != end_b:
+                if end_a < end_b:
+                    i += 1
+                    end_a += size_a[a[i]]
+                else:
+                    j += 1
+                    end_b += size_b[b[j]]
+                codes.append((a[i] << 32) + b[j])
+            i, j = i + 1, j + 1
+            groups.append(f"{','.join([say_a[k] for k in a[first_i:i]])}|{','.join([say_b[k] for k in b[first_j:j]])}")
+            if end_a == ends[unit]:
+                self._keep(groups, i - from_i, j - from_j)
+                groups, from_i, from_j, unit = [], i, j, unit + 1
+
+    def _learn(self, parts: list[str], place: dict[str, int]) -> None:
+        """Tokenise and align new units, all at once; -1 is the place of one whose bytes differ."""
+        ids = self.t.encode(" ".join(parts)) if parts else None
+        if ids is not None:
+            place.update(zip(parts, range(len(self.texts), len(self.texts) + len(parts)), strict=True))
+            self._align(*ids, list(accumulate(len(p.encode()) + 1 for p in parts)))
+            self.chars += sum(map(len, parts))
+        elif len(parts) > 1:
+            self._learn(parts[: len(parts) // 2], place)
+            self._learn(parts[len(parts) // 2 :], place)
+        elif parts:
+            place[parts[0]] = -1
+
+    def _places(self, cut: list[list[str]], place: dict[str, int], alone) -> list[list[int]]:
+        """The places of the units of some texts; new ones that may not stand *alone* get -2."""
+        new = {p: None for parts in cut for p in parts if p not in place}
+        place.update((p, -2) for p in new if not alone(p))
+        self._learn([p for p in new if p not in place], place)
+        return [[place[p] for p in parts] for parts in cut]
+
+    def __call__(self, texts: list[str | None]) -> list[tuple]:
+        if len(self.texts) > KEPT_UNITS or self.chars > KEPT_CHARS:
             self._forget()
-        units = None
+        out = [self.NONE] * len(texts)
+        todo = [k for k, t in enumerate(texts) if t]
         if self.t.by_unit:
-            get = self.place.get
-            units = [self._unit(p) if (k := get(p)) is None else k for p in text.split(" ")]
-            if -2 in units:  # blanks beside other white space do not part units
-                units = None
-        if units is None:
-            n, texts, codes = np.zeros(4, np.int64), [], []
-            for part in _BETWEEN.split(text) if self.t.by_unit else [text]:
-                k = self.place.get(part, -2)
-                found = (self.numbers[k], self.texts[k], self.codes[k]) if k >= 0 else None if k == -1 else self.align(part)
-                if found is None:
-                    return self.NONE
-                n += found[0]
-                texts.append(found[1])
-                codes.append(found[2])
-            code, count = np.unique(np.concatenate(codes), return_counts=True)
+            # blanks beside other white space do not part units
+            found = self._places([texts[k].split(" ") for k in todo], self.place, lambda p: p and not p[0].isspace() and not p[-1].isspace())
         else:
-            if -1 in units:
-                return self.NONE
-            texts = [self.texts[k] for k in units]
+            found = [[-2]] * len(todo)
+        odd = [k for k, units in zip(todo, found, strict=True) if -2 in units]
+        again = self._places([_BETWEEN.split(texts[k]) if self.t.by_unit else [texts[k]] for k in odd], self.other, lambda p: True)
+        codes, first, numbers = np.array(self.codes), np.array(self.first), np.array(self.numbers).reshape(-1, 3)
+        for k, units in [*zip(todo, found, strict=True), *zip(odd, again, strict=True)]:
+            if -1 in units or -2 in units:
+                continue
             own, times = np.unique(np.array(units, np.int64), return_counts=True)
-            n = (self.numbers[own] * times[:, None]).sum(axis=0)
-            codes = [self.codes[k] for k in own.tolist()]
-            code, at = np.unique(np.concatenate(codes), return_inverse=True)
-            count = np.bincount(at, weights=np.repeat(times, [len(c) for c in codes]), minlength=len(code)).astype(np.int64)
-        return (*n.tolist(), hashlib.sha256(";".join(texts).encode()).hexdigest(), code, count)
+            links = first[own + 1] - first[own]
+            at = np.repeat(first[own] - np.concatenate(([0], np.cumsum(links)[:-1])), links) + np.arange(links.sum())
+            code, where = np.unique(codes[at], return_inverse=True)
+            count = np.bincount(where, weights=np.repeat(times, links)).astype(np.int64)
+            digest = hashlib.sha256(";".join([self.texts[u] for u in units]).encode()).hexdigest()
+            out[k] = (*(numbers[own] * times[:, None]).sum(axis=0).tolist(), int(links @ times), digest, code, count)
+        return out
 
 
 _held: dict[tuple, Aligner] = {}
@@ -197,16 +202,16 @@ def aligned_documents(docs: DataFrame, json_path: str, ranks_path: str, model_pa
             )
 
         for b in batches:
-            id_type, ids, found, chars = b.schema.field(0).type, [], [], 0
+            id_type, ids, texts, chars = b.schema.field(0).type, [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(doc)
-                found.append(aligner(text))
+                texts.append(text)
                 chars += len(text or "")
                 if chars >= SLICE_CHARS:
-                    yield out(ids, found, rid)
-                    rid, ids, found, chars = rid + len(ids), [], [], 0
+                    yield out(ids, aligner(texts), rid)
+                    rid, ids, texts, chars = rid + len(ids), [], [], 0
             if ids:
-                yield out(ids, found, rid)
+                yield out(ids, aligner(texts), rid)
                 rid += len(ids)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<a: int, b: int, n: long>>")
