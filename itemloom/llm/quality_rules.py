@@ -5,7 +5,7 @@ goes as a whole:
 
 * symbols: over ``max_symbol_share`` of the line's word characters are among ``#*$%&|<>``;
 * boilerplate: the line is a licence, copyright or consent notice (``BOILERPLATE``);
-* navigation: several short labels between ``|``, ``>``, ``»``, ``•`` or ``·``, or one to three words of a menu
+* navigation: three short labels or more between ``|``, ``>``, ``»``, ``•`` or ``·``, or one to three words of a menu
   (``NAVIGATION``) and nothing else;
 * punctuation: the line has ``min_line_words`` words or more and no sentence mark, bracket or quote at its end.
 
@@ -19,7 +19,7 @@ repeated results; an empty table gives no rows. Only ``doc_id`` and ``text`` are
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +43,9 @@ NAVIGATION = (
     r"about us|contact|contact us|share|tweet|print|read more|sitemap|startseite|anmelden|suche|weiter|kontakt|impressum|accueil|"
     r"connexion|rechercher|suivant|inicio|buscar|siguiente|anterior|contacto)[\x20\x09-\x0D|>»•·/]*){1,8}$"
 )
-LABELS = r"^[^|>»•·]{1,30}([\x20\x09-\x0D]+[|>»•·][\x20\x09-\x0D]+[^|>»•·]{1,30}){2,}$"
+MARKS = "|>»•·"
+#: Labels between marks as one pattern, for engines whose patterns run in linear time; Java's recurses at each label, so ``only_labels`` splits.
+LABELS = rf"^[^{MARKS}]{{1,30}}([\x20\x09-\x0D]+[{MARKS}][\x20\x09-\x0D]+[^{MARKS}]{{1,30}}){{2,}}$"
 SENTENCE_END = tuple(".!?:;…,)]}\"'”’»。！？")
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -110,6 +112,24 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 3, 0).when(n <= low, by_hash).otherwise(by_text).cast("long")
 
 
+def only_labels(line: Column, most: int = 30) -> Column:
+    """Whether the line is three labels or more of 1 to *most* characters, with blanks on both sides of each mark between them."""
+    blank = lambda p, at: F.substring(p, at, 1).isin(*BLANKS)
+
+    def label(p: Column, before: bool, after: bool) -> Column:
+        """Of a part between marks (before, after it); blanks alone are a label if one is left over."""
+        trim = F.btrim if before and after else F.ltrim if before else F.rtrim
+        sides = ([blank(p, 1)] if before else []) + ([blank(p, -1)] if after else [])
+        return let(trim(p, F.lit(BLANKS)), lambda own: F.when(own == "", F.char_length(p) > before + after).otherwise(reduce(and_, sides, F.char_length(own) <= most)))
+
+    return line.rlike(f"[{MARKS}]") & let(
+        F.split(line, f"[{MARKS}]"),
+        lambda parts: F.when(F.size(parts) < 3, False).otherwise(
+            label(F.get(parts, F.lit(0)), False, True) & label(F.element_at(parts, -1), True, False) & F.forall(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda p: label(p, True, True))
+        ),
+    )
+
+
 def line_fails(line: Column, min_line_words: int = MIN_LINE_WORDS, max_symbol_share: float = MAX_SYMBOL_SHARE) -> Column:
     """Whether a line that holds a word fails a rule."""
     trimmed, low = F.btrim(line, F.lit(BLANKS)), F.lower(line)
@@ -117,7 +137,7 @@ def line_fails(line: Column, min_line_words: int = MIN_LINE_WORDS, max_symbol_sh
         let(symbols(line), lambda n: (n > 0) & (n > F.lit(max_symbol_share) * word_chars(line)))
         | let(low, lambda x: reduce(or_, [F.contains(x, F.lit(b)) for b in BOILERPLATE]))
         | line.rlike(NAVIGATION)
-        | line.rlike(LABELS)
+        | only_labels(line)
         | (~F.substring(trimmed, -1, 1).isin(*SENTENCE_END) & (F.size(F.split(trimmed, SPACE)) >= min_line_words))
     )
 

@@ -12,12 +12,15 @@ when its next box fails the test. ``stop`` is the quantile of p^2 / d_k^2 that k
 ``FIT_QUERIES`` vectors among a sample of ``FIT_ROWS`` (of the chi-square law at ``recall`` where the sample is too small). Queries are first answered in their own shard; the bound found there decides, by the same test
 on the shards' cells, which other shards they visit. ``verified`` and ``shards`` report how much each query looked at.
 
-Exact copies of a vector tie, and ties go to the smaller vec_id; so of each vector only its k + 1 smallest ids can be among the
-k nearest of any query, and these stand for it in the index. Nothing else is left out.
+Exact copies of a vector tie, and ties go to the smaller vec_id; so of each vector only the rows of its k + 1 smallest ids, k of each at
+most, can be among the k nearest of any query, as a query leaves out the rows of one id. These stand for it in the index. Nothing else
+is left out. Queries that reach a part are cut into blocks of ``QUERY_ROWS`` or so, each with a task of its own.
 
 Defined results: vectors that are null, empty, zero, of another length than ``width`` (if given), or hold null or non-finite
 components take no part, as queries or candidates; null vec_ids neither; repeated rows are candidates each; a query with fewer
-candidates than k returns them all; an empty table gives no rows; extra columns (clashing names too) are ignored.
+candidates than k returns them all; different vectors under one query id are queries each, told apart by ``query_no`` (repeated rows
+are one query); rows of the query's own id are never its candidates; a vector whose squared length is beyond a double raises; an empty
+table gives no rows; extra columns (clashing names too) are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +48,7 @@ LEAST_SHARDS = 12  # of a small table, so that several tasks share it
 LEAF_ROWS = 256
 SAMPLE_ROWS = 100_000
 QUERY_BLOCK = 512
+QUERY_ROWS = 20_000
 #: Leaves that a query takes between two looks at its bound: the first ones, then more at a time.
 STEPS = (1, 2, 4, 8, 16)
 
@@ -238,21 +242,25 @@ def fit_stop(x: np.ndarray, proj: Projection, k: int, recall: float) -> float:
     return float(np.quantile((p2[far2 > 0] / far2[far2 > 0, None]).ravel(), recall)) if (far2 > 0).any() else law
 
 
-FOUND = "query_id long, vec_id long, score double, verified long"
+FOUND = "query_id long, query_no int, vec_id long, score double, verified long"
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = K, dims: int = DIMS, recall: float = RECALL, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, width: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score, verified, shards: the k nearest other rows of each row of *vectors* (vec_id, embedding) that *query* picks.
+def nearest(vectors: DataFrame, query: Column, k: int = K, dims: int = DIMS, recall: float = RECALL, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, query_rows: int = QUERY_ROWS, width: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, verified, shards, query_no: the k nearest other rows of each row of *vectors* (vec_id, embedding) that *query* picks.
 
     verified: vectors compared exactly for the query; shards: shards that it visited; both of all its rows alike."""
     spark = vectors.sparkSession
     good = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"), width))
     norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
-    first = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))  # only k + 1 rows of a vector leave a task
-    index = written(good.withColumn("n", first).filter(F.col("n") <= k + 1).drop("n"), "ann-index")
+    each = good.groupBy("embedding", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+    first = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))  # only k + 1 ids of a vector leave a task
+    few = each.withColumn("n", first).filter(F.col("n") <= k + 1)
+    index = written(few.select("vec_id", "embedding", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col"), "ann-index")
     total, top, width, other = index.agg(F.count(F.lit(1)), F.sqrt(F.max(norm2)), F.max(F.size("embedding")), F.min(F.size("embedding"))).first()
     if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long, shards long")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long, shards long, query_no int")
+    if not math.isfinite(top):
+        raise ValueError("a vector's squared length is beyond a double; scale the vectors")
     if width != other:
         raise ValueError(f"embeddings have {other} to {width} components; give width")
     proj = Projection(width, dims, top)
@@ -280,7 +288,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = K, dims: int = DIMS, rec
     def to_others(batches):
         for b in batches:
             x = matrix(b.column(1))
-            p, bound = proj(x, True), b.column(2).to_numpy(zero_copy_only=False)
+            p, bound = proj(x, True), b.column(3).to_numpy(zero_copy_only=False)
             far2 = np.maximum(0.0, top**2 + (x**2).sum(axis=1) - 2 * bound) + 1e-9
             rows, shards = cells.value.reached(p, stop * np.where(np.isfinite(bound), far2, np.inf))
             m = shards != cells.value.home(p)[rows]
@@ -288,11 +296,11 @@ def nearest(vectors: DataFrame, query: Column, k: int = K, dims: int = DIMS, rec
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="Int64"), "score": pd.Series(dtype="float64"), "verified": pd.Series(dtype="int64")})
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "query_no": pd.Series(dtype="int32"), "vec_id": pd.Series(dtype="Int64"), "score": pd.Series(dtype="float64"), "verified": pd.Series(dtype="int64")})
         part = Part(left["vec_id"].to_numpy(np.int64), np.stack(left["embedding"].to_numpy()).astype(float), proj, leaf_rows)
-        qid = right["vec_id"].to_numpy(np.int64)
+        qid, no = right["vec_id"].to_numpy(np.int64), right["query_no"].to_numpy(np.int32)
         q, i, s, n = part.search(qid, np.stack(right["embedding"].to_numpy()).astype(float), right["bound"].to_numpy(float), k, stop)
-        return pd.DataFrame({"query_id": np.concatenate((qid[q], qid)), "vec_id": pd.array(np.concatenate((i, np.zeros(len(qid), np.int64))), "Int64").copy(), "score": np.concatenate((s, np.full(len(qid), np.nan))), "verified": np.concatenate((np.zeros(len(q), np.int64), n))}).assign(
+        return pd.DataFrame({"query_id": np.concatenate((qid[q], qid)), "query_no": np.concatenate((no[q], no)), "vec_id": pd.array(np.concatenate((i, np.zeros(len(qid), np.int64))), "Int64").copy(), "score": np.concatenate((s, np.full(len(qid), np.nan))), "verified": np.concatenate((np.zeros(len(q), np.int64), n))}).assign(
             vec_id=lambda d: d["vec_id"].where(d["score"].notna())  # a row without a vector tells what the query looked at here
         )
 
@@ -300,20 +308,30 @@ def nearest(vectors: DataFrame, query: Column, k: int = K, dims: int = DIMS, rec
     placed = index.mapInArrow(to_cells(False), f"vec_id long, embedding {kind}, shard long")
     sizes = F.broadcast(placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("parts")))  # a row for each leaf of the tree, which the sample bounds
     placed = placed.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts")
-    spread = lambda q: q.join(sizes, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    queries = good.filter(query).distinct()
-    own = queries.mapInArrow(to_cells(True), f"vec_id long, embedding {kind}, shard long").withColumn("bound", F.lit(float("-inf")))
-    seen = lambda asked: placed.groupBy("shard", "part").cogroup(spread(asked).groupBy("shard", "part")).applyInPandas(search, FOUND)
+
+    def seen(asked: DataFrame) -> DataFrame:
+        """What the queries *asked* (with the shard each visits) find there; a group is a part of a shard and a block of its queries."""
+        blocks = F.broadcast(asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("blocks")))  # a row a shard, as sizes
+        left = placed.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        right = asked.join(sizes, "shard").join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id", "query_no"), F.col("blocks"))).drop("blocks")
+        right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        group = ["shard", "part", "block"]
+        return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, FOUND)
+
+    number = F.row_number().over(W.partitionBy("vec_id").orderBy("embedding"))
+    queries = good.filter(query).distinct().select("vec_id", "embedding", number.alias("query_no"))
+    own = queries.mapInArrow(to_cells(True), f"vec_id long, embedding {kind}, query_no int, shard long").withColumn("bound", F.lit(float("-inf")))
     near = written(seen(own), "ann-near")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))
-    bounds = near.filter("vec_id IS NOT NULL").withColumn("n", rank).filter(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("b"))
-    asked = queries.join(bounds, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "embedding", F.coalesce("b", F.lit(float("-inf"))).alias("bound"))
-    far = seen(asked.mapInArrow(to_others, f"vec_id long, embedding {kind}, bound double, shard long"))
-    every = W.partitionBy("query_id")
+    one = ["query_id", "query_no"]
+    rank = F.row_number().over(W.partitionBy(*one).orderBy(F.desc("score")))
+    bounds = near.filter("vec_id IS NOT NULL").withColumn("n", rank).filter(F.col("n") <= k).groupBy(*one).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("b"))
+    asked = queries.join(bounds.withColumnRenamed("query_id", "vec_id"), ["vec_id", "query_no"], "left").select("vec_id", "embedding", "query_no", F.coalesce("b", F.lit(float("-inf"))).alias("bound"))
+    far = seen(asked.mapInArrow(to_others, f"vec_id long, embedding {kind}, query_no int, bound double, shard long"))
+    every = W.partitionBy(*one)
     rank = F.row_number().over(every.orderBy(F.col("vec_id").isNull(), F.desc("score"), F.asc("vec_id")))
     both = near.unionByName(far).withColumns({"rank": rank, "verified": F.sum("verified").over(every), "shards": F.count_if(F.col("vec_id").isNull()).over(every)})
     best = both.filter((F.col("rank") <= k) & F.col("vec_id").isNotNull())
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified", "shards")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified", "shards", "query_no")
 
 
 def op2_stable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

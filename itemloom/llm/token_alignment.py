@@ -42,7 +42,7 @@ from itemloom.llm.common import written
 from itemloom.sources import table
 
 HOT_PAIRS = 200_000
-KEPT_UNITS = 400_000
+KEPT_UNITS = 250_000
 KEPT_CHARS = 16_000_000
 SLICE_CHARS = 2_000_000
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -145,10 +145,16 @@ class Aligner:
         elif parts:
             place[parts[0]] = -1
 
-    def _places(self, cut: list[list[str]], place: dict[str, int], alone) -> list[list[int]]:
-        """The places of the units of some texts; new ones that may not stand *alone* get -2."""
+    def _places(self, cut: list[list[str]], place: dict[str, int], edges: bool) -> list[list[int]]:
+        """The places of the units of some texts. A new one with white space at an end (or empty) can't be learned beside others: it is
+        learned alone where *edges* of texts may have some, else its place is -2."""
         new = {p: None for parts in cut for p in parts if p not in place}
-        place.update((p, -2) for p in new if not alone(p))
+        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        for p in odd:
+            if edges:
+                self._learn([p], place)
+            else:
+                place[p] = -2
         self._learn([p for p in new if p not in place], place)
         return [[place[p] for p in parts] for parts in cut]
 
@@ -159,11 +165,11 @@ class Aligner:
         todo = [k for k, t in enumerate(texts) if t]
         if self.t.by_unit:
             # blanks beside other white space do not part units
-            found = self._places([texts[k].split(" ") for k in todo], self.place, lambda p: p and not p[0].isspace() and not p[-1].isspace())
+            found = self._places([texts[k].split(" ") for k in todo], self.place, edges=False)
         else:
             found = [[-2]] * len(todo)
         odd = [k for k, units in zip(todo, found, strict=True) if -2 in units]
-        again = self._places([_BETWEEN.split(texts[k]) if self.t.by_unit else [texts[k]] for k in odd], self.other, lambda p: True)
+        again = self._places([_BETWEEN.split(texts[k]) if self.t.by_unit else [texts[k]] for k in odd], self.other, edges=True)
         codes, first, numbers = np.array(self.codes), np.array(self.first), np.array(self.numbers).reshape(-1, 3)
         for k, units in [*zip(todo, found, strict=True), *zip(odd, again, strict=True)]:
             if -1 in units or -2 in units:

@@ -9,10 +9,12 @@ text. A document's score is a logistic function of its largest window logit and
 training documents. All vectors, the convolution and the GRU are trained together by gradients; learned vectors are left out
 at random in training (``LEFT_OUT``).
 
-Training is on the driver, on a bounded sample of labelled rows: ``max_train_docs`` at most, by hash of the id, whole texts, as long as
-they hold no more than ``max_train_chars`` characters together (ids with crc32(doc_id) mod 3 = 1 are held out and never read). Words
-and trigrams of these texts all count. Statistics for a training document leave that document out, so its own words do not give its label
-away. The model is broadcast, its size bounded by the sample's; scoring is a map without shuffle.
+Training is one task on an executor, over a bounded sample of labelled rows: ``max_train_docs`` at most, by hash of the id, whole texts, of
+which each that would bring them over ``max_train_chars`` characters is passed over (ids with crc32(doc_id) mod 3 = 1 are held out and
+never read). All words and trigrams of these texts count for the statistics, and all windows for the last logistic function; the nets
+learn from the window of each text that stands out most by its words' statistics, of a clean text from any other one too, as a toxic
+text's label tells only that some place of it is toxic. Statistics for a training document leave that document out, so its own words do
+not give its label away. The driver gets the model alone, whose size the sample bounds, and broadcasts it; scoring is a map without shuffle.
 
 Defined results: null and empty texts are one empty window and get the score of that; null doc_ids are scored, not held out and never
 trained on; labels other than 0 and 1 are not used, nor those of an id that has both; of several texts of one id the smallest is trained
@@ -22,12 +24,12 @@ and other columns are no inputs, clashing names are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -421,16 +423,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # bounded: the join's small side
     rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = written(rows.withColumn("n", F.char_length("text")), "toxic-rows")
-    held = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    fits = rows.select("doc_id", "n").withColumn("all", F.sum("n").over(held)).filter(F.col("all") <= max_chars)  # max_docs rows at most, without texts
-    return rows.join(F.broadcast(fits.select("doc_id")), "doc_id").select("doc_id", "text", "toxic")
+    left, fits = max_chars, []
+    for r in rows.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # max_docs rows at most, without texts
+        if r["n"] <= left:
+            left -= r["n"]
+            fits.append((r["doc_id"],))
+    own = F.broadcast(docs.sparkSession.createDataFrame(fits, rows.select("doc_id").schema))
+    return rows.join(own, "doc_id").select("doc_id", "text", "toxic")
 
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> Model:
-    rows = sorted(training_rows(docs, labels, max_docs, max_chars).collect())
-    texts, y = [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64)
-    del rows
-    return train_model(texts, y)
+    """The model of the labelled rows, trained in one task, as the sample is bounded."""
+
+    def train(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        texts, y = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
+        del rows
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_model(texts, y))], pa.binary())], ["model"])
+
+    found = training_rows(docs, labels, max_docs, max_chars).coalesce(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train_model([], np.zeros(0, np.int64))
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
