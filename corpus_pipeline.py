@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from itemloom.llm import packing, pii, quality_rules, simhash, toxicity
-from itemloom.llm.common import written
+from itemloom.llm.common import remove, work_path
 from itemloom.sources import table
 
 
@@ -47,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "pipeline")
+        found, path = stage(spark, docs, sf_dir), work_path(spark, "pipeline")
+        found.write.parquet(path)
+        if last:
+            remove(spark, last)  # read by this stage alone
+        docs, last = spark.read.schema(found.schema).parquet(path), path
     return docs
