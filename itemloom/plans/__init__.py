@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from itemloom.plans import admissions, bank, checks, layouts, lifecycle, ordering, papers, search, stores, workflow
+from itemloom.plans import admissions, bank, checks, geometry, integrity, layouts, lifecycle, ordering, papers, search, stores, workflow
 
-_MODULES = (search, ordering, workflow, checks, layouts, lifecycle, bank, admissions, papers, stores)
+_MODULES = (search, ordering, workflow, checks, layouts, lifecycle, bank, admissions, papers, stores, geometry, integrity)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
