@@ -171,3 +171,25 @@ def display_assets(questions: DataFrame, assets: DataFrame, key: str) -> DataFra
     d = d.withColumn("_p", F.row_number().over(first)).filter("_p = 1")
     d = d.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy("display_order", "asset_id")).cast("long"))
     return d.filter("NOT image_options OR position = 1").drop("_p", "image_options")
+
+
+#: Types with options, and the text of an option that is a picture.
+CHOICE_TYPES, IMAGE_OPTION = ("single_choice", "multiple_choice"), "见原页选项图"
+
+
+def required_content(questions: DataFrame, options: DataFrame, assets: DataFrame, key: str) -> DataFrame:
+    """key, has_required_image, image_options, n_options (those shown as text) and required_image_missing of each question.
+
+    *questions*: key, figure_review_status, question_type_code; *options*: key, content; *assets*: as in ``display_assets``. A passed figure
+    review makes a picture required; a choice question whose options are all pictures, or that has none, shows the complete question, every
+    other its figures. A registered picture alone makes none required."""
+    placeholder = F.every(F.btrim(F.coalesce("content", F.lit(""))) == IMAGE_OPTION)
+    o = options.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), placeholder.alias("_pictures"))
+    d = questions.join(o, key, "left")
+    d = d.withColumn("n_options", F.when(F.coalesce("_pictures", F.lit(True)), 0).otherwise(F.col("_n")).cast("long"))
+    need = F.coalesce(F.col("figure_review_status") == "passed", F.lit(False))
+    choice = F.coalesce(F.col("question_type_code").isin(*CHOICE_TYPES), F.lit(False))
+    d = d.withColumns({"has_required_image": need, "image_options": need & choice & (F.col("n_options") == 0)})
+    shown = display_assets(d.select(key, F.col("has_required_image").alias("has_figure"), "image_options"), assets, key).select(key).distinct().withColumn("_shown", F.lit(True))
+    d = d.join(shown, key, "left")
+    return d.select(key, "has_required_image", "image_options", "n_options", (F.col("has_required_image") & F.col("_shown").isNull()).alias("required_image_missing"))

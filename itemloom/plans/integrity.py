@@ -118,7 +118,7 @@ lost AS (SELECT * FROM once WHERE code NOT IN (SELECT code FROM up)),
 below AS (SELECT code, 'parent_missing' AS fault FROM lost WHERE parent NOT IN (SELECT code FROM once) UNION ALL SELECT lost.code, 'below_missing' FROM lost JOIN below ON lost.parent = below.code),
 ids AS (SELECT code, parent, once.name AS name, k.id AS old, coalesce(k.id, (SELECT max(id) FROM known) + row_number() OVER (PARTITION BY k.id IS NULL ORDER BY depth, place, code)) AS id, k.parent_id AS old_parent, k.name AS old_name
   FROM once JOIN up USING (code) LEFT JOIN (SELECT id, code, parent_id, name FROM known) k USING (code))
-SELECT i.id, i.code, p.id AS parent_id, i.name, CASE WHEN i.old IS NULL THEN 'insert' WHEN i.name IS NOT DISTINCT FROM old_name AND p.id IS NOT DISTINCT FROM old_parent THEN 'keep' ELSE 'update' END AS action FROM ids i LEFT JOIN ids p ON p.code = i.parent
+SELECT i.id, i.code, p.id AS parent_id, i.name, CASE WHEN i.old IS NULL THEN 'insert' WHEN i.name IS NOT DISTINCT FROM i.old_name AND p.id IS NOT DISTINCT FROM i.old_parent THEN 'keep' ELSE 'update' END AS action FROM ids i LEFT JOIN ids p ON p.code = i.parent
 UNION ALL SELECT id, code, parent_id, name, 'absent' FROM known WHERE code NOT IN (SELECT code FROM ids)
 UNION ALL SELECT NULL, code, NULL, NULL, 'repeated_code' FROM new GROUP BY code HAVING count(*) > 1
 UNION ALL SELECT NULL, code, NULL, NULL, fault FROM below UNION ALL SELECT NULL, code, NULL, NULL, 'cycle' FROM lost WHERE code NOT IN (SELECT code FROM below)""",
