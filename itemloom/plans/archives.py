@@ -58,8 +58,8 @@ QUERIES = {f.__name__: f for f in (written_backup, snapshot_drift, journal_answe
 ORACLE_SQL = {
     "written_backup": """
 SELECT 'part' AS relation, 'missing' AS fault, 1 AS n UNION ALL SELECT 'supplier', 'changed', 1 UNION ALL SELECT 'supplier', 'unchecked:s_nationkey', 1
-UNION ALL SELECT 'orders', 'reference:o_custkey', 1 FROM orders WHERE o_orderkey % 97 = 0 GROUP BY ALL
-UNION ALL SELECT 'customer', 'reference:c_nationkey', 1 FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) GROUP BY ALL""",
+UNION ALL SELECT DISTINCT 'orders', 'reference:o_custkey', 1 FROM orders WHERE o_orderkey % 97 = 0
+UNION ALL SELECT DISTINCT 'customer', 'reference:c_nationkey', 1 FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)""",
     "snapshot_drift": """
 WITH a AS (SELECT o_orderkey AS k, o_orderkey % 211 <> 5 AS was, o_orderkey % 223 <> 7 AS is_now, o_orderkey % 199 = 3 AND o_orderstatus IS NOT NULL AS differs FROM orders)
 SELECT k AS o_orderkey, CASE WHEN NOT was THEN 'new' WHEN NOT is_now THEN 'missing' ELSE 'changed' END AS drift FROM a WHERE (was OR is_now) AND (was <> is_now OR differs)""",
