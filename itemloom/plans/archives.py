@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from itemloom.operators import hashtree, journal
-from itemloom.sources import backups, table, work_folder
+from itemloom.sources import backups, jobs, table, work_folder
 
 
 def written_backup(spark, sf_dir):
@@ -54,8 +54,22 @@ def journal_answers(spark, sf_dir):
     return journal.answers(e, journal.entries(spark, path), "audit").select("event_id", "answer", "attempts", "last_error")
 
 
-QUERIES = {f.__name__: f for f in (written_backup, snapshot_drift, journal_answers)}
+def job_documents(spark, sf_dir):
+    """Suppliers' documents, written as job folders and read as a data source; some are no JSON or no object, and only some jobs are wanted."""
+    jobs.register(spark)
+    folder, k = work_folder(spark, "jobs"), F.col("s_suppkey")
+    text = F.when(k % 7 == 0, F.concat(F.lit('{"name": "'), "s_name")).when(k % 5 == 0, F.concat(F.lit('["'), "s_name", F.lit('"]'))).otherwise(F.concat(F.lit('{"name": "'), "s_name", F.lit('"}')))
+    table(spark, sf_dir, "supplier").select(k.alias("import_job"), text.alias("value")).write.partitionBy("import_job").text(folder)
+    wanted = [r[0] for r in table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("long")).collect()]  # 25 numbers
+    d = spark.read.format("job_folders").option("prefix", "import_job=").option("pattern", "*.txt").load(folder).filter(F.col("job").isin(wanted))
+    return d.select("job", "bytes", "sha256", F.get_json_object("document", "$.name").alias("name"), "error")
+
+
+QUERIES = {f.__name__: f for f in (written_backup, snapshot_drift, journal_answers, job_documents)}
 ORACLE_SQL = {
+    "job_documents": """
+WITH d AS (SELECT s_suppkey AS k, s_name, CASE WHEN s_suppkey % 7 = 0 THEN '{"name": "' || s_name WHEN s_suppkey % 5 = 0 THEN '["' || s_name || '"]' ELSE '{"name": "' || s_name || '"}' END || chr(10) AS t FROM supplier WHERE s_suppkey BETWEEN 1 AND 25)
+SELECT k AS job, CAST(strlen(t) AS BIGINT) AS bytes, sha256(t) AS sha256, CASE WHEN k % 7 <> 0 AND k % 5 <> 0 THEN s_name END AS name, CASE WHEN k % 7 = 0 THEN 'not_json' WHEN k % 5 = 0 THEN 'not_an_object' END AS error FROM d""",
     "written_backup": """
 SELECT 'part' AS relation, 'missing' AS fault, 1 AS n UNION ALL SELECT 'supplier', 'changed', 1 UNION ALL SELECT 'supplier', 'unchecked:s_nationkey', 1
 UNION ALL SELECT DISTINCT 'orders', 'reference:o_custkey', 1 FROM orders WHERE o_orderkey % 97 = 0
