@@ -19,6 +19,8 @@ def work_folder(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="itemloom-"))
         path = sc.getCheckpointDir()
     path = f"{path.rstrip('/')}/itemloom-{name}-{uuid.uuid4().hex}"
