@@ -186,17 +186,6 @@ def approval_reasons(question: DataFrame, types: list[str], points: DataFrame) -
     return d.withColumn("reasons", reason_list(rules)).drop("_code")
 
 
-def evidence_reasons(primary: Column, related: Column, source: Column, reviewer: Column, allowed_sources: list[str]) -> Column:
-    """Reasons against classification evidence: at most two related codes, each once, none the primary; a human source has a reviewer."""
-    return reason_list({
-        "primary": blank(primary),
-        "related": no((F.size(related) <= 2) & unique(related)),
-        "primary_in_related": F.coalesce(F.array_contains(related, primary), F.lit(False)),
-        "source": no(source.isin(allowed_sources)),
-        "reviewer": no(F.when(source == "human", ~blank(reviewer)).otherwise(reviewer.isNull())),
-    })
-
-
 def edit_reasons(old: DataFrame, new: DataFrame, key: list[str], fixed: list[str], free: list[str]) -> DataFrame:
     """key, reasons against an edit: fixed fields stay, and something must change."""
     o = old.select(*key, *[F.col(c).alias(f"_{c}") for c in [*fixed, *free]])
