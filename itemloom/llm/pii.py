@@ -11,9 +11,9 @@
    occurrences induce patterns as in 2, for ``hops`` hops or until there are no new ones.
 4. Tokens beside a pattern of ``min_confidence`` become spans of kind ``id``, unless they touch a base span.
 
-The texts are tokenised once, to a table of numbers that the scans of all hops read. Patterns and values travel as 64-bit hashes, never as
-text, added up in the task first. Which tokens may matter is told in each scan by a bitmap whose size follows the number of hashes, up to
-2 ** ``MAX_BITS`` places (16 MB); beyond some 17 million it lets more through, and joins make it exact at any size. The accepted patterns reach the texts ``MAX_PATTERNS`` at a time, so no text is
+Patterns and values travel as 64-bit hashes, never as text, added up in the task first. Which tokens may matter is told in each
+scan by a bitmap whose size follows the number of hashes, up to 2 ** ``MAX_BITS`` places (16 MB); beyond some 17 million hashes it lets more
+through, and joins make it exact at any size. The accepted patterns reach the texts ``MAX_PATTERNS`` at a time, so no text is
 ever shuffled. Nothing grows on the driver.
 
 Defined results: a null text counts as empty; null ids stay null; repeated rows each give their row; an empty table gives no
@@ -34,14 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemloom.llm.common import remove, work_path, written
+from itemloom.llm.common import written
 from itemloom.sources import table
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_BITS = 27  # bits of a hash that a bitmap tells apart at most
 MAX_PATTERNS = 500_000
 SLICE_CHARS = 4_000_000
-ROW_CHARS = 1_000_000
 CACHE_TOKENS = 300_000
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A run of digits is tried from its first digit only and never given back, which finds the same matches in linear time.
@@ -167,37 +166,31 @@ def pattern_hash(kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a != 0) & (b != 0), x ^ (x >> U(31)), U(0)).view(np.int64)
 
 
-def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words, which of them each token is, tokens a text) of *texts*."""
-    place, ids, sizes = {}, [], []
-    for t in texts:
-        found = _TOKEN.findall(t)
-        ids += [place.setdefault(w, len(place)) for w in found]
-        sizes.append(len(found))
-    return list(place), np.array(ids, np.int32), np.array(sizes, np.int32)
-
-
 class Tokens:
-    """The tokens of some texts as numbers: which word each token is, tokens a text, the context hash of each word, whether it is a key."""
-
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, context: np.ndarray, key: np.ndarray):
-        self.ids, self.ends = ids, np.cumsum([0, *sizes])
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        word = np.append(context.view(U), U(0))[ids]
-        self.before = [self._shift(word, k) for k in (1, 2)]
-        self.after = [self._shift(word, -k) for k in (1, 2)]
-        is_one = np.append(key, False)[ids].astype(U)
-        self.key = np.where(self._shift(is_one, 1) > 0, self.before[0], U(0))
-
-    @classmethod
-    def of(cls, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> Tokens:
-        return cls(ids, sizes, np.array([_context_hash(w) for w in words], U), np.array([is_key(w) for w in words], bool))
-
-    def _shift(self, x: np.ndarray, k: int) -> np.ndarray:
+    """The tokens of some texts with the hashes of their patterns."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, place, ids, sizes = texts, {}, [], []
+        for t in texts:
+            found = _TOKEN.findall(t)
+            ids += [place.setdefault(w, len(place)) for w in found]
+            sizes.append(len(found))
+        self.words = list(place)
+        self.ids, self.ends = np.array(ids, np.int64), np.cumsum([0, *sizes])
+        word = np.array([*map(_context_hash, self.words)] or [0], U)[self.ids]
+        key = np.array([is_key(w) for w in self.words] or [False])[self.ids]
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        self.before = [self._shift(word, doc, k) for k in (1, 2)]
+        self.after = [self._shift(word, doc, -k) for k in (1, 2)]
+        self.key = np.where(self._shift(key.astype(U), doc, 1) > 0, self.before[0], U(0))
+        self.doc = doc
+
+    @staticmethod
+    def _shift(x: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
         """The word k places before (after, if k < 0) in the same text, or 0."""
         out, n = np.zeros(len(x), U), abs(k)
         if len(x) > n:
-            same = self.doc[n:] == self.doc[:-n]
+            same = doc[n:] == doc[:-n]
             if k > 0:
                 out[n:] = np.where(same, x[:-n], U(0))
             else:
@@ -207,43 +200,62 @@ class Tokens:
     def patterns(self) -> list[np.ndarray]:
         return [pattern_hash("before", self.before[1], self.before[0]), pattern_hash("after", self.after[0], self.after[1]), pattern_hash("key", self.key, self.key)]
 
-    def spans(self, texts: list[str], picked: np.ndarray) -> list[list[tuple[int, int]]]:
+    def values(self, picked: np.ndarray | None = None) -> np.ndarray:
+        """The hash of the value of each token (of those *picked*), 0 if it has none."""
+        ids = self.ids if picked is None else self.ids[picked]
+        used, place = np.unique(ids, return_inverse=True)
+        each = [value_of(self.words[k])[1] for k in used.tolist()]
+        return np.array([_hash(v) if v else 0 for v in each], U).view(np.int64)[place]
+
+    def spans(self, picked: np.ndarray) -> list[list[tuple[int, int]]]:
         """Spans of the values of the tokens *picked*, by text."""
-        out, doc = [[] for _ in texts], self.doc[picked]
+        out, doc = [[] for _ in self.texts], self.doc[picked]
         for d in np.unique(doc).tolist():
             want = set((picked[doc == d] - self.ends[d]).tolist())
-            for k, m in enumerate(_TOKEN.finditer(texts[d])):
+            for k, m in enumerate(_TOKEN.finditer(self.texts[d])):
                 if k in want:
                     first, value = value_of(m[0])
                     if value:
                         out[d].append((m.start() + first, m.start() + first + len(value)))
         return out
 
+    def apart_from_seeds(self, picked: np.ndarray) -> np.ndarray:
+        """Those of the tokens *picked* whose values touch no seed."""
+        keep, doc = np.zeros(len(picked), bool), self.doc[picked]
+        for d in np.unique(doc).tolist():
+            at = np.flatnonzero(doc == d)
+            seeds, k = seed_spans(self.texts[d]), 0
+            want = dict(zip((picked[at] - self.ends[d]).tolist(), at.tolist(), strict=True))
+            for k, m in enumerate(_TOKEN.finditer(self.texts[d])):
+                if k in want:
+                    first, value = value_of(m[0])
+                    s = m.start() + first
+                    keep[want[k]] = bool(value) and bool(without_touch([(s, s + len(value))], seeds))
+        return picked[keep]
+
 
-def seeds_of(texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pattern, value) of every pattern of every seed, and the places of the tokens whose values touch a seed, counted through all *texts*."""
-    rows, touch, done = [], [], 0
-    for t, size in zip(texts, sizes.tolist(), strict=True):
-        at = [m.span() for m in _TOKEN.finditer(t)] if (seeds := seed_spans(t)) else []
+def seed_edges(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(pattern, value) of every pattern of every seed, as two arrays for each kind of pattern."""
+    rows: list[tuple] = []
+    for t in texts:
+        seeds = seed_spans(t)
+        if not seeds:
+            continue
+        at = [m.span() for m in _TOKEN.finditer(t)]
         starts, ends = [s for s, _ in at], [e for _, e in at]
         word = lambda k: _context_hash(t[at[k][0] : at[k][1]]) if 0 <= k < len(at) else 0  # noqa: B023, E731
         for s, e in seeds:
             first, last = bisect_right(ends, s), bisect_left(starts, e)  # tokens from first to last hold the seed
-            for k in range(first, last):
-                off, value = value_of(t[starts[k] : ends[k]])
-                if value and starts[k] + off < e and starts[k] + off + len(value) > s:
-                    touch.append(done + k)
             key = first > 0 and is_key(t[slice(*at[first - 1])])
             rows.append((word(first - 1), word(first - 2), word(last), word(last + 1), word(first - 1) if key else 0, _hash(t[s:e])))
-        done += size
     c = np.array(rows, U).reshape(-1, 6).T
-    patterns = np.concatenate([pattern_hash(kind, c[a], c[b]) for kind, a, b in (("before", 1, 0), ("after", 2, 3), ("key", 4, 4))])
-    return patterns, np.tile(c[5].view(np.int64), 3), np.unique(np.array(touch, np.int32))
+    value = c[5].view(np.int64) if len(rows) else np.zeros(0, np.int64)
+    return [(pattern_hash(kind, c[a], c[b]), value) for kind, a, b in (("before", 1, 0), ("after", 2, 3), ("key", 4, 4))]
 
 
-def _slices(batch: pa.RecordBatch, column: int, chars: int = SLICE_CHARS):
-    """A batch in slices of about *chars* characters, at least a row each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // chars
+def _slices(batch: pa.RecordBatch, column: int):
+    """A batch in slices of about SLICE_CHARS characters, at least a row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // SLICE_CHARS
     cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
     return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
@@ -264,90 +276,53 @@ class Bitmap:
         return ((self.words[at >> U(6)] >> (at & U(63))) & U(1)).astype(bool) & (hashes != 0)
 
 
-_ROW = "ids array<int>, sizes array<int>, context array<long>, value array<long>, key array<boolean>, touch array<int>, seed_pattern array<long>, seed_value array<long>"
-_ARROW_ROW = pa.schema([(n, pa.list_(pa.bool_() if t == "boolean" else pa.int32() if t == "int" else pa.int64())) for n, t in re.findall(r"(\w+) array<(\w+)>", _ROW)])
-
-
-def token_table(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The tokens and seeds of all texts as numbers, some ROW_CHARS characters a row, written once (and where): later scans need no text."""
+def _edges(docs: DataFrame, how) -> DataFrame:
+    """pattern, value, n (occurrences): what how(texts) gives as pairs of arrays, added up."""
 
     def run(batches):
-        for b in (part for whole in batches for part in _slices(whole, 0, ROW_CHARS)):
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            words, ids, sizes = words_of(texts)
-            patterns, values, touch = seeds_of(texts, sizes)
-            context = np.array([_context_hash(w) for w in words], U).view(np.int64)
-            value = np.array([_hash(v) if (v := value_of(w)[1]) else 0 for w in words], U).view(np.int64)
-            row = [ids, sizes, context, value, np.array([is_key(w) for w in words], bool), touch, patterns, values]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in row], schema=_ARROW_ROW)
+        for b in (part for whole in batches for part in _slices(whole, 0)):
+            pairs = how([t or "" for t in b.column(0).to_pylist()])
+            both = np.array([np.concatenate(x) for x in zip(*pairs, strict=True)])
+            both, n = np.unique(both[:, both[0] != 0], axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(n)], ["pattern", "value", "n"])
 
-    spark, path = docs.sparkSession, work_path(docs.sparkSession, "pii-tokens")
-    # small row groups, looked at after each row, as a row may hold megabytes
-    size = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
-    docs.select("text").mapInArrow(run, _ROW).write.options(**size).parquet(path)
-    return spark.read.schema(_ROW).parquet(path), path
-
-
-def _edges(tokens: DataFrame, how, columns: list[str]) -> DataFrame:
-    """pattern, value, n (occurrences): what how(the *columns* of a row as arrays) gives as pairs of arrays, added up."""
-
-    def run(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                pairs = how(*[b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(b.num_columns)])
-                both = np.array([np.concatenate(x) for x in zip(*pairs, strict=True)])
-                both, n = np.unique(both[:, both[0] != 0], axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(n)], ["pattern", "value", "n"])
-
-    found = tokens.select(*columns).mapInArrow(run, "pattern long, value long, n long")
+    found = docs.select("text").mapInArrow(run, "pattern long, value long, n long")
     return found.groupBy("pattern", "value").agg(F.sum("n").alias("n"))
 
 
-_WORDS = ["ids", "sizes", "context", "key"]
-
-
-def _counts(tokens: DataFrame, near: Bitmap) -> DataFrame:
+def _counts(docs: DataFrame, near: Bitmap) -> DataFrame:
     """pattern, value (0), n: how often patterns that pass the bitmap occur."""
-    held = tokens.sparkSession.sparkContext.broadcast(near)
-
-    def how(*row):
-        found = [p[held.value(p)] for p in Tokens(*row).patterns()]
-        return [(p, np.zeros(len(p), np.int64)) for p in found]
-
-    return _edges(tokens, how, _WORDS)
-
-
-def _apart(picked: np.ndarray, value: np.ndarray, touch: np.ndarray) -> np.ndarray:
-    """Places of the tokens *picked* (a mask) that have a value which touches no seed."""
-    picked &= value != 0
-    picked[touch] = False
-    return np.flatnonzero(picked)
+    held = docs.sparkSession.sparkContext.broadcast(near)
+    return _edges(docs, lambda texts: [(p[held.value(p)], np.zeros(int(held.value(p).sum()), np.int64)) for p in Tokens(texts).patterns()])
 
 
-def _fillers(tokens: DataFrame, near: Bitmap) -> DataFrame:
+def _fillers(docs: DataFrame, near: Bitmap) -> DataFrame:
     """pattern, value, n of the tokens beside patterns that pass the bitmap, without those that are seeds."""
-    held = tokens.sparkSession.sparkContext.broadcast(near)
+    held = docs.sparkSession.sparkContext.broadcast(near)
 
-    def how(ids, sizes, context, key, value, touch):
-        value = np.append(value, 0)[ids]
-        found = Tokens(ids, sizes, context, key).patterns()
-        hits = [held.value(p) for p in found]
-        some = _apart(hits[0] | hits[1] | hits[2], value, touch)
-        return [(np.where(hit[some], p[some], 0), value[some]) for p, hit in zip(found, hits, strict=True)]
+    def how(texts):
+        tokens = Tokens(texts)
+        found, hit = tokens.patterns(), np.zeros(len(tokens.ids), bool)
+        for p in found:
+            hit |= held.value(p)
+        some = tokens.apart_from_seeds(np.flatnonzero(hit))
+        values = tokens.values(some)
+        return [(np.where(held.value(p[some]), p[some], 0), values) for p in found]
 
-    return _edges(tokens, how, [*_WORDS, "value", "touch"])
+    return _edges(docs, how)
 
 
-def _occurrences(tokens: DataFrame, near: Bitmap) -> DataFrame:
+def _occurrences(docs: DataFrame, near: Bitmap) -> DataFrame:
     """pattern, value, n of all patterns of the tokens whose value passes the bitmap, without those that are seeds."""
-    held = tokens.sparkSession.sparkContext.broadcast(near)
+    held = docs.sparkSession.sparkContext.broadcast(near)
 
-    def how(ids, sizes, context, key, value, touch):
-        value = np.append(value, 0)[ids]
-        some = _apart(held.value(value), value, touch)
-        return [(p[some], value[some]) for p in Tokens(ids, sizes, context, key).patterns()]
+    def how(texts):
+        tokens = Tokens(texts)
+        found, values = tokens.patterns(), tokens.values()
+        some = tokens.apart_from_seeds(np.flatnonzero(held.value(values)))
+        return [(p[some], values[some]) for p in found]
 
-    return _edges(tokens, how, [*_WORDS, "value", "touch"])
+    return _edges(docs, how)
 
 
 def score_graph(edges: DataFrame, rounds: int, min_support: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
@@ -367,8 +342,7 @@ def score_graph(edges: DataFrame, rounds: int, min_support: int, min_confidence:
 
 def confident_patterns(docs: DataFrame, rounds: int = 3, hops: int = 3, min_support: int = 5, min_share: float = 0.25, min_confidence: float = 0.8) -> DataFrame:
     """pattern, confidence of the accepted patterns of the ``text`` of *docs*."""
-    tokens, path = token_table(docs)
-    seeds = written(_edges(tokens, lambda pattern, value: [(pattern, value)], ["seed_pattern", "seed_value"]), "pii-seeds")
+    seeds = written(_edges(docs, seed_edges), "pii-seeds")
     known, edges = seeds.withColumn("seed", F.lit(True)), seeds.limit(0).withColumn("seed", F.lit(True))  # edges: of candidates only
     tried, grown = seeds.select("pattern").limit(0), seeds.select("value").limit(0)
     accepted = seeds.select("pattern", F.lit(0.0).alias("confidence")).limit(0)
@@ -377,12 +351,12 @@ def confident_patterns(docs: DataFrame, rounds: int = 3, hops: int = 3, min_supp
         many = written(many.join(tried, "pattern", "left_anti"), "pii-many")
         if many.isEmpty():
             break
-        often = _counts(tokens, Bitmap(many, "pattern")).select("pattern", F.col("n").alias("times"))
+        often = _counts(docs, Bitmap(many, "pattern")).select("pattern", F.col("n").alias("times"))
         new = written(many.join(often, "pattern").filter(F.col("mentions") >= min_share * F.col("times")).select("pattern"), "pii-new")
         tried = written(tried.union(many.select("pattern")), "pii-tried")
         if new.isEmpty():
             break
-        found = _fillers(tokens, Bitmap(new, "pattern")).join(new, "pattern", "left_semi").withColumn("seed", F.lit(False))
+        found = _fillers(docs, Bitmap(new, "pattern")).join(new, "pattern", "left_semi").withColumn("seed", F.lit(False))
         more = found.unionByName(known.join(new, "pattern", "left_semi")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
         edges = written(edges.unionByName(more), "pii-graph")
         accepted, values = score_graph(edges.select("pattern", "value", "seed"), rounds, min_support, min_confidence)
@@ -391,9 +365,8 @@ def confident_patterns(docs: DataFrame, rounds: int = 3, hops: int = 3, min_supp
             if unseen.isEmpty():
                 break
             grown = written(grown.union(unseen), "pii-grown")
-            again = _occurrences(tokens, Bitmap(unseen, "value")).join(unseen, "value", "left_semi").withColumn("seed", F.lit(False))
+            again = _occurrences(docs, Bitmap(unseen, "value")).join(unseen, "value", "left_semi").withColumn("seed", F.lit(False))
             known = written(known.unionByName(again), "pii-known")
-    remove(docs.sparkSession, path)
     return accepted
 
 
@@ -421,11 +394,11 @@ def _marker(held, last: bool):
             texts, wanted = [t or "" for t in b.column(1).to_pylist()], held.value
             more = [[(s["start"], s["end"]) for s in x or []] for x in b.column(3).to_pylist()]
             if len(wanted):
-                tokens = Tokens.of(*words_of(texts))
+                tokens = Tokens(texts)
                 hit = np.zeros(len(tokens.ids), bool)
                 for p in tokens.patterns():
                     hit |= (wanted[np.minimum(np.searchsorted(wanted, p), len(wanted) - 1)] == p) & (p != 0)
-                more = [a + c for a, c in zip(more, tokens.spans(texts, np.flatnonzero(hit)), strict=True)]
+                more = [a + c for a, c in zip(more, tokens.spans(np.flatnonzero(hit)), strict=True)]
             base = [base_spans(t) for t in texts] if last else [[] for _ in texts]
             more = [without_touch(sorted(set(m)), sorted((s, e) for _, s, e in x)) for m, x in zip(more, base, strict=True)]
             dicts = lambda spans: [dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans]
