@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from itemloom.plans import admissions, archives, bank, checks, drafts, geometry, integrity, layouts, lifecycle, ordering, papers, search, stores, streams, workflow
+from itemloom.plans import admissions, archives, bank, checks, drafts, geometry, guidance, integrity, layouts, lifecycle, ordering, papers, search, stores, streams, workflow
 
-_MODULES = (search, ordering, workflow, checks, layouts, lifecycle, bank, admissions, papers, stores, geometry, integrity, streams, archives, drafts)
+_MODULES = (search, ordering, workflow, checks, layouts, lifecycle, bank, admissions, papers, stores, geometry, guidance, integrity, streams, archives, drafts)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
