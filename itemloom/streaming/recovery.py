@@ -3,14 +3,16 @@
 An attempt is (job, ts, outcome). The state of a job is its number of failed tries, when it may be tried again and what it has come to:
 *waiting* (a try failed; the next is due after a backoff that doubles), *completed* or *given_up* (as many tries as allowed failed). An
 attempt before its time is not counted as a try (another worker holds the job), one after the end changes nothing. When the watermark
-passes a waiting job's time, its timer gives a row with ``call`` set, once a try. State is one row a job, and ended jobs keep theirs, so that
-a late attempt cannot start them anew.
+passes a waiting job's time, its timer gives a row with ``call`` set, once a try. Ended jobs keep their state, so that a late attempt cannot
+start them anew. State is one row a bucket of jobs (by hash of the job), as a call of Python for each job costs milliseconds: the calls
+of a batch are bounded by the number of buckets, and a bucket's rows by jobs / buckets.
 
 ``changes`` is the stream of states; ``settle`` feeds one until nothing is left to retry, and goes on from its checkpoint after a crash.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "tries long, early long, due long, status string, seen long"
-HELD = f"{STATE}, called long"  # and for which try the timer has gone off
+HELD = "jobs string"  # of a bucket, as JSON: job, its state, for which try the timer has gone off, when it will (ms)
+BUCKETS = 4096
 ENDED = ("completed", "given_up")
 
 
@@ -40,29 +43,39 @@ def next_state(state: tuple, ts: int, outcome: str, backoff: int, most: int) ->
     return tries, early, ts + backoff * 2 ** (tries - 1), "waiting", seen
 
 
-def changes(attempts: DataFrame, backoff: int, most: int, late: str = "1 hour") -> DataFrame:
+def changes(attempts: DataFrame, backoff: int, most: int, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """job, tries, early, due (timestamp), status, seen, call: a row for each job that a batch changes or a timer calls.
 
-    *attempts*: a stream of job (bigint), ts (timestamp), outcome, order (breaks ties of ts). *backoff*: microseconds before the second try."""
+    *attempts*: a stream of job (bigint), ts (timestamp), outcome, order (breaks ties of ts). *backoff*: microseconds before the second try.
+    *buckets*: more of them suit streams of very many jobs; a checkpoint keeps to its number."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *own, called = state.get if state.exists else (0, 0, None, "new", 0, 0)
-        call = state.hasTimedOut
-        if call:
-            if called == own[0]:  # a state that stays may time out again
-                return
-            state.update((*own, own[0]))
-        else:
+        jobs = {job: own for job, *own in json.loads(state.get[0])} if state.exists else {}
+        now, touched = state.getCurrentWatermarkMs(), {}
+        if not state.hasTimedOut:
             rows = pd.concat(list(frames)).sort_values(["us", "order"])
-            for us, outcome in zip(rows["us"].tolist(), rows["outcome"].tolist(), strict=True):
-                own = next_state(tuple(own), int(us), outcome, backoff, most)
-            state.update((*own, called))
-            if own[3] == "waiting" and called < own[0]:
-                state.setTimeoutTimestamp(max(own[2] // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job": [key[0]], "tries": [own[0]], "early": [own[1]], "due": pd.array([own[2]], "Int64"), "status": [own[3]], "seen": [own[4]], "call": [call]})
-
-    rows = attempts.withWatermark("ts", late).select("job", "ts", F.unix_micros("ts").alias("us"), "outcome", "order")
-    out = rows.groupBy("job").applyInPandasWithState(step, f"job long, {STATE}, call boolean", HELD, "update", GroupStateTimeout.EventTimeTimeout)
+            for job, us, outcome in zip(rows["job"].tolist(), rows["us"].tolist(), rows["outcome"].tolist(), strict=True):
+                own = touched.get(job) or jobs.get(job) or (0, 0, None, "new", 0, 0, None)
+                touched[job] = (*next_state(tuple(own[:5]), int(us), outcome, backoff, most), own[5], None)
+            for job, own in touched.items():
+                timed = own[3] == "waiting" and own[5] < own[0]
+                jobs[job] = (*own[:6], max(own[2] // 1000, now + 1) if timed else None)
+        called = {job for job, own in jobs.items() if own[6] is not None and own[6] < now and job not in touched}
+        for job in called:
+            jobs[job] = (*jobs[job][:5], jobs[job][0], None)
+        state.update((json.dumps([(job, *own) for job, own in jobs.items()]),))
+        timers = [own[6] for own in jobs.values() if own[6] is not None]
+        if timers:
+            state.setTimeoutTimestamp(max(min(timers), now, 1))
+        out = [(job, *jobs[job][:5], job in called) for job in (*touched, *called)]
+        if out:
+            job, tries, early, due, status, seen, call = zip(*out, strict=True)
+            number = pd.array([None if j is None else int(j) for j in job], "Int64")
+            yield pd.DataFrame({"job": number, "tries": tries, "early": early, "due": pd.array(due, "Int64"), "status": status, "seen": seen, "call": call})
+
+    bucket = F.pmod(F.xxhash64("job"), F.lit(buckets)).alias("bucket")
+    rows = attempts.withWatermark("ts", late).select(bucket, F.col("job").cast("string").alias("job"), "ts", F.unix_micros("ts").alias("us"), "outcome", "order")
+    out = rows.groupBy("bucket").applyInPandasWithState(step, f"job long, {STATE}, call boolean", HELD, "update", GroupStateTimeout.EventTimeTimeout)
     return out.select("job", "tries", "early", F.timestamp_micros("due").alias("due"), "status", F.timestamp_micros("seen").alias("seen"), "call")
 
 
