@@ -59,7 +59,8 @@ def job_documents(spark, sf_dir):
     jobs.register(spark)
     folder, k = work_folder(spark, "jobs"), F.col("s_suppkey")
     text = F.when(k % 7 == 0, F.concat(F.lit('{"name": "'), "s_name")).when(k % 5 == 0, F.concat(F.lit('["'), "s_name", F.lit('"]'))).otherwise(F.concat(F.lit('{"name": "'), "s_name", F.lit('"}')))
-    table(spark, sf_dir, "supplier").select(k.alias("import_job"), text.alias("value")).write.partitionBy("import_job").text(folder)
+    documents = table(spark, sf_dir, "supplier").select(k.cast("long").alias("job"), text.alias("document"))
+    documents.write.format("job_folders").option("prefix", "import_job=").option("suffix", ".txt").mode("append").save(folder)
     wanted = [r[0] for r in table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("long")).collect()]  # 25 numbers
     d = spark.read.format("job_folders").option("prefix", "import_job=").option("pattern", "*.txt").load(folder).filter(F.col("job").isin(wanted))
     return d.select("job", "bytes", "sha256", F.get_json_object("document", "$.name").alias("name"), "error")

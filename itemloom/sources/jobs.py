@@ -3,7 +3,8 @@
 A folder ``<prefix><number>`` in *path* holds a job's files. Of each folder the files that match *pattern* are read; a row is (job, file, bytes,
 sha256, document, error). In mode ``soft`` a file that is too large, cannot be read or holds no JSON object gives a row with its error, and a
 folder without such a file one with ``missing``; in mode ``strict`` the first fault raises. Filters on ``job`` (equal, in) are pushed down: folders of other jobs
-are never opened, and their faults never seen. Pushing needs ``spark.sql.python.filterPushdown.enabled``, which ``register`` sets.
+are never opened, and their faults never seen. Written in mode ``append``, each row (job, document) becomes a file of its folder, by the task that
+holds the row: a name of its partition and place, put there once it is whole, so that a task's second attempt writes the same files. Pushing needs ``spark.sql.python.filterPushdown.enabled``, which ``register`` sets.
 
 Workers open the files themselves, so *path* must be mounted where they run; other schemes than file: raise.
 """
@@ -17,8 +18,9 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark import TaskContext
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 SCHEMA = "job long, file string, bytes long, sha256 string, document string, error string"
 FOLDERS_A_PARTITION = 64
@@ -51,6 +53,11 @@ class JobFolders(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return JobReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("job folders are appended to, never overwritten")
+        return JobWriter(self.options)
+
 
 class JobReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -105,6 +112,23 @@ class JobReader(DataSourceReader):
         return (len(content), digest, text, None) if whole else (len(content), digest, None, "not_an_object")
 
 
+class JobWriter(DataSourceWriter):
+    def __init__(self, options: dict):
+        self.path, self.prefix, self.suffix = mounted(options["path"]), options.get("prefix", "import_job_"), options.get("suffix", ".json")
+
+    def write(self, rows: Iterator[tuple]) -> WriterCommitMessage:
+        context = TaskContext.get()
+        for n, (job, document) in enumerate(rows):
+            folder = f"{self.path}/{self.prefix}{'none' if job is None else job}"
+            name = f"{context.partitionId():05d}-{n:09d}{self.suffix}"
+            own = f"{folder}/.{name}.{context.taskAttemptId()}"
+            os.makedirs(folder, exist_ok=True)
+            with open(own, "w", encoding="utf-8", newline="") as f:
+                f.write((document or "") + "\n")
+            os.replace(own, f"{folder}/{name}")
+        return WriterCommitMessage()
+
+
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(JobFolders)
