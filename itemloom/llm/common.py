@@ -6,6 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row; a plain alias may be inlined into a lambda and computed for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def slices(batch: pa.RecordBatch, texts: pa.Array, size: int) -> list[pa.RecordBatch]:
+    """A batch in slices of about *size* bytes of its *texts*, at least a row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]

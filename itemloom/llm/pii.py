@@ -24,27 +24,28 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemloom.llm.common import written
+from itemloom.llm.common import slices, written
 from itemloom.sources import table
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_BITS = 27  # bits of a hash that a bitmap tells apart at most
 MAX_PATTERNS = 500_000
-SLICE_CHARS = 4_000_000
-CACHE_TOKENS = 300_000
+SLICE_CHARS = 1_000_000
+CACHE_TOKENS = 100_000
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A run of digits is tried from its first digit only and never given back, which finds the same matches in linear time.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+#: What every match of _IP holds; it starts with a literal, so texts without it are passed over quickly.
+_DOTTED = re.compile(r"\.[0-9]++\.[0-9]++\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A key with its mark, if a value follows at once, or what stands between white space.
@@ -85,7 +86,8 @@ def _emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points, by kind as in KINDS, then start."""
     out = [(0, s, e) for s, e in _emails(text)]
-    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+    if _DOTTED.search(text):
+        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             d = m[0].replace(" ", "").replace("-", "")
@@ -128,6 +130,8 @@ def _hash(s: str) -> int:
 
 def context_word(token: str) -> str:
     low = token.lower()
+    if token.isalpha():  # neither edge marks nor digits
+        return low
     return _DIGITS.sub("0", low.strip(_EDGE) or low)
 
 
@@ -144,6 +148,14 @@ class _Hashes(dict):
 _context_hash = _Hashes().__getitem__
 
 
+class _Numbers(dict):
+    """Word -> its number, from 0 in order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def is_key(token: str) -> bool:
     return token[-1] in "=:" and len(token) > 2
 
@@ -170,16 +182,27 @@ class Tokens:
     """The tokens of some texts with the hashes of their patterns."""
 
     def __init__(self, texts: list[str]):
-        self.texts, place, ids, sizes = texts, {}, [], []
-        for t in texts:
-            found = _TOKEN.findall(t)
-            ids += [place.setdefault(w, len(place)) for w in found]
-            sizes.append(len(found))
+        self.texts, place = texts, _Numbers()
+        runs = [t.split() for t in texts]  # no token crosses white space, so each distinct run is cut into tokens once
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(runs)), np.int64)
         self.words = list(place)
-        self.ids, self.ends = np.array(ids, np.int64), np.cumsum([0, *sizes])
+        first, parts = np.arange(len(self.words)), np.ones(len(self.words), np.int64)
+        marked = [k for k, w in enumerate(self.words) if "=" in w or ":" in w]
+        for k in marked[:]:
+            found = _TOKEN.findall(self.words[k])
+            if len(found) > 1:
+                first[k], parts[k] = len(self.words), len(found)
+                marked += range(len(self.words), len(self.words) + len(found))
+                self.words += found
+        each = parts[at]
+        ends = np.cumsum(np.concatenate(([0], each)))
+        self.ids = np.repeat(first[at] - ends[:-1], each) + np.arange(ends[-1])
+        self.ends = ends[np.cumsum([0, *map(len, runs)])]
         word = np.array([*map(_context_hash, self.words)] or [0], U)[self.ids]
-        key = np.array([is_key(w) for w in self.words] or [False])[self.ids]
-        doc = np.repeat(np.arange(len(texts)), sizes)
+        key = np.zeros(max(1, len(self.words)), bool)
+        key[[k for k in marked if is_key(self.words[k])]] = True
+        key = key[self.ids]
+        doc = np.repeat(np.arange(len(texts)), np.diff(self.ends))
         self.before = [self._shift(word, doc, k) for k in (1, 2)]
         self.after = [self._shift(word, doc, -k) for k in (1, 2)]
         self.key = np.where(self._shift(key.astype(U), doc, 1) > 0, self.before[0], U(0))
@@ -253,13 +276,6 @@ def seed_edges(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(pattern_hash(kind, c[a], c[b]), value) for kind, a, b in (("before", 1, 0), ("after", 2, 3), ("key", 4, 4))]
 
 
-def _slices(batch: pa.RecordBatch, column: int):
-    """A batch in slices of about SLICE_CHARS characters, at least a row each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // SLICE_CHARS
-    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
-    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-
-
 class Bitmap:
     """Which leading bits occur among some hashes; every hash of them passes, others now and then: an eighth at most up to 2 ** (MAX_BITS - 3) hashes."""
 
@@ -280,11 +296,15 @@ def _edges(docs: DataFrame, how) -> DataFrame:
     """pattern, value, n (occurrences): what how(texts) gives as pairs of arrays, added up."""
 
     def run(batches):
-        for b in (part for whole in batches for part in _slices(whole, 0)):
+        for b in (part for whole in batches for part in slices(whole, whole.column(0), SLICE_CHARS)):
             pairs = how([t or "" for t in b.column(0).to_pylist()])
-            both = np.array([np.concatenate(x) for x in zip(*pairs, strict=True)])
-            both, n = np.unique(both[:, both[0] != 0], axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(n)], ["pattern", "value", "n"])
+            pattern, value = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            pattern, value = pattern[pattern != 0], value[pattern != 0]
+            by = np.lexsort((value, pattern)) if value.any() else np.argsort(pattern)
+            pattern, value = pattern[by], value[by]
+            start = np.flatnonzero(np.concatenate(([True], (pattern[1:] != pattern[:-1]) | (value[1:] != value[:-1])))[: len(pattern)])
+            n = np.diff(np.append(start, len(pattern)))
+            yield pa.RecordBatch.from_arrays([pa.array(pattern[start]), pa.array(value[start]), pa.array(n)], ["pattern", "value", "n"])
 
     found = docs.select("text").mapInArrow(run, "pattern long, value long, n long")
     return found.groupBy("pattern", "value").agg(F.sum("n").alias("n"))
@@ -293,7 +313,7 @@ def _edges(docs: DataFrame, how) -> DataFrame:
 def _counts(docs: DataFrame, near: Bitmap) -> DataFrame:
     """pattern, value (0), n: how often patterns that pass the bitmap occur."""
     held = docs.sparkSession.sparkContext.broadcast(near)
-    return _edges(docs, lambda texts: [(p[held.value(p)], np.zeros(int(held.value(p).sum()), np.int64)) for p in Tokens(texts).patterns()])
+    return _edges(docs, lambda texts: [(near := p[held.value(p)], np.zeros(len(near), np.int64)) for p in Tokens(texts).patterns()])
 
 
 def _fillers(docs: DataFrame, near: Bitmap) -> DataFrame:
@@ -377,20 +397,20 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.Str
 def with_spans(docs: DataFrame, keep: list[str], **graph) -> DataFrame:
     """A struct ``_in`` of the columns *keep*, with ``_text``, ``_base`` (base spans) and ``_more`` (what confident patterns add, by start)."""
     patterns = confident_patterns(docs, **graph)
-    slices = max(1, -(-patterns.count() // MAX_PATTERNS))
+    parts = max(1, -(-patterns.count() // MAX_PATTERNS))
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_in"), F.col("text").alias("_text"), F.lit(None).cast(_SPANS).alias("_base"), F.lit(None).cast(_SPANS).alias("_more"))
-    for k in range(slices):
-        own = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == k) if slices > 1 else patterns
+    for k in range(parts):
+        own = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == k) if parts > 1 else patterns
         held = sc.broadcast(np.sort(np.array([r["pattern"] for r in own.select("pattern").collect()], np.int64)))  # about MAX_PATTERNS
-        rows = rows.mapInArrow(_marker(held, last=k + 1 == slices), rows.schema)
-        rows = written(rows, "pii-marked") if k + 1 < slices else rows
+        rows = rows.mapInArrow(_marker(held, last=k + 1 == parts), rows.schema)
+        rows = written(rows, "pii-marked") if k + 1 < parts else rows
     return rows
 
 
 def _marker(held, last: bool):
     def run(batches):
-        for b in (part for whole in batches for part in _slices(whole, 1)):
+        for b in (part for whole in batches for part in slices(whole, whole.column(1), SLICE_CHARS)):
             texts, wanted = [t or "" for t in b.column(1).to_pylist()], held.value
             more = [[(s["start"], s["end"]) for s in x or []] for x in b.column(3).to_pylist()]
             if len(wanted):
@@ -420,7 +440,7 @@ def pii_report(docs: DataFrame, **graph) -> DataFrame:
 
 def redact_documents(docs: DataFrame, **graph) -> DataFrame:
     """The same rows and columns; every span of text becomes ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]`` or ``[ID]``."""
-    d = with_spans(docs, docs.columns, **graph)
+    d = with_spans(docs, [c for c in docs.columns if c != "text"] or docs.columns, **graph)  # the text goes beside them, once
     spans = F.concat("_base", "_more")
 
     @F.pandas_udf("string")
