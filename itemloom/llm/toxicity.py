@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemloom.llm.common import written
+from itemloom.llm.common import slices, written
 from itemloom.sources import table
 
 WINDOW = 48
 HIDDEN = 8
 MAX_TRAIN_DOCS = 6_000
 MAX_TRAIN_CHARS = 24_000_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 65536
+SCORED = 500_000  # bytes of texts that a worker turns into strings at a time
 CUT = 0.7
 _WORDS = re.compile(r"\w+")
 F32 = np.float32
@@ -331,7 +332,7 @@ class Model:
             ids = [self.index[w] for w in words]
         return np.array(ids, np.int64)
 
-    def window_logits(self, gates: np.ndarray, at: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    def window_logits(self, gates: np.ndarray, at: np.ndarray, chunk: int = 512) -> np.ndarray:
         """Logits of windows of rows of *gates*, which a word's inputs add to both directions; -1 is no word."""
         out, h3 = np.empty(len(at), F32), 3 * self.net.h
         for k in range(0, len(at), chunk):
@@ -353,7 +354,7 @@ class Model:
         out, k = np.empty((len(texts), 2)), 0
         while k < len(texts):  # some documents at a time, so that memory is bounded
             sizes, at, base, first, offset = [], [], [], k, 0
-            while k < len(texts) and sum(sizes) < 8192:
+            while k < len(texts) and sum(sizes) < 1024:
                 ids = self._ids(_WORDS.findall(texts[k].lower()))
                 rows = self.rows[ids]
                 w = windows_of(len(rows), self.window)
@@ -407,7 +408,7 @@ def train_model(texts: list[str], y: np.ndarray, window: int = WINDOW, **net) ->
 
     def logits(own, at, label):  # a document at a time, which bounds the driver's memory
         x = np.concatenate((stats[label][own], vectors[own]), axis=1)
-        return model.window_logits(np.concatenate((gru.inputs(x, "f"), gru.inputs(x, "b")), axis=1), at, chunk=512)
+        return model.window_logits(np.concatenate((gru.inputs(x, "f"), gru.inputs(x, "b")), axis=1), at)
 
     found = np.array([model.summary(logits(own, at, int(label))) for own, at, label in zip(ids, spans, y, strict=True)])
     model.link = fit_link(found, y)
@@ -451,11 +452,12 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = held.value
-        for b in batches:
-            texts = [t or "" for t in b.column(b.schema.get_field_index("_text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("_in")), pa.array(own.score(texts), pa.float64())], ["_in", "_score"])
+        for b in (part for whole in batches for part in slices(whole, whole.column(0).field(at), SCORED)):
+            texts = [t or "" for t in b.column(0).field(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.score(texts), pa.float64())], ["_in", "_score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), F.col("text").alias("_text"))
+    at = [c.lower() for c in docs.columns].index("text")  # read in its place among the columns: a text goes to the worker once
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
     kind = rows.schema["_in"].dataType
     return rows.mapInArrow(run, T.StructType([T.StructField("_in", kind), T.StructField("_score", T.DoubleType())]))
 
