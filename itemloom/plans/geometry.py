@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from itemloom.operators import boxes
-from itemloom.sources import table
+from itemloom.sources import table, tasks_for
 
 
 def _pages(spark, sf_dir):
@@ -25,7 +25,9 @@ def _regions(spark, sf_dir):
     """Lines as regions of the question of their order, on the page of their supplier; a page in fifty is another one's number."""
     x, y = F.col("l_partkey") * 37 % 960, F.col("l_partkey") * 53 % 860
     page = F.when(F.col("l_partkey") % 50 == 0, F.col("l_suppkey") + 1_000_000).otherwise(F.col("l_suppkey"))
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.max("l_quantity").cast("long").alias("q"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    # Hardly any line comes twice, so lines are dealt by order before they are grouped: grouped first, each reading task would hold all of its part.
+    li = li.repartition(tasks_for(li), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.max("l_quantity").cast("long").alias("q"))
     return li.select(page.alias("page"), F.col("l_orderkey").alias("question_no"), F.col("l_linenumber").cast("long").alias("region_no"), x.alias("l"), y.alias("t"), (x + F.col("q") * 3 - 4).alias("r"), (y + F.col("q")).alias("b"))
 
 
@@ -61,6 +63,7 @@ def crop_plan_faults(spark, sf_dir):
     expected = o.select(F.col("o_custkey").alias("job"), (F.col("o_orderkey") % 39 + 1).alias("question_no"))
     r = _regions(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("question_no"), F.col("o_custkey").alias("job")), "question_no")
     r = r.select("job", F.col("question_no").alias("item"), (F.col("page") % 5).alias("page_number"), "l", "t", "r", "b").filter("item % 23 <> 0")
+    r = r.repartition(tasks_for(table(spark, sf_dir, "lineitem")), "job", "page_number")
     pages = o.select(F.col("o_custkey").alias("job")).distinct().withColumn("page_number", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumns({"width": F.lit(1000), "height": F.lit(880)})
     return boxes.crop_plan_faults(items, r, expected, pages, ["job"], 12, 60, 20_000, 150_000)
 

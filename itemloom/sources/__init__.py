@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks_for(df: DataFrame, rows: int = 500_000) -> int:
+    """Partitions for *df* at so many *rows* each, and at least one a core: what a task holds in a sort or a grouping then stays the same as
+    tables grow. *df* should be a table, whose rows are counted from its footers."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir; only where that is unset, as in tests, a temporary
     one), deleted when the driver's JVM ends."""

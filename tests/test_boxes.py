@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 from itemloom.operators import boxes
+from itemloom.plans import geometry
+from itemloom.sources import tasks_for
 
 BOX = "page int, id int, l long, t long, r long, b long"
 
@@ -49,3 +51,27 @@ def test_crop_plans(spark):
     got = {(r["question_no"], r["fault"]) for r in boxes.crop_plan_faults(items, regions, expected, pages, ["job"], 5, 5, 1000, 8000).collect()}
     assert got == {(1, "repeated"), (1, "unknown_page"), (None, "number"), (2, "no_region"), (9, "unexpected"), (9, "pixels"), (9, "order"), (3, "missing"), (None, "regions_budget"), (None, "pixels_budget")}
     assert boxes.crop_plan_faults(items.limit(0), regions.limit(0), expected.limit(0), pages, ["job"], 5, 5, 1000, 8000).count() == 0
+
+
+def exchanges(d):
+    return d._jdf.queryExecution().optimizedPlan().toString().count("Join "), d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_a_crop_plan_is_read_once(spark):
+    items = spark.range(10).selectExpr("id % 2 AS job", "id AS item", "id % 3 AS question_no")
+    regions = spark.range(40).selectExpr("id % 2 AS job", "id % 10 AS item", "id % 3 AS page_number", "id % 50 AS l", "0L AS t", "id + 1 AS r", "9L AS b")
+    pages = spark.range(2).selectExpr("id AS job", "0L AS page_number", "100L AS width", "100L AS height")
+    d = boxes.crop_plan_faults(items, regions, items.select("job", "question_no"), pages, ["job"], 5, 5, 1000, 8000)
+    assert exchanges(d)[0] <= 2  # with the pages and with the items; all else is one grouping
+    assert "collect_set" not in d._jdf.queryExecution().optimizedPlan().toString()
+    null = spark.createDataFrame([(1, None)], "job long, question_no long")
+    got = boxes.crop_plan_faults(items.limit(0), regions.limit(0), null, pages, ["job"], 5, 5, 1000, 8000).collect()
+    assert [tuple(r) for r in got] == [(1, None, "missing")]
+
+
+def test_the_rows_of_a_task_do_not_grow_with_the_table(spark, tmp_path):
+    d = spark.range(40_000).selectExpr("id % 9000 AS l_orderkey", "CAST(id % 7 AS INT) AS l_linenumber", "id % 200 AS l_partkey", "id % 10 AS l_suppkey", "CAST(id % 50 AS DOUBLE) AS l_quantity")
+    d.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tasks_for(spark.read.parquet(f"{tmp_path}/lineitem.parquet"), n) for n in (1000, 5000, 10**6)] == [40, 8, 4]
+    plan = geometry._regions(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(l_orderkey" in plan  # dealt by order, before the grouping
