@@ -19,6 +19,17 @@ def _holds(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _packed(name: str) -> Column:
+    """A digest as bytes, half as long to move; a text that is none stays as it is, but longer than any digest, so that no two texts become the same."""
+    c = F.col(name)
+    return F.when(c.rlike(HEX64), F.unhex(c)).otherwise(F.concat(F.repeat(F.lit(" "), F.lit(33)), c).cast("binary"))
+
+
+def _unpacked(name: str) -> Column:
+    c = F.col(name)
+    return F.when(F.length(c) == 32, F.lower(F.hex(c))).otherwise(F.substring(c.cast("string"), 34, 2**31 - 1))
+
+
 def adoption(drafts: DataFrame, reaudits: DataFrame, results: DataFrame, key: list[str]) -> DataFrame:
     """key, run_id, outcome of each of *results* (key, run_id, version, edited_sha256, audit_status).
 
@@ -26,25 +37,32 @@ def adoption(drafts: DataFrame, reaudits: DataFrame, results: DataFrame, key: li
     run id, version or digest), stale (there is no such live draft now), done (it has been re-audited with that version and content),
     used (the run id belongs to another re-audit), later (an earlier result, by run id, for the same draft is adopted now), passed, not_passed."""
     whole = _holds(F.length("run_id").between(1, 200) & (F.length(F.trim("run_id")) > 0)) & _holds(F.col("version") >= 1) & _holds(F.col("edited_sha256").rlike(HEX64))
-    same = [*key, "version", "edited_sha256"]
-    finished = reaudits.filter("status = 'completed'").select(*same).distinct().withColumn("_done", F.lit(True))
-    runs = reaudits.filter("run_id IS NOT NULL").select("run_id").distinct().withColumn("_used", F.lit(True))
-    live = drafts.filter(~_holds(F.col("deleted"))).select(*same).withColumn("_live", F.lit(True))
-    d = results.join(finished, same, "left").join(live, same, "left").join(runs, "run_id", "left").withColumn("_whole", whole)
+    same = [*key, "version", "_sha"]
+    sha = _packed("edited_sha256").alias("_sha")
+    finished = reaudits.filter("status = 'completed'").select(*key, "version", sha).distinct().withColumn("_done", F.lit(True))
+    runs = reaudits.filter("run_id IS NOT NULL").select(F.col("run_id").alias("_run")).distinct().withColumn("_used", F.lit(True))
+    live = drafts.filter(~_holds(F.col("deleted"))).select(*key, "version", sha).withColumn("_live", F.lit(True))
+    # Results that can't be adopted get runs of their own, so that empty run ids do not meet in one task. Run ids are looked up first: all that
+    # goes by draft and content then follows one exchange.
+    d = results.withColumn("_whole", whole)
+    d = d.select(*key, "version", sha, "audit_status", "_whole", F.when(F.col("_whole"), F.col("run_id")).otherwise(F.xxhash64(*key, "version").cast("string")).alias("_run"), F.when(~F.col("_whole"), F.col("run_id")).alias("_odd"))
+    d = d.join(runs, "_run", "left").join(finished, same, "left").join(live, same, "left")
     out = F.when(~F.col("_whole"), "invalid").when(F.col("_done"), "done").when(F.col("_live").isNull(), "stale").when(F.col("_used"), "used")
     d = d.withColumn("_out", out)
-    first = F.row_number().over(W.partitionBy(*same, "_out").orderBy("run_id"))
-    again = F.row_number().over(W.partitionBy("run_id", "_out").orderBy(*key))  # one run id is for one re-audit
+    first = F.row_number().over(W.partitionBy(*same, "_out").orderBy("_run"))
+    again = F.row_number().over(W.partitionBy("_run", "_out").orderBy(*key))  # one run id is for one re-audit
     verdict = F.when(_holds(F.col("audit_status") == "auto_pass"), "passed").otherwise("not_passed")
-    d = d.withColumns({"_n": first, "_m": again})
-    return d.select(*key, "run_id", "version", "edited_sha256", F.coalesce("_out", F.when(F.col("_n") > 1, "later").when(F.col("_m") > 1, "used"), verdict).alias("outcome"))
+    d = d.withColumn("_n", first).withColumn("_m", again)
+    run = F.when(F.col("_whole"), F.col("_run")).otherwise(F.col("_odd")).alias("run_id")
+    return d.select(*key, run, "version", _unpacked("_sha").alias("edited_sha256"), F.coalesce("_out", F.when(F.col("_n") > 1, "later").when(F.col("_m") > 1, "used"), verdict).alias("outcome"))
 
 
 def adopted(drafts: DataFrame, outcomes: DataFrame, key: list[str], now: str) -> DataFrame:
     """*drafts* after the *outcomes* of ``adoption``: a passed one approves the draft under its next version, one not passed sends it back; all
     other rows stay as they are. Columns that change: version, status, approval_source, reviewed_at."""
-    o = outcomes.filter(F.col("outcome").isin("passed", "not_passed")).select(*key, "version", "edited_sha256", F.col("outcome").alias("_o"))
-    d = drafts.join(o, [*key, "version", "edited_sha256"], "left")
+    sha = _packed("edited_sha256")
+    o = outcomes.filter(F.col("outcome").isin("passed", "not_passed")).select(*key, "version", sha.alias("_sha"), F.col("outcome").alias("_o"))
+    d = drafts.withColumn("_sha", sha).drop("edited_sha256").join(o, [*key, "version", "_sha"], "left").withColumn("edited_sha256", _unpacked("_sha"))
     hit, passed = F.col("_o").isNotNull() & ~_holds(F.col("deleted")), F.col("_o") == "passed"
     new = {
         "version": F.when(hit & passed, F.col("version") + 1).otherwise(F.col("version")),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from itemloom.functions import fresh
 from itemloom.operators import adoption, layout
-from itemloom.sources import table
+from itemloom.sources import table, work_folder
 
 _SHA = lambda c: F.sha2(c.cast("string"), 256)
 _text = lambda no, version: F.sha2(F.concat_ws("/", "o_orderpriority", no.cast("string"), version.cast("string")), 256)
@@ -31,13 +31,20 @@ def _results(spark, sf_dir):
     return li.join(o, "l_orderkey").select("job", k.alias("no"), run.alias("run_id"), line.alias("version"), _text(k, line).alias("edited_sha256"), F.when(F.col("part") % 2 == 0, "auto_pass").otherwise("disputed").alias("audit_status"))
 
 
+def _told(spark, outcomes):
+    """Outcomes as they are read by what follows, written once: the text's digest only of those that are adopted."""
+    path = work_folder(spark, "outcomes")
+    outcomes.withColumn("edited_sha256", F.when(F.col("outcome").isin("passed", "not_passed"), F.col("edited_sha256"))).write.parquet(path)
+    return spark.read.schema(outcomes.schema).parquet(path)
+
+
 def reaudit_adoption(spark, sf_dir):
     """Two rounds of the same results: what each came to, and the drafts that changed; the second round changes none."""
     d, r, key = _drafts(spark, sf_dir), _results(spark, sf_dir), ["job", "no"]
-    none = spark.createDataFrame([], "job long, no long, version long, edited_sha256 string, status string, decision string, run_id string")
-    first = adoption.adoption(d, none, r, key)
+    none = d.select(*key, "version", "edited_sha256", "status", F.lit("").alias("decision"), F.lit("").alias("run_id")).filter("false")
+    first = _told(spark, adoption.adoption(d, none, r, key))
     after, told = adoption.adopted(d, first, key, "t1"), adoption.completed_reaudits(none, first)
-    second = adoption.adoption(after, told, r, key)
+    second = _told(spark, adoption.adoption(after, told, r, key))
     twice = adoption.adopted(after, second, key, "t2")
     changed = twice.filter("reviewed_at IS NOT NULL").select("no", F.lit(None).cast("long").alias("line"), F.concat_ws("/", "status", "approval_source", F.col("version").cast("string"), "reviewed_at").alias("what"))
     said = lambda o, n: o.select("no", F.col("version").alias("line"), F.concat(F.lit(n), "outcome").alias("what"))

@@ -44,3 +44,21 @@ def test_required_pictures(spark):
     a = spark.createDataFrame([(1, "complete_question", "a", 1, 1), (2, "complete_question", "b", 1, 2), (3, "question_figure", "c", 1, 3), (4, "complete_question", "d", 1, 4)], "q int, kind string, path string, display_order int, asset_id int")
     got = {r["q"]: (r["has_required_image"], r["image_options"], r["n_options"], r["required_image_missing"]) for r in layout.required_content(q, o, a, "q").collect()}
     assert got == {1: (True, True, 0, False), 2: (True, False, 2, True), 3: (True, False, 0, False), 4: (False, False, 0, False), 5: (True, False, 0, True), 6: (True, True, 0, True)}
+
+
+def test_results_are_dealt_three_times_and_digests_travel_packed(spark):
+    d = spark.createDataFrame([(1, "1", 1, A, "draft", None, None, False)], DRAFT)
+    results = spark.createDataFrame([(1, "1", "r", 1, A, "auto_pass"), (1, "2", "", 1, "odd é", "auto_pass"), (1, "3", None, None, None, "auto_pass")], RESULT)
+    told = spark.createDataFrame([(1, "1", 2, A, "completed", "passed", "old")], AUDIT)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = adoption.adoption(d, told, results, KEY)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 6  # three of the results, one of each other side
+        assert {tuple(r) for r in got.collect()} == {(1, "1", "r", 1, A, "passed"), (1, "2", "", 1, "odd é", "invalid"), (1, "3", None, None, None, "invalid")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    texts = [A, A.upper(), "", " " * 33, "é" * 16, None, "a" * 63, " " * 33 + A]
+    back = spark.createDataFrame([(t,) for t in texts], "t string").select("t", adoption._packed("t").alias("p")).withColumn("u", adoption._unpacked("p")).collect()
+    assert all(r["t"] == r["u"] for r in back) and len({bytes(r["p"]) for r in back if r["p"] is not None}) == 7
