@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from itemloom.sources import work_folder
+from itemloom.sources import tasks_for, work_folder
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -24,12 +24,14 @@ def _written(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str, start: Column | int = 0) -> DataFrame:
     """*df* with *name*: start + 0, 1, ... by *order* (which tells rows apart), without one task for all rows: a range's rows are numbered
     after the counts of the ranges before it."""
-    parts = _written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # Spark's own increasing id is the range's number above 33 bits and the row's place in it below, so no window holds a range.
+    at = F.monotonically_increasing_id()
+    parts = _written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
+    parts = parts.withColumn("_part", F.shiftright("_at", 33)).withColumn("_own", F.col("_at").bitwiseAND((1 << 33) - 1))
     before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", before.alias("_before"))  # a row a range
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
     first = start if isinstance(start, Column) else F.lit(start)
-    return parts.withColumn("_own", own).join(starts, "_part").withColumn(name, (first + F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
+    return parts.join(F.broadcast(starts), "_part").withColumn(name, (first + F.col("_before") + F.col("_own")).cast("long")).drop("_at", "_part", "_own", "_before")
 
 
 def levels(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,17 +61,21 @@ def upsert(known: DataFrame, new: DataFrame, columns: list[str], order: str) ->
     Codes keep their ids; rows that differ in a column or their parent are ``update``, others ``keep``, codes that *new* lacks
     ``absent`` (they stay as they are), new codes ``insert``. A code twice in *new* is the fault repeated_code, none of its rows is taken. What
     hangs on a fault keeps its known row, if there is one, with the action ``absent``."""
-    again = new.groupBy("code").count().filter("count > 1").select("code", F.lit("repeated_code").alias("fault"))
-    once = new.join(again.select("code"), "code", "left_anti")
+    new = _written(new)
+    n = tasks_for(new)
+    # Dealt by code to as many tasks as the rows need, and written after every few joins: a task then holds the same number of rows, and of sorts, at any size.
+    new = new.repartition(n, "code")
+    again = _written(new.groupBy("code").count().filter("count > 1").select("code", F.lit("repeated_code").alias("fault")))
+    once = _written(new.join(again.select("code"), "code", "left_anti"))
     depth, lost = levels(once)
-    rows = once.join(depth, "code")
+    rows = once.repartition(n, "code").join(depth, "code")
     taken = known.select("code", F.col("id").alias("_id"), F.col("parent_id").alias("_parent"), *[F.col(c).alias(f"_{c}") for c in columns])
-    d = rows.join(taken, "code", "left")
+    d = _written(rows.join(taken, "code", "left"))
     last = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = numbered(d.filter("_id IS NULL").select("code", "depth", F.col(order).alias("_order")), ["depth", "_order", "code"], "_new", last + 1).select("code", "_new")
-    ids = _written(d.join(fresh, "code", "left").withColumn("id", F.coalesce("_id", "_new")).drop("_new"))
+    ids = _written(d.repartition(n, "code").join(fresh, "code", "left").withColumn("id", F.coalesce("_id", "_new")).drop("_new"))
     parents = ids.select(F.col("code").alias("parent_code"), F.col("id").alias("parent_id"))
-    d = ids.join(parents, "parent_code", "left")
+    d = ids.join(parents, "parent_code", "left")  # not dealt by number: a parent of many rows is a skewed key, which Spark splits
     same = F.col("parent_id").eqNullSafe(F.col("_parent"))
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))

@@ -42,3 +42,10 @@ def test_numbers_follow_the_order_over_many_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {(r["k"], r["n"]) for r in got} == {(k, k + 5) for k in range(1000)}
+
+
+def test_numbering_holds_no_range_in_a_window(spark):
+    d = hierarchy.numbered(spark.range(100).selectExpr("99 - id AS k").repartition(3), ["k"], "n", 7)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "row_number" not in plan  # one over the ranges' counts, none over their rows
+    assert {(r["k"], r["n"]) for r in d.collect()} == {(k, k + 7) for k in range(100)}
