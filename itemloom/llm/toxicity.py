@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ WINDOW = 48
 HIDDEN = 8
 MAX_TRAIN_DOCS = 6_000
 MAX_TRAIN_CHARS = 24_000_000
-CACHE_WORDS = 65536
+KEPT_WORDS = 131_072  # words of the training texts whose gates a worker keeps
+CACHE_WORDS = 16_384  # other words; a full cache starts anew
 SCORED = 500_000  # bytes of texts that a worker turns into strings at a time
 CUT = 0.7
 _WORDS = re.compile(r"\w+")
@@ -56,20 +58,22 @@ class Places:
 
     def __init__(self, words: list[str]):
         self.n = len(words)
-        self.codes = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.codes = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.ends = np.cumsum(self.sizes)
 
     def chunks(self):
-        """(word of each run, where the runs start, trigram keys, letter numbers (places, 3)) of PLACES places at a time."""
+        """(words with a run of places, where the runs start, trigram keys, letter numbers, where in these each place starts) of PLACES places at a time."""
         total = int(self.ends[-1]) if self.n else 0
         for k in range(0, total, PLACES):
-            at = np.arange(k, min(total, k + PLACES))
-            word = np.searchsorted(self.ends, at, side="right")
-            c = self.codes[(at + 2 * word)[:, None] + np.arange(3)]
-            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            letter = np.where(c < 4, c - 2, 2 + c % (LETTERS - 2))
-            yield word[start], start, (c[:, 0] << 42) | (c[:, 1] << 21) | c[:, 2], letter
+            stop = min(total, k + PLACES)
+            lo, hi = np.searchsorted(self.ends, k, side="right"), np.searchsorted(self.ends, stop - 1, side="right") + 1
+            ends = np.minimum(self.ends[lo:hi], stop) - k
+            start = np.append(0, ends[:-1])
+            at = np.arange(stop - k) + 2 * np.repeat(np.arange(hi - lo), ends - start)
+            c = self.codes[k + 2 * lo : stop + 2 * hi]
+            letter, wide = np.where(c < 4, c - 2, 2 + c % np.uint32(LETTERS - 2)), c.astype(np.int64)
+            yield np.arange(lo, hi), start, ((wide[:-2] << 42) | (wide[1:-1] << 21) | wide[2:])[at], letter.astype(np.int64), at
 
 
 class Lexicon:
@@ -86,7 +90,7 @@ class Lexicon:
         keys, runs = [np.zeros(0, np.int64)], np.zeros(len(vocabulary) + 1, np.int64)
         place = Places(vocabulary)
         runs[1:] = place.ends
-        keys = np.concatenate([keys[0], *[k for _, _, k, _ in place.chunks()]])
+        keys = np.concatenate([keys[0], *[k for _, _, k, _, _ in place.chunks()]])
         self.keys, number = np.unique(keys, return_inverse=True)
         tri = np.zeros((len(self.keys), 2), np.int64)
         for ids, label in zip(texts, y, strict=True):
@@ -102,8 +106,7 @@ class Lexicon:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Row of each word's learned vector: 0 for the unknown, else 1 + its place."""
-        get = self.words.get
-        return np.array([get(w, -1) for w in words], np.int64) + 1
+        return np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words)) + 1
 
     def stats(self, words: list[str], places: Places, left_out: int | None = None) -> np.ndarray:
         """Statistics (len(words), N_STATS); *left_out*: the label of the training text that they are from."""
@@ -115,7 +118,7 @@ class Lexicon:
         lo, z = self.odds(counts[:, 0], counts[:, 1])
         seen = counts.sum(axis=1) > 0
         most, total = np.full(len(words), -np.inf), np.zeros(len(words))
-        for word, start, key, _ in places.chunks():
+        for word, start, key, _, _ in places.chunks():
             spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else np.zeros(len(key), np.int64)
             found = np.where(self.keys[spot] == key, self.z[spot], 0.0) if len(self.keys) else np.zeros(len(key))
             most[word] = np.maximum(most[word], np.maximum.reduceat(found, start))
@@ -123,7 +126,7 @@ class Lexicon:
         x = np.zeros((len(words), N_STATS), F32)
         x[:, 0], x[:, 1], x[:, 2] = np.where(seen, z, 0) / 4, np.where(seen, lo, 0) / 4, seen
         x[:, 3], x[:, 4], x[:, 5] = total / np.maximum(places.sizes, 1) / 4, most / 4, np.minimum(places.sizes, 20) / 10
-        x[:, 6] = [sum(map(str.isdigit, w)) / len(w) for w in words]
+        x[:, 6] = [0 if w.isalpha() else sum(map(str.isdigit, w)) / len(w) for w in words]  # no letter is a digit
         x[:, 7] = 1
         return x
 
@@ -140,10 +143,14 @@ class WordNet:
         tables = [self.p["C"] @ self.p["K"][j] for j in range(3)]
         top = np.full((places.n, CHAR_DIMS), -np.inf, F32)
         won = np.zeros((places.n, CHAR_DIMS, 3), np.int64)
-        for word, start, _, letter in places.chunks():
-            a = tables[0][letter[:, 0]] + tables[1][letter[:, 1]] + tables[2][letter[:, 2]]
+        for word, start, _, codes, places_at in places.chunks():
+            a = tables[0].take(codes[:-2], axis=0)
+            a += tables[1].take(codes[1:-1], axis=0)
+            a += tables[2].take(codes[2:], axis=0)
+            a = a.take(places_at, axis=0)
             best = np.maximum.reduceat(a, start, axis=0)
             if keep:
+                letter = codes[places_at[:, None] + np.arange(3)]
                 runs = np.diff(np.append(start, len(a)))
                 at = np.where(a == np.repeat(best, runs, axis=0), np.arange(len(a))[:, None], len(a))
                 better = best > top[word]
@@ -197,11 +204,8 @@ class BiGru:
         return out, tape
 
     def logits(self, x, mask, keep=False):
-        return self.logits_of(self.inputs(x, "f"), self.inputs(x, "b"), mask, keep)
-
-    def logits_of(self, in_f, in_b, mask, keep=False):
-        f, tf = self._pass(in_f, mask, "f", keep)
-        b, tb = self._pass(in_b, mask, "b", keep)
+        f, tf = self._pass(self.inputs(x, "f"), mask, "f", keep)
+        b, tb = self._pass(self.inputs(x, "b"), mask, "b", keep)
         states = np.concatenate((f, b), axis=2)
         e = np.where(mask[:, :, 0] > 0, states @ self.p["A"], F32(-30))
         e = np.exp(e - e.max(axis=0))
@@ -210,6 +214,52 @@ class BiGru:
         out = pooled @ self.p["w"] + self.p["c"][0]
         return (out, (states, att, pooled, tf, tb)) if keep else out
 
+    def gates(self, x):
+        """What the inputs (n, N_IN) add to the gates, (3, 2, n, H) by gate and direction; halved where a sigmoid is taken, as half of a tanh and a half."""
+        a = np.stack((self.inputs(x, "f"), self.inputs(x, "b"))).reshape(2, len(x), 3, self.h)
+        a[:, :, :2] *= F32(0.5)
+        return np.ascontiguousarray(a.transpose(2, 0, 1, 3))
+
+    def no_word(self):
+        """Gates that leave a state as it is."""
+        a = np.zeros((3, 2, 1, self.h), F32)
+        a[0] = 1e6
+        return a
+
+    def window_logits(self, gates, at, chunk=512):
+        """Logits of windows, rows of *gates* (windows, T); row 0 is no word. Both directions go together, gates lie apart: every operation reads whole arrays."""
+        p, h, out = self.p, self.h, np.empty(len(at), F32)
+        u = np.stack([p["U" + d].reshape(h, 3, h).transpose(1, 0, 2) for d in "fb"], axis=1) * F32(0.5)
+        ends = np.stack((p["A"].reshape(2, h), p["w"].reshape(2, h)), axis=2)  # what attention and the last layer make of a state
+        for k in range(0, len(at), chunk):
+            ids = np.ascontiguousarray(at[k : k + chunk].T, np.intp)
+            T, B = ids.shape
+            s, a, q, seen = np.zeros((2, B, h), F32), np.empty((3, 2, B, h), F32), np.empty((3, 2, B, h), F32), np.empty((T, 2, B, 2), F32)
+            z, r, n = a
+            for t in range(T):
+                for g in range(3):
+                    np.take(gates[g, 0], ids[t], axis=0, out=a[g, 0], mode="clip")
+                    np.take(gates[g, 1], ids[T - 1 - t], axis=0, out=a[g, 1], mode="clip")
+                np.matmul(s, u, out=q)
+                a[:2] += q[:2]
+                np.tanh(a[:2], out=a[:2])
+                r += F32(1)
+                q[2] *= r
+                n += q[2]
+                np.tanh(n, out=n)
+                n -= s
+                np.subtract(F32(1), z, out=z)
+                z *= F32(0.5)
+                n *= z
+                s += n
+                both = s @ ends
+                seen[t, 0], seen[T - 1 - t, 1] = both
+            e, v = seen[:, 0, :, 0] + seen[:, 1, :, 0], seen[:, 0, :, 1] + seen[:, 1, :, 1]
+            e = np.where(ids > 0, e, F32(-30))
+            e = np.exp(e - e.max(axis=0))
+            out[k : k + chunk] = (e * v).sum(axis=0) / e.sum(axis=0) + p["c"][0]
+        return out
+
     def gradients(self, x, mask, g, saved):
         states, att, pooled, tf, tb = saved
         p, h = self.p, self.h
@@ -300,47 +350,45 @@ class Model:
         self.lexicon, self.net, self.words, self.link, self.window = lexicon, net, words, link, window
 
     def __getstate__(self):
-        return self.__dict__ | {"index": None, "rows": None}
+        return self.__dict__ | {"index": None, "gates": None, "done": None}
 
     def _ready(self):
         if self.__dict__.get("index") is None:
-            self.index: dict[str, int] = {}
-            self.rows = np.zeros((1024, 6 * self.net.h), F32)
+            self.kept = min(len(self.lexicon.words), KEPT_WORDS)
+            self.index: dict[str, int] = {}  # rows of words that are not kept
+            self.gates = np.zeros((3, 2, 1 + self.kept + CACHE_WORDS, self.net.h), F32)  # row 0: no word; then the kept words by number
+            self.gates[:, :, :1] = self.net.no_word()
+            self.done = np.zeros(1 + self.kept, bool)
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """Inputs (len(words), N_IN)."""
         places = Places(words)
         return np.concatenate((self.lexicon.stats(words, places), self.words.vectors(self.lexicon.numbers(words), places)), axis=1)
 
-    def _gates(self, words: list[str]) -> np.ndarray:
-        x = self.inputs(words)
-        return np.concatenate((self.net.inputs(x, "f"), self.net.inputs(x, "b")), axis=1)
-
-    def _ids(self, words: list[str]) -> np.ndarray:
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """The row of gates of each word."""
+        rows = self.lexicon.numbers(words)
+        other = np.flatnonzero((rows == 0) | (rows > self.kept))
+        names = [words[k] for k in other.tolist()]
         get = self.index.get
-        ids = [get(w) for w in words]
-        if None in ids:
-            new = list(dict.fromkeys(w for w, i in zip(words, ids, strict=True) if i is None))
-            if len(self.index) + len(new) > CACHE_WORDS:
-                self.index.clear()
-                new = list(dict.fromkeys(words))
-            first = len(self.index)
-            while first + len(new) > len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            self.rows[first : first + len(new)] = self._gates(new)
-            self.index.update(zip(new, range(first, first + len(new)), strict=True))
-            ids = [self.index[w] for w in words]
-        return np.array(ids, np.int64)
-
-    def window_logits(self, gates: np.ndarray, at: np.ndarray, chunk: int = 512) -> np.ndarray:
-        """Logits of windows of rows of *gates*, which a word's inputs add to both directions; -1 is no word."""
-        out, h3 = np.empty(len(at), F32), 3 * self.net.h
-        for k in range(0, len(at), chunk):
-            part = at[k : k + chunk].T
-            mask = (part >= 0).astype(F32)[:, :, None]
-            a = gates[np.maximum(part, 0)] if len(gates) else np.zeros((*part.shape, 2 * h3), F32)
-            out[k : k + chunk] = self.net.logits_of(a[:, :, :h3], a[:, :, h3:], mask)
-        return out
+        new = list(dict.fromkeys(w for w in names if get(w) is None))
+        if len(self.index) + len(new) > CACHE_WORDS:
+            self.index.clear()
+            new = list(dict.fromkeys(names))
+        first = 1 + self.kept + len(self.index)
+        at = np.arange(first, first + len(new))
+        if at.size and at[-1] >= self.gates.shape[2]:
+            self.gates = np.concatenate((self.gates, np.zeros((3, 2, at[-1] + 1 - self.gates.shape[2], self.net.h), F32)), axis=2)
+        self.index.update(zip(new, at.tolist(), strict=True))
+        rows[other] = [self.index[w] for w in names]
+        own = np.flatnonzero(rows <= self.kept)
+        own = own[~self.done[rows[own]]]
+        kept, which = np.unique(rows[own], return_index=True)
+        self.done[kept] = True
+        new += [words[k] for k in own[which].tolist()]
+        if new:
+            self.gates[:, :, np.append(at, kept)] = self.net.gates(self.inputs(new))
+        return rows
 
     @staticmethod
     def summary(logits: np.ndarray) -> tuple[float, float]:
@@ -353,17 +401,16 @@ class Model:
         self._ready()
         out, k = np.empty((len(texts), 2)), 0
         while k < len(texts):  # some documents at a time, so that memory is bounded
-            sizes, at, base, first, offset = [], [], [], k, 0
+            words, sizes, at, first = [], [], [], k
             while k < len(texts) and sum(sizes) < 1024:
-                ids = self._ids(_WORDS.findall(texts[k].lower()))
-                rows = self.rows[ids]
-                w = windows_of(len(rows), self.window)
-                base.append(rows)
-                at.append(np.where(w >= 0, w + offset, -1))
-                offset += len(rows)
+                own = _WORDS.findall(texts[k].lower())
+                w = windows_of(len(own), self.window)
+                at.append(np.where(w >= 0, w + len(words), -1))
+                words += own
                 sizes.append(len(w))
                 k += 1
-            logits = self.window_logits(np.concatenate(base), np.concatenate(at))
+            rows = np.append(self._rows(words), 0)  # -1, the last, is no word
+            logits = self.net.window_logits(self.gates, rows[np.concatenate(at)])
             for n, part in enumerate(np.split(logits, np.cumsum(sizes)[:-1])):
                 out[first + n] = self.summary(part)
         return 1 / (1 + np.exp(-(out @ self.link[:2] + self.link[2])))
@@ -406,11 +453,18 @@ def train_model(texts: list[str], y: np.ndarray, window: int = WINDOW, **net) ->
         train_nets(gru, words, vocabulary, lexicon.numbers(vocabulary), stats, np.stack(picked), np.stack(masks), np.array(labels, F32))
     vectors = words.vectors(lexicon.numbers(vocabulary), places) if vocabulary else np.zeros((0, WORD_DIMS + CHAR_DIMS), F32)
 
-    def logits(own, at, label):  # a document at a time, which bounds the driver's memory
-        x = np.concatenate((stats[label][own], vectors[own]), axis=1)
-        return model.window_logits(np.concatenate((gru.inputs(x, "f"), gru.inputs(x, "b")), axis=1), at)
-
-    found = np.array([model.summary(logits(own, at, int(label))) for own, at, label in zip(ids, spans, y, strict=True)])
+    found, k = np.empty((len(ids), 2)), 0
+    while k < len(ids):  # some documents at a time, so that memory is bounded
+        first, sizes = k, []
+        while k < len(ids) and sum(sizes) < 1024:
+            sizes.append(len(spans[k]))
+            k += 1
+        group, n = np.concatenate(ids[first:k]), np.array([len(own) for own in ids[first:k]])
+        x = np.concatenate((stats[np.repeat(y[first:k], n), group], vectors[group]), axis=1)
+        before = np.repeat(np.cumsum(n) - n, sizes)[:, None]
+        at = np.concatenate(spans[first:k])
+        logits = gru.window_logits(np.concatenate((gru.no_word(), gru.gates(x)), axis=2), np.where(at >= 0, at + before + 1, 0))
+        found[first:k] = [model.summary(part) for part in np.split(logits, np.cumsum(sizes)[:-1])]
     model.link = fit_link(found, y)
     return model
 

@@ -21,6 +21,22 @@ def test_scores_take_bounded_memory():
     assert len(set(np.round(scores, 6))) == 1 and peak < 60e6  # 8192 windows at a time took over 100 MB
 
 
+def test_words_of_the_training_texts_are_looked_at_once(monkeypatch):
+    texts = [f"word{k % 7} good thing{k % 5}" if k % 2 else f"word{k % 7} awful thing{k % 5}" for k in range(60)]
+    model = toxicity.train_model(texts, np.arange(60) % 2 == 0)
+    seen, inputs = [], toxicity.Model.inputs
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 50)
+    monkeypatch.setattr(toxicity.Model, "inputs", lambda self, words: seen.append(list(words)) or inputs(self, words))
+    many = [f"word{k % 7} new{k} awful thing{k % 5}" for k in range(3_000)]
+    scores = model.score(many)
+    words = [w for part in seen for w in part]
+    assert len(words) == len(set(words)) == 3_000 + 7 + 5 + 1  # other words fill the cache again and again
+    assert len(seen) <= 3  # many short texts together
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 4)
+    few = toxicity.train_model(texts, np.arange(60) % 2 == 0)
+    assert np.allclose([few.score([t])[0] for t in many[:300]], scores[:300], atol=1e-6)
+
+
 def test_a_text_goes_to_the_worker_once(spark):
     d = spark.createDataFrame([(1, "x" * 50)], "doc_id long, text string")
     model = toxicity.train_model([], np.zeros(0, np.int64))
