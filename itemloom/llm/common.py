@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -61,3 +62,11 @@ def slices(batch: pa.RecordBatch, texts: pa.Array, size: int) -> list[pa.RecordB
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
     cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
     return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def give_back() -> None:
+    """Give memory that a worker has freed back to the system: Spark keeps the worker for later tasks, and malloc keeps what its arrays took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim:
+        trim(0)

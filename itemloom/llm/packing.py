@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from itemloom.llm.common import give_back
 from itemloom.sources import table
 
 CAPACITY = 1024
@@ -213,6 +214,7 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = Non
         take(packer.flush(last=True))
         if rows:
             yield out()
+        give_back()
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

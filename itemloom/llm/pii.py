@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemloom.llm.common import slices, written
+from itemloom.llm.common import give_back, slices, written
 from itemloom.sources import table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -305,6 +305,7 @@ def _edges(docs: DataFrame, how) -> DataFrame:
             start = np.flatnonzero(np.concatenate(([True], (pattern[1:] != pattern[:-1]) | (value[1:] != value[:-1])))[: len(pattern)])
             n = np.diff(np.append(start, len(pattern)))
             yield pa.RecordBatch.from_arrays([pa.array(pattern[start]), pa.array(value[start]), pa.array(n)], ["pattern", "value", "n"])
+        give_back()
 
     found = docs.select("text").mapInArrow(run, "pattern long, value long, n long")
     return found.groupBy("pattern", "value").agg(F.sum("n").alias("n"))
@@ -394,8 +395,9 @@ _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def with_spans(docs: DataFrame, keep: list[str], **graph) -> DataFrame:
-    """A struct ``_in`` of the columns *keep*, with ``_text``, ``_base`` (base spans) and ``_more`` (what confident patterns add, by start)."""
+def with_spans(docs: DataFrame, keep: list[str], redact: bool = False, **graph) -> DataFrame:
+    """A struct ``_in`` of the columns *keep*, with ``_text``, ``_base`` (base spans) and ``_more`` (what confident patterns add, by start).
+    *redact*: ``_text`` comes without its spans, cut by the task that finds them."""
     patterns = confident_patterns(docs, **graph)
     parts = max(1, -(-patterns.count() // MAX_PATTERNS))
     sc = docs.sparkSession.sparkContext
@@ -403,12 +405,12 @@ def with_spans(docs: DataFrame, keep: list[str], **graph) -> DataFrame:
     for k in range(parts):
         own = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == k) if parts > 1 else patterns
         held = sc.broadcast(np.sort(np.array([r["pattern"] for r in own.select("pattern").collect()], np.int64)))  # about MAX_PATTERNS
-        rows = rows.mapInArrow(_marker(held, last=k + 1 == parts), rows.schema)
+        rows = rows.mapInArrow(_marker(held, last=k + 1 == parts, redact=redact), rows.schema)
         rows = written(rows, "pii-marked") if k + 1 < parts else rows
     return rows
 
 
-def _marker(held, last: bool):
+def _marker(held, last: bool, redact: bool = False):
     def run(batches):
         for b in (part for whole in batches for part in slices(whole, whole.column(1), SLICE_CHARS)):
             texts, wanted = [t or "" for t in b.column(1).to_pylist()], held.value
@@ -422,8 +424,11 @@ def _marker(held, last: bool):
             base = [base_spans(t) for t in texts] if last else [[] for _ in texts]
             more = [without_touch(sorted(set(m)), sorted((s, e) for _, s, e in x)) for m, x in zip(more, base, strict=True)]
             dicts = lambda spans: [dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans]
-            kind = pa.list_(_SPAN)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([dicts(x) for x in base], kind), pa.array([dicts((len(KINDS), s, e) for s, e in x) for x in more], kind)], ["_in", "_text", "_base", "_more"])
+            kind, own = pa.list_(_SPAN), b.column(1)
+            if last and redact:
+                own = pa.array([t and without_spans(t, [*x, *((len(KINDS), s, e) for s, e in m)]) for t, x, m in zip(own.to_pylist(), base, more, strict=True)], own.type)
+            yield pa.RecordBatch.from_arrays([b.column(0), own, pa.array([dicts(x) for x in base], kind), pa.array([dicts((len(KINDS), s, e) for s, e in x) for x in more], kind)], ["_in", "_text", "_base", "_more"])
+        give_back()
 
     return run
 
@@ -438,29 +443,21 @@ def pii_report(docs: DataFrame, **graph) -> DataFrame:
     return d.select(F.col("_in.doc_id").alias("doc_id"), *counts, F.sha2(F.array_join(said("_base"), ","), 256).alias("base_sha256"), F.array_join(F.concat(said("_base"), said("_more")), ",").alias("spans"))
 
 
+def without_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """*text* with each span (kind, start, end) replaced by its kind. Kinds may overlap: the first to start names the cut, all that any span covers goes."""
+    out, last = [], 0
+    for s, e, k in sorted((s, e, k) for k, s, e in spans):
+        if e > last:
+            if s >= last:
+                out += [text[last:s], "[" + (*KINDS, "id")[k].upper() + "]"]
+            last = e
+    return "".join([*out, text[last:]])
+
+
 def redact_documents(docs: DataFrame, **graph) -> DataFrame:
     """The same rows and columns; every span of text becomes ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]`` or ``[ID]``."""
-    d = with_spans(docs, [c for c in docs.columns if c != "text"] or docs.columns, **graph)  # the text goes beside them, once
-    spans = F.concat("_base", "_more")
-
-    @F.pandas_udf("string")
-    def cut(text, at):
-        def one(t, found):
-            if t is None or found is None or not len(found):
-                return t
-            out, last = [], 0
-            for s, e, k in sorted((int(x["start"]), int(x["end"]), int(x["kind"])) for x in found):
-                if e > last:  # kinds may overlap: the first to start names the cut, all that any span covers goes
-                    if s >= last:
-                        out += [t[last:s], "[" + (*KINDS, "id")[k].upper() + "]"]
-                    last = e
-            return "".join([*out, t[last:]])
-
-        return text.combine(at, one)
-
-    text = F.when(F.size(spans) > 0, cut(F.col("_text"), spans)).otherwise(F.col("_text"))
-    d = d.withColumn("_new", text)
-    new = {"text": F.col("_new"), "n_chars": F.char_length("_new").cast("long")}
+    d = with_spans(docs, [c for c in docs.columns if c != "text"] or docs.columns, redact=True, **graph)  # the text goes beside them, once
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
     return d.select(*[new.get(c, F.col(f"_in.`{c}`")).alias(c) for c in docs.columns])
 
 

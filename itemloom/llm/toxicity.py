@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -33,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from itemloom.llm.common import slices, written
+from itemloom.llm.common import give_back, slices, written
 from itemloom.sources import table
 
 WINDOW = 48
@@ -427,8 +429,8 @@ def fit_link(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
-def train_model(texts: list[str], y: np.ndarray, window: int = WINDOW, **net) -> Model:
-    """A model of *texts* and their labels (0 or 1)."""
+def train_model(texts: Iterable[str], y: np.ndarray, window: int = WINDOW, **net) -> Model:
+    """A model of *texts* and their labels (0 or 1); each text is read once and not kept."""
     y = np.asarray(y, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(None, None, None, None, window)
@@ -437,10 +439,9 @@ def train_model(texts: list[str], y: np.ndarray, window: int = WINDOW, **net) ->
     vocabulary = list(place)
     lexicon, places = Lexicon(ids, vocabulary, y), Places(vocabulary)
     stats = np.stack([lexicon.stats(vocabulary, places, left_out=k) for k in (0, 1)])
-    rng, picked, masks, labels, spans = np.random.default_rng(1), [], [], [], []
+    rng, picked, masks, labels = np.random.default_rng(1), [], [], []
     for own, label in zip(ids, y, strict=True):
         at = windows_of(len(own), window)
-        spans.append(at)
         known = own[np.maximum(at, 0)] if len(own) else np.zeros(at.shape, np.int64)
         z = np.where(at >= 0, np.maximum(stats[label, known, 0], 0) ** 2 if len(own) else 0.0, 0.0).sum(axis=1)
         for k in {int(np.argmax(z))} | (set() if label else {int(rng.integers(len(at)))}):  # the window that stands out; of clean texts any other too
@@ -455,14 +456,15 @@ def train_model(texts: list[str], y: np.ndarray, window: int = WINDOW, **net) ->
 
     found, k = np.empty((len(ids), 2)), 0
     while k < len(ids):  # some documents at a time, so that memory is bounded
-        first, sizes = k, []
+        first, spans, sizes = k, [], []
         while k < len(ids) and sum(sizes) < 1024:
-            sizes.append(len(spans[k]))
+            spans.append(windows_of(len(ids[k]), window))
+            sizes.append(len(spans[-1]))
             k += 1
         group, n = np.concatenate(ids[first:k]), np.array([len(own) for own in ids[first:k]])
         x = np.concatenate((stats[np.repeat(y[first:k], n), group], vectors[group]), axis=1)
         before = np.repeat(np.cumsum(n) - n, sizes)[:, None]
-        at = np.concatenate(spans[first:k])
+        at = np.concatenate(spans)
         logits = gru.window_logits(np.concatenate((gru.no_word(), gru.gates(x)), axis=2), np.where(at >= 0, at + before + 1, 0))
         found[first:k] = [model.summary(part) for part in np.split(logits, np.cumsum(sizes)[:-1])]
     model.link = fit_link(found, y)
@@ -482,8 +484,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_
     for r in rows.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # max_docs rows at most, without texts
         if r["n"] <= left:
             left -= r["n"]
-            fits.append((r["doc_id"],))
-    own = F.broadcast(docs.sparkSession.createDataFrame(fits, rows.select("doc_id").schema))
+            fits.append(r["doc_id"])
+    kind = rows.select("doc_id").schema
+    own = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(fits, to_arrow_type(kind[0].dataType))}), kind))  # of Arrow, which needs no Python worker
     return rows.join(own, "doc_id").select("doc_id", "text", "toxic")
 
 
@@ -491,10 +494,12 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAI
     """The model of the labelled rows, trained in one task, as the sample is bounded."""
 
     def train(batches):
-        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        texts, y = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
-        del rows
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_model(texts, y))], pa.binary())], ["model"])
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), reverse=True)
+        y = np.array([r[2] for r in reversed(rows)], np.int64)
+        model = pickle.dumps(train_model((rows.pop()[1] for _ in range(len(y))), y))
+        rows.clear()
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     found = training_rows(docs, labels, max_docs, max_chars).coalesce(1).mapInArrow(train, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else train_model([], np.zeros(0, np.int64))
@@ -509,6 +514,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
         for b in (part for whole in batches for part in slices(whole, whole.column(0).field(at), SCORED)):
             texts = [t or "" for t in b.column(0).field(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.score(texts), pa.float64())], ["_in", "_score"])
+        give_back()
 
     at = [c.lower() for c in docs.columns].index("text")  # read in its place among the columns: a text goes to the worker once
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))

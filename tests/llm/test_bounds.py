@@ -5,8 +5,10 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from itemloom.llm import pii, toxicity
+from itemloom.llm.common import give_back
 
 
 def test_scores_take_bounded_memory():
@@ -37,6 +39,40 @@ def test_words_of_the_training_texts_are_looked_at_once(monkeypatch):
     assert np.allclose([few.score([t])[0] for t in many[:300]], scores[:300], atol=1e-6)
 
 
+def test_training_keeps_no_texts_and_no_windows_of_all(monkeypatch):
+    monkeypatch.setattr(toxicity, "train_nets", lambda *a, **k: None)
+    y, text = np.arange(300) % 2 == 0, lambda k: f"word{k % 7} thing{k % 5} " * 8_000
+    toxicity.train_model(map(text, range(40)), y[:40])
+    tracemalloc.start()
+    toxicity.train_model(map(text, range(300)), y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 19 MB are numbers of words; the windows of all texts took 77 MB more
+
+
+def test_freed_memory_goes_back_to_the_system():
+    def taken():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(n) for n in re.findall(r"\nPss_Anon:\s+(\d+)", f.read())) / 1024
+
+    arrays = [np.ones(10_000, np.uint8) for _ in range(10_000)]
+    held = arrays[::100]
+    before = taken()
+    del arrays
+    give_back()
+    assert len(held) == 100 and before - taken() > 60  # of 95 MB; what is freed between held arrays stays otherwise
+
+
+def test_all_python_of_a_stage_is_one_worker_a_task(spark):
+    """Workers of another kind (a pandas UDF's, an RDD's) stay idle for a minute beside those of mapInArrow."""
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    d = spark.createDataFrame(pa.table({"doc_id": [1, 3], "text": ["mail a@b.example now", None], "toxic": [0, 1]}))
+    redacted = plan(pii.redact_documents(d.select("doc_id", "text")))
+    assert redacted.count("MapInArrow") == 1 and "EvalPython" not in redacted
+    rows = toxicity.training_rows(d, d.select("doc_id", "toxic"))
+    assert "ExistingRDD" not in plan(rows)
+
+
 def test_a_text_goes_to_the_worker_once(spark):
     d = spark.createDataFrame([(1, "x" * 50)], "doc_id long, text string")
     model = toxicity.train_model([], np.zeros(0, np.int64))
